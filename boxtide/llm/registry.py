@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import fingerprints, near_dedup, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fingerprints": fingerprints.query,
     "op5_quality_rules": quality_rules.query,
+    "op10_near_dedup": near_dedup.query,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality_rules.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }
