@@ -28,6 +28,12 @@ LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
+#: Bytes between runs of letters (bytes of other alphabets count as letters), and between lines.
+NO_LETTER, NEWLINE = np.ones(256, bool), np.zeros(256, bool)
+NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
+NEWLINE[10] = True
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -65,11 +71,11 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.n
         at = end
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word of a block."""
+def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word of a block. gaps: which bytes part words."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    space = _SPACE[data]
+    space = gaps[data]
     before, after = np.empty(len(data), bool), np.empty(len(data), bool)
     before[0] = after[-1] = True
     before[1:], after[:-1] = space[:-1], space[1:]
