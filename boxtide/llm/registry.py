@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, near_dedup, quality_model, quality_rules, toxicity
+from . import fingerprints, near_dedup, packing, quality_model, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op3_fingerprints": fingerprints.query,
     "op5_quality_rules": quality_rules.query,
     "op7_quality_model": quality_model.query,
+    "op8_packing": packing.query,
     "op10_near_dedup": near_dedup.query,
 }
 
