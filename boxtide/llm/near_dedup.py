@@ -35,7 +35,7 @@ BUCKETS, ROWS, MANTISSA = 128, 4, 10
 PERCENT = 75
 #: Estimates below this are no candidates: the wanted similarity less five standard errors.
 LEAST = PERCENT / 100 - 5 * (0.75 * 0.25 / BUCKETS) ** 0.5
-BLOCK = 128
+BLOCK = 2048
 _rng = np.random.default_rng(7)
 _MULT = (_rng.integers(1, 2**31, BUCKETS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _FLIP = _rng.integers(0, 2**32, BUCKETS, dtype=np.uint32)
