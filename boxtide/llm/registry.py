@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, line_dedup, near_dedup, packing, quality_model, quality_rules, toxicity
+from . import fingerprints, html_text, line_dedup, near_dedup, packing, quality_model, quality_rules, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op2_line_dedup": line_dedup.query,
     "op3_fingerprints": fingerprints.query,
+    "op4_sentencepieces": sentencepieces.query,
     "op5_quality_rules": quality_rules.query,
     "op6_html_text": html_text.query,
     "op7_quality_model": quality_model.query,

@@ -31,9 +31,15 @@ class Encoder:
         self.n, self.used = 0, 0
         self.off, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
+    def chunks(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, and start, end and row of the parts that are encoded on their own."""
+        return (data, *tk.words(data, off))
+
+    def ids_of(self, chunks: list[str]) -> list:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
     def _learn(self, keys: list[int], chunks: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            ids = e.ids
+        for key, ids in zip(keys, self.ids_of(chunks), strict=True):
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             if self.n + 2 > len(self.off):
@@ -49,7 +55,7 @@ class Encoder:
         for a, b, data, off in tk.blocks(texts):
             if self.n > MEMO:
                 self._reset()
-            start, end, row = tk.words(data, off)
+            data, start, end, row = self.chunks(data, off)
             uniq, first, back = np.unique(tk.hashes(data, start, end), return_index=True, return_inverse=True)
             keys = uniq.tolist()
             slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
