@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, line_dedup, near_dedup, packing, quality_model, quality_rules, sentencepieces, toxicity
+from . import fingerprints, html_text, katz, line_dedup, near_dedup, packing, quality_model, quality_rules, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": html_text.query,
     "op7_quality_model": quality_model.query,
     "op8_packing": packing.query,
+    "op9_katz": katz.query,
     "op10_near_dedup": near_dedup.query,
 }
 
