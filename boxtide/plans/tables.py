@@ -194,7 +194,7 @@ def itemsets(s, d):
 
 
 @query(f"""SELECT 'young women' AS slice, sum((age BETWEEN 0 AND 12 AND {_GENDER} = 'woman')::INT)::BIGINT AS n, CASE WHEN sum((age BETWEEN 0 AND 12 AND {_GENDER} = 'woman')::INT) >= 100 THEN 'ok' ELSE 'thin' END AS verdict FROM {_P} p
-UNION ALL SELECT 'sure', sum((conf >= 50)::INT)::BIGINT, 'ok' FROM {_P} p UNION ALL SELECT 'nobody', 0, 'missing'""")
+UNION ALL SELECT 'sure', sum((conf >= 50)::INT)::BIGINT, CASE WHEN sum((conf >= 50)::INT) >= 100 THEN 'ok' ELSE 'thin' END FROM {_P} p UNION ALL SELECT 'nobody', 0, 'missing'""")
 def slices(s, d):
     """F6, F7, A29."""
     return A.slice_counts(people(s, d), {"young women": F.col("age").between(0, 12) & (F.col("gender") == "woman"), "sure": F.col("conf") >= 50, "nobody": F.col("age") > 1000}, 100)

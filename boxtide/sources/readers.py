@@ -29,9 +29,10 @@ def stem_of(path: Column) -> Column:
 
 
 def listing(spark: SparkSession, folder: str, glob: str = "*.txt", recursive: bool = True) -> DataFrame:
-    """Stem, path, size of the files; contents are not read."""
+    """Stem and path of the files, empty ones too (scans skip those, so this asks the file index); contents are not read."""
     r = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    return r.load(folder).select(stem_of(F.col("path")).alias("stem"), "path", F.col("length").alias("size"))
+    paths = [(p,) for p in r.load(folder).inputFiles()]
+    return spark.createDataFrame(paths, "path string").select(stem_of(F.col("path")).alias("stem"), "path")
 
 
 def label_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +62,7 @@ def labels(tokens: DataFrame, with_conf: str = "none") -> DataFrame:
     at = lambda i: F.get("tok", F.lit(i))
     centre = (at(1) - at(3) / 2, at(2) - at(4) / 2, at(1) + at(3) / 2, at(2) + at(4) / 2)
     pts = F.slice("tok", 2, F.col("coords"))
-    poly = F.when(~is_box, F.transform(F.sequence(F.lit(0), F.col("coords") / 2 - 1), lambda i: F.struct(F.get(pts, (i * 2).cast("int")).alias("x"), F.get(pts, (i * 2 + 1).cast("int")).alias("y"))))
+    poly = F.when(~is_box, F.transform(F.sequence(F.lit(0), (F.col("coords") / 2 - 1).cast("int")), lambda i: F.struct(F.get(pts, (i * 2).cast("int")).alias("x"), F.get(pts, (i * 2 + 1).cast("int")).alias("y"))))
     return t.select("stem", "line_no", at(0).cast("int").alias("cls"), *[F.when(is_box, c).otherwise(p).alias(k) for c, p, k in zip(centre, e, ("x1", "y1", "x2", "y2"), strict=True)], "conf", poly.alias("poly"))
 
 
