@@ -1,7 +1,8 @@
-"""Token ids of texts by a word-level BPE file, encoding each distinct whitespace-parted chunk once a worker.
+"""Token ids of texts by a word-level BPE file, encoding each distinct unit once a worker.
 
-This holds for tokenizers whose normaliser maps white space to itself and whose pre-tokeniser never crosses it: then
-the ids of a text are those of its chunks, one after another.
+This holds for tokenizers that lower-case, map white space to itself and part words where white space, or an ASCII
+letter and another ASCII character, meet (but for an apostrophe and the letters of a contraction after it): then the
+ids of a text are those of its units, one after another. Texts with the opening of a special token are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,10 +13,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import textkernel as tk
 
-MEMO = 400_000
+MEMO = 600_000
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_OTHER = np.zeros(256, bool)
+_OTHER[33:127] = ~_LETTER[33:127]
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_APOSTROPHE = 39
 
 
 class Encoder:
@@ -33,7 +42,17 @@ class Encoder:
 
     def chunks(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, and start, end and row of the parts that are encoded on their own."""
-        return (data, *tk.words(data, off))
+        data = tk.LOWER[data]
+        if not len(data):
+            return (data, *tk.words(data, off))
+        letter, other, full = _LETTER[data], _OTHER[data], ~_BLANK[data]
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:-1] = (letter[:-1] & other[1:]) | (other[:-1] & (data[:-1] != _APOSTROPHE) & letter[1:]) | (~full[:-1] & full[1:])
+        begin[off] = True
+        finish = begin.copy()
+        finish[1:-1] |= full[:-1] & ~full[1:]
+        start, end = np.flatnonzero(begin[:-1] & full), np.flatnonzero(finish[1:] & full) + 1
+        return data, start, end, np.searchsorted(off, start, "right") - 1
 
     def ids_of(self, chunks: list[str]) -> list:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -52,6 +71,15 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        if not pc.any(special).as_py():
+            yield from self.plain(texts)
+            return
+        rest = self.plain(pc.if_else(special, "", texts))
+        for odd, text, ids in zip(special.to_pylist(), texts.to_pylist(), rest, strict=True):
+            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) if odd else ids
+
+    def plain(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for a, b, data, off in tk.blocks(texts):
             if self.n > MEMO:
                 self._reset()
