@@ -171,7 +171,7 @@ def apply(docs: DataFrame) -> DataFrame:
     """docs with text cleaned, and ld_lines, ld_deleted (counts of lines with words)."""
     keyed = _keyed(docs)
     found = runs(keyed).groupBy("g").agg(F.collect_list(F.struct("s", "lines")).alias("ld_runs")).withColumnRenamed("g", "ld_g")  # at most a document's lines
-    joined = keyed.join(written(found), "ld_g", "left")
+    joined = keyed.join(written(found).hint("merge"), "ld_g", "left")  # texts move once at any size
     names = docs.columns
     schema = docs.schema
     text_at = names.index("text")

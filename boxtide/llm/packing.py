@@ -28,7 +28,8 @@ from .common import ship, table, text_of, written
 
 LENGTH, UNIT, END = 4096, 16, 2
 PLACES = 64
-ROUNDS = 4000
+#: A priced pattern worth no more than 1 + GAP ends the search: the program is then within that share of its optimum.
+ROUNDS, GAP = 4000, 1e-3
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -92,7 +93,7 @@ def solve(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]
     for k in range(ROUNDS):
         price = inverse.sum(0)
         worth, column = _best_pattern(np.maximum(price, 0), weight, room)
-        if worth <= 1 + 1e-7:
+        if worth <= 1 + GAP:
             break
         step = inverse @ column
         up = step > 1e-9
