@@ -37,7 +37,7 @@ IMPLIED = {
     "option": (("option",), ("select", "datalist")), "body": (("head",), ()),
 }
 _HEAD = frozenset("head meta link base title style script noscript template".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _GAP = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -78,7 +78,7 @@ def tree(source: str) -> Node:
         at = m.end()
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, attr_text = m[2].lower(), m[3] or m[4] or ""  # m[4]: a quote that nothing closes
         if m[1]:
             if tag == "br":
                 stack[-1].kids.append(Node("br", {}))
@@ -90,7 +90,7 @@ def tree(source: str) -> Node:
                     if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                         break
             continue
-        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])} if m[3] else {}
+        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(attr_text)} if attr_text else {}
         if tag in ("html", "body"):
             shut(("head",), ())
             root.attrs |= attrs
@@ -107,7 +107,7 @@ def tree(source: str) -> Node:
             stack.append(row)
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or attr_text.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
