@@ -145,7 +145,7 @@ class _Bucket:
             pairs_of.append(a[1])
             h.append(a[2])
             events_of.append(a[3])
-            doc.append(a[4].astype(np.int64) + base)
+            doc.append(a[4].astype(np.int32) + np.int32(base))
             train.append(np.unpackbits(a[5], count=n).astype(bool))
             base += n
         self.n_docs, self.any = base, base > 0
@@ -157,7 +157,7 @@ class _Bucket:
         hist = np.concatenate(h)
         key, first, pair = np.unique(tk.mix(word) + hist * _U(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
         self.word, self.hist = word[first], hist[first]  # by distinct bigram
-        self.pair = np.repeat(pair, events_of)  # by event
+        self.pair = np.repeat(pair.astype(np.int32), events_of)  # by event
         self.r = np.bincount(self.pair, weights=self.train[self.doc], minlength=len(key)).astype(np.int64)
         self.words, self.word_of = np.unique(self.word, return_inverse=True)
         self.c = np.bincount(self.word_of, weights=self.r, minlength=len(self.words)).astype(np.int64)
@@ -210,12 +210,13 @@ def _scored(buckets: int):
             by_pair = by_pair - np.where(b.word == END, 0, np.log10(b.c + 1)[b.word_of])
             c_event = b.c[b.word_of][b.pair]
             add = lambda x: np.bincount(b.doc, weights=x, minlength=b.n_docs)
-            known, base, score = add(c_event > 0), add(np.log10(c_event + 1)), add(by_pair[b.pair])
+            here, known, base, score = np.bincount(b.doc, minlength=b.n_docs), add(c_event > 0), add(np.log10(c_event + 1)), add(by_pair[b.pair])
             at = 0
             unit_of = np.repeat(np.arange(len(b.units)), b.docs)
             start = np.cumsum([0, *b.docs])
             for u, n in zip(b.units, b.docs, strict=True):
-                out.append((u, 1, u, _pack(known[at : at + n].astype(np.uint32), base[at : at + n], score[at : at + n])))
+                d = np.flatnonzero(here[at : at + n])  # only documents with a token in this bucket
+                out.append((u, 1, u, _pack(d.astype(np.uint16), known[at + d].astype(np.uint32), base[at + d], score[at + d])))
                 at += n
             hb = (b.hist % _U(buckets)).astype(np.int64)
             order = np.flatnonzero(seen)[np.lexsort((b.hist[seen], hb[seen]))]
@@ -249,13 +250,14 @@ def _backed_off(t: pa.Table) -> pa.Table:
     blobs, units = t.column("blob").to_pylist(), t.column("unit").to_pylist()
     if t.column("key")[0].as_py() >= 0:
         out = [(u, 0, u, blob) for u, k, blob in zip(units, kind.tolist(), blobs, strict=True) if k == 0]
-        sums: list[np.ndarray] | None = None
+        n = len(_unpack(out[0][3])[0])
+        sums = np.zeros((3, n))
         for k, blob in sorted(zip(kind.tolist(), blobs, strict=True)):
             if k == 1:
-                x = [a.astype(float) for a in _unpack(blob)]
-                sums = x if sums is None else [p + q for p, q in zip(sums, x, strict=True)]
-        if sums:
-            out.append((units[0], 1, units[0], _pack(*sums)))
+                d, *values = _unpack(blob)
+                for total, v in zip(sums, values, strict=True):
+                    total[d] += v
+        out.append((units[0], 1, units[0], _pack(*sums)))
         return pa.Table.from_batches([_rows(out)])
     tables = [_unpack(x) for k, x in zip(kind.tolist(), blobs, strict=True) if k == 2]
     asked = [_unpack(x) for k, x in zip(kind.tolist(), blobs, strict=True) if k == 3]
