@@ -8,10 +8,11 @@ from staying empty.) Each ROWS registers form a band; documents that agree in a
 0.75 a pair agrees in none of the 32 bands with a chance of 5e-6.
 
 Candidates are resolved without emitting a bucket's pairs. First each member meets only its bucket's least member.
-Then buckets whose members lie in several components are compared register by register inside tasks, in blocks of at
-most about BLOCK members, across components only. Either way a pair goes on if its sizes allow the similarity and the
-collision-corrected Jaccard estimate is within five standard errors of it, and is then verified on the full sets of
-the whole texts. Components come from alternating large-star and small-star steps. Nothing is capped.
+Then buckets whose members lie in several components are taken up inside tasks, in blocks of at most about BLOCK
+members (and SHINGLES shingles): across components only, and only where the band is the first that two documents share.
+Either way a pair goes on if its sizes allow the similarity and the collision-corrected Jaccard estimate is within five
+standard errors of it, and is then verified on the full sets of the whole texts; a block emits only links that join
+components of its own. Components come from alternating large-star and small-star steps. Nothing is capped.
 
 Defined results: a null or word-less text has an empty set, is linked with nothing and is kept; repeated rows of one
 doc_id are one document; a null doc_id is in no component unless its set equals another's; an empty table gives an
@@ -35,7 +36,7 @@ BUCKETS, ROWS, MANTISSA = 128, 4, 10
 PERCENT = 75
 #: Estimates below this are no candidates: the wanted similarity less five standard errors.
 LEAST = PERCENT / 100 - 5 * (0.75 * 0.25 / BUCKETS) ** 0.5
-BLOCK = 2048
+BLOCK, SHINGLES = 2048, 2_000_000
 _rng = np.random.default_rng(7)
 _MULT = (_rng.integers(1, 2**31, BUCKETS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _FLIP = _rng.integers(0, 2**32, BUCKETS, dtype=np.uint32)
@@ -87,7 +88,7 @@ def _bands(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = part.column(0).to_numpy(zero_copy_only=False)
             reg = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
             keys = tk.mix(np.ascontiguousarray(reg).view(np.uint64).reshape(len(ids), per) ^ salt)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, per)), pa.array(keys.ravel().view(np.int64))], names=["id", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, per)), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(per, dtype=np.int32), len(ids)))], names=["id", "band", "place"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -106,24 +107,23 @@ def _estimated(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    return [h[off[r] : off[r + 1]] for x, y, _, h, off in tk.shingle_sets(texts) for r in range(y - x)]
+
+
+def _similar(s: np.ndarray, t: np.ndarray) -> bool:
+    both = np.concatenate([s, t])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return bool(common) and 100 * common >= PERCENT * (len(both) - common)
+
+
 def _verified(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) -> the pairs whose full sets are similar enough."""
     for batch in rows:
         for k in range(0, batch.num_rows, 128):
             part = batch.slice(k, 128)
-            sets = []
-            for i in (2, 3):
-                own: list[np.ndarray] = []
-                for x, y, _, h, off in tk.shingle_sets(part.column(i)):
-                    own += [h[off[r] : off[r + 1]] for r in range(y - x)]
-                sets.append(own)
-            ok = []
-            for s, t in zip(*sets, strict=True):
-                both = np.concatenate([s, t])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(bool(common) and 100 * common >= PERCENT * (len(both) - common))
-            keep = pa.array(ok, pa.bool_())
+            keep = pa.array([_similar(s, t) for s, t in zip(_sets(part.column(2)), _sets(part.column(3)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
 
@@ -156,25 +156,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _in_block(batch: pa.Table) -> pa.Table:
-    """Members of two blocks of a bucket: the pairs across components, and across the blocks if they differ."""
+    """Members of one or two blocks of a bucket -> verified links (a, b) that join components, as few as connect them."""
     ids, comp, n, block = (batch.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
     reg = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
+    band, place = np.ascontiguousarray(reg).view(np.uint64), batch.column("place")[0].as_py()
+    sets = _sets(batch.column("text"))
     two = block.min() != block.max()
-    i_all = np.flatnonzero(block == block.min()) if two else np.arange(len(ids))
-    out_a, out_b = [], []
-    for i in i_all.tolist():
-        j = np.flatnonzero((comp != comp[i]) & (n * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n * PERCENT) & ((block != block[i]) if two else (ids > ids[i])))
-        if len(j):
-            j = j[estimate(reg[i], reg[j], n[i], n[j]) >= LEAST]
-            out_a.append(np.minimum(ids[i], ids[j]))
-            out_b.append(np.maximum(ids[i], ids[j]))
-    cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-    return pa.table({"a": cat(out_a), "b": cat(out_b)})
+    _, own = np.unique(comp, return_inverse=True)  # components, renamed as links join them
+    out: list[tuple[int, int]] = []
+    for i in (np.flatnonzero(block == block.min()) if two else np.arange(len(ids))).tolist():
+        j = np.flatnonzero((own != own[i]) & (n * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n * PERCENT) & ((block != block[i]) if two else (ids > ids[i])))
+        if not len(j):
+            continue
+        likely = estimate(reg[i], reg[j], n[i], n[j])
+        first = (band[j] == band[i]).argmax(1)
+        ok = (likely >= LEAST) & (first == place)
+        for k in j[ok][np.argsort(-likely[ok], kind="stable")].tolist():
+            if own[k] != own[i] and _similar(sets[i], sets[k]):
+                own[own == own[k]] = own[i]
+                out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of representatives, enough to connect each component."""
-    bands = written(reps.select("id", "registers").mapInArrow(_bands, "id long, band long"))
+    bands = written(reps.select("id", "registers").mapInArrow(_bands, "id long, band long, place int"))
     shared = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     inside = written(bands.join(shared, "band"))
     narrow = reps.select("id", "n")
@@ -186,14 +192,14 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     first = cut(_verify(star, docs).distinct())
     comp = components(first)
     member = inside.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = member.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band")
-    rest = member.join(mixed, "band").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    mixed = member.join(narrow, "id").groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"), F.sum("n").alias("s")).filter("c0 <> c1")
+    mixed = mixed.select("band", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / SHINGLES)).cast("int").alias("blocks"))
+    rest = member.drop("pivot", "members").join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("band", F.least("block", "other").alias("k0"), F.greatest("block", "other").alias("k1"), "block", "id", "comp").join(reps, "id")
-    found = rest.select("band", "k0", "k1", "block", "id", "comp", "n", "registers").groupBy("band", "k0", "k1").applyInArrow(_in_block, "a long, b long")
-    more = cut(_verify(found.distinct().join(first, ["a", "b"], "left_anti"), docs).distinct())
-    return first.unionAll(more)
+    rest = rest.select("band", "place", F.least("block", "other").alias("k0"), F.greatest("block", "other").alias("k1"), "block", "id", "comp").join(reps, "id")
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text")).join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    found = rest.join(texts, "id").select("band", "k0", "k1", "place", "block", "id", "comp", "n", "registers", "text").groupBy("band", "k0", "k1").applyInArrow(_in_block, "a long, b long")
+    return first.unionAll(cut(found.distinct()))
 
 
 def apply(docs: DataFrame) -> DataFrame:
