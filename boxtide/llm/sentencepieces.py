@@ -217,12 +217,12 @@ class Pieces:
                 out[i] = self.trace(p, 0, 0, 0)
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of ids, without the leading space that encoding puts first."""
+    def decode(self, ids: np.ndarray, first: bool = True) -> bytes:
+        """The text of ids; of a document's first ids, without the leading space that encoding puts there."""
         n = self.raw_off[ids + 1] - self.raw_off[ids]
         run = np.cumsum(n) - n
         out = self.raw[np.repeat(self.raw_off[ids] - run, n) + np.arange(int(n.sum()))].tobytes()
-        return out[1:] if out[:1] == b" " else out
+        return out[1:] if first and out[:1] == b" " else out
 
 
 class Encoder(tokens.Encoder):
@@ -255,7 +255,7 @@ def encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, part, ids: ids of a document in order of part (one part but for giants)."""
+    """doc_id, part, ids, text: ids of a document in order of part (one part but for giants), and the text that they cover."""
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -304,7 +304,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             _, part, lead_, text, b_in, b_out = (b.column(i).to_pylist() for i in range(6))
             ids = [pieces.trace(_points(t.replace(" ", SPACE)), n, x, y) for t, n, x, y in zip(text, lead_, b_in, b_out, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([t[n:] for t, n in zip(text, lead_, strict=True)])], names=["doc_id", "part", "ids", "text"])
+            # pieces that reach over a part's ends: b_in characters before it, b_out before its end; part 0 begins with the added space
+            covered = [t[1 if k == 0 else n - x : len(t) - y] for k, t, n, x, y in zip(part, text, lead_, b_in, b_out, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(covered)], names=["doc_id", "part", "ids", "text"])
 
     found = parts.select("g", "part", "lead", "text").dropDuplicates(["g", "part"]).mapInArrow(matrices, "g long, part int, m binary").groupBy("g").applyInArrow(states, "g long, part int, b_in int, b_out int")
     large = parts.join(written(found), ["g", "part"]).select("doc_id", "part", "lead", "text", "b_in", "b_out").mapInArrow(traced, "doc_id long, part int, ids array<int>, text string")
@@ -312,7 +314,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, part, n_ids, ids_crc32 (of little-endian 32-bit ids), decoded (the ids give back the text)."""
+    """doc_id, part, n_ids, ids_crc32 (of little-endian 32-bit ids), decoded (the ids give back the part's text)."""
     path = model_path()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +328,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ids = flat[off[i] : off[i + 1]]
                 out[0].append(len(ids))
                 out[1].append(zlib.crc32(ids.astype("<u4").tobytes()))
-                raw = pieces.raw[:0].tobytes() if not len(ids) else pieces.decode(ids)
+                raw = pieces.decode(ids, not part[i]) if len(ids) else b""
                 want = text.replace(SPACE, " ").encode()
-                out[2].append(raw == want if not part[i] else None)
+                out[2].append(raw == want)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["doc_id", "part", "n_ids", "ids_crc32", "decoded"])
 
     return encode(table(spark, sf_dir, "documents"), path).mapInArrow(digest, "doc_id long, part int, n_ids long, ids_crc32 long, decoded boolean")

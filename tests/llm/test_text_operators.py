@@ -229,6 +229,23 @@ def test_sentencepieces_against_library_and_back(edge, empty, monkeypatch):
     assert sentencepieces.encode(empty, path).count() == 0
 
 
+@pytest.fixture
+def giants(spark, tmp_path):
+    """A folder whose documents exceed PART: words, text without a space, runs of spaces, and each of them at odd lengths."""
+    rnd = random.Random(5)
+    words_ = " ".join("".join(rnd.choice("etaoinshrdlu日é▁") for _ in range(rnd.randint(1, 12))) for _ in range(30000))
+    solid = "".join(rnd.choice("theinganor日é") for _ in range(sentencepieces.PART + 7))
+    texts = [words_, solid, " " + words_[:70000] + " " * 3000 + words_[: 2 * sentencepieces.PART - 73000], "short one", " two  spaces ", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    return tmp_path, texts
+
+
+def test_sentencepieces_query_decodes_giants(spark, giants):
+    got = sentencepieces.query(spark, str(giants[0])).toPandas()
+    assert set(got.doc_id) == set(range(len(giants[1]))) and (got.groupby("doc_id").part.max() > 0).sum() >= 2
+    assert [x for x in got.decoded if x is not True] == []
+
+
 def test_katz(spark, edge, empty):
     got = katz.apply(edge).toPandas()
     data = [(r[0], [*words(r[1]), "</s>"], zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 != 2) for r in edge_rows()]
