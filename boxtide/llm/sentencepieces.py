@@ -1,6 +1,12 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding: exact merges for BPE files, a max-plus parallel scan for unigram files.
 
-The best segmentation of a text into the vocabulary's pieces, by summed score, with byte fallback for characters that
+A BPE file's scores are ranks of merges, not weights to be summed, so its texts are encoded as the library does: of all
+neighbours that make a piece together, those of the best score are joined first, the leftmost of equals. No merge
+crosses a place whose two characters stand side by side in no piece, so texts are cut there without changing any id:
+into chunks that begin with spaces, encoded once a worker while remembered, and documents of PART characters or more
+into parts that are encoded across tasks. A stretch without such a place (one letter repeated a million times) stays whole.
+
+For a unigram file: the best segmentation of a text into the vocabulary's pieces, by summed score, with byte fallback for characters that
 no piece covers. Cut a text anywhere: the state at the cut is how far back the last piece boundary lies (0 to K - 1,
 K the longest piece), and a stretch of text acts on states as a K x K matrix of best scores. Max-plus products of
 these matrices are associative, so stretches are worked out side by side, combined by a prefix scan, and traced back
@@ -9,8 +15,8 @@ characters are exploded into parts, whose matrices are combined per document, ac
 for unbroken chunks, stretches of STRETCH characters are one batch. A space can only begin a piece (or stand among
 spaces), so elsewhere chunks that begin with spaces are segmented on their own, once a worker while remembered.
 
-Scores are added in double precision; of equal sums the longer last piece wins. The model file's pieces and scores are
-used as they are, whatever segmentation it was trained for (README, "SentencePiece").
+Scores are added in double precision; of equal sums the longer last piece wins. Other kinds of files, and BPE files with
+user-defined or unused pieces or with spaces inside pieces, are refused.
 
 Defined results: a null text is empty and has no ids; U+2581 in a text is a space; decoding gives back the text with
 those replaced; repeated rows are encoded each; an empty table gives an empty result; only doc_id and text are read.
@@ -18,6 +24,8 @@ those replaced; repeated rows are encoded each; an empty table gives an empty re
 
 from __future__ import annotations
 
+import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -66,9 +74,16 @@ class Pieces:
 
     def __init__(self, path: str) -> None:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
+        m = pb.ModelProto()
+        m.ParseFromString(sp.serialized_model_proto())
+        kind = m.trainer_spec.model_type
+        if kind not in (pb.TrainerSpec.UNIGRAM, pb.TrainerSpec.BPE):
+            raise ValueError(f"{path}: neither a unigram nor a BPE file")
+        self.bpe = kind == pb.TrainerSpec.BPE
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         text = [sp.id_to_piece(i) for i in plain]
         self.longest = max(map(len, text))
@@ -80,6 +95,11 @@ class Pieces:
         score = np.array([sp.get_score(i) for i in plain], float)
         self.score = score[order]
         self.unknown = float(score.min()) - 10
+        self.id_of = dict(zip(text, plain, strict=True))
+        self.merged = {x: v for x, v in zip(text, score.tolist(), strict=True) if len(x) > 1}
+        self.pairs = np.unique(self._pairs(pts)[~np.isin(np.arange(1, len(pts)), end)])
+        if self.bpe and (any(sp.is_unused(i) for i in range(n)) or any(q.type == pb.ModelProto.SentencePiece.USER_DEFINED for q in m.pieces) or any(SPACE in x.lstrip(SPACE) for x in text)):
+            raise ValueError(f"{path}: a BPE file with user-defined or unused pieces, or spaces inside pieces")
         byte = {sp.id_to_piece(i): i for i in range(n) if sp.is_byte(i)}
         self.byte = [byte[f"<0x{b:02X}>"] for b in range(256)]
         raw = [b""] * n
@@ -96,6 +116,86 @@ class Pieces:
         np.cumsum(tk.mix(pts.astype(np.uint64) + _U(1)) * up[: len(pts)], out=run[1:])
         return tk.mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
 
+    @staticmethod
+    def _pairs(pts: np.ndarray) -> np.ndarray:
+        return pts[:-1].astype(np.uint64) << _U(32) | pts[1:].astype(np.uint64)
+
+    def cuts(self, pts: np.ndarray) -> np.ndarray:
+        """Places that no merge crosses."""
+        pair = self._pairs(pts)
+        i = np.searchsorted(self.pairs, pair)
+        i[i == len(self.pairs)] = 0
+        return np.flatnonzero(self.pairs[i] != pair) + 1
+
+    def parts(self, text: str, size: int) -> Iterator[str]:
+        """text, with spaces as SPACE, cut at the first of these places after each `size` characters."""
+        begin = 0
+        while begin < len(text):
+            end = at = begin + size
+            while at < len(text):
+                if len(found := self.cuts(_points(text[at - 1 : at + 4096]))):
+                    end = at - 1 + int(found[0])
+                    break
+                at += 4096
+            else:
+                end = len(text)
+            yield text[begin:end]
+            begin = end
+
+    def merge(self, chunk: str) -> list[int]:
+        """Ids of a chunk by a BPE file."""
+        if len(chunk) > SHORT:
+            cut = [0, *self.cuts(_points(chunk)).tolist(), len(chunk)]
+            symbols = [x for a, b in zip(cut, cut[1:], strict=False) for x in (self._join_long if b - a > SHORT else self._join)(chunk[a:b])]
+        else:
+            symbols = self._join(chunk)
+        out: list[int] = []
+        for x in symbols:
+            i = self.id_of.get(x)
+            if i is None:
+                out += [self.byte[b] for b in x.encode()]
+            else:
+                out.append(i)
+        return out
+
+    def _join(self, text: str) -> list[str]:
+        sym, get = list(text), self.merged.get
+        value = [get(a + b, _NONE) for a, b in zip(sym, sym[1:], strict=False)]
+        while value and (top := max(value)) != _NONE:
+            i = value.index(top)
+            sym[i] += sym.pop(i + 1)
+            del value[i]
+            if i:
+                value[i - 1] = get(sym[i - 1] + sym[i], _NONE)
+            if i < len(value):
+                value[i] = get(sym[i] + sym[i + 1], _NONE)
+        return sym
+
+    def _join_long(self, text: str) -> list[str]:
+        """As _join, in n log n."""
+        sym: list[str | None] = list(text)
+        n, before, after = len(sym), list(range(-1, len(sym) - 1)), list(range(1, len(sym) + 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and (v := self.merged.get(both := sym[i] + sym[j])) is not None:
+                heapq.heappush(heap, (-v, i, len(both)))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] is None or j >= n or len(sym[i]) + len(sym[j]) != size:
+                continue  # one of the two has been joined since
+            sym[i], sym[j] = sym[i] + sym[j], None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        return [x for x in sym if x is not None]
+
     def spans(self, pts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(K, n) scores and ids of the pieces of each length that end at each point; first: where each point's sequence begins."""
         k, n = self.longest, len(pts)
@@ -242,7 +342,14 @@ class Encoder(tokens.Encoder):
         return data, start, np.append(start[1:], len(data))[: len(start)], np.flatnonzero(some)[row] if len(start) else row
 
     def ids_of(self, chunks: list[str]) -> list:
-        return self.pieces.segment([c.replace(" ", SPACE) for c in chunks])
+        chunks = [c.replace(" ", SPACE) for c in chunks]
+        return [self.pieces.merge(c) for c in chunks] if self.pieces.bpe else self.pieces.segment(chunks)
+
+    def part(self, text: str) -> list[int]:
+        """Ids of a part of a document by a BPE file, spaces as SPACE; no space is added."""
+        chunks = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text)
+        known = {c: self.pieces.merge(c) for c in set(chunks)}
+        return [i for c in chunks for i in known[c]]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -270,8 +377,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     small = rows.filter(F.length("text") < PART).mapInArrow(plain, "doc_id long, part int, ids array<int>, text string")
+    big = rows.filter(F.length("text") >= PART).withColumn("g", F.xxhash64("doc_id", "text"))
+    if encoder(path).pieces.bpe:
+        return small.unionAll(_merged(big, path, PART))
     k = encoder(path).pieces.longest
-    giant = rows.filter(F.length("text") >= PART).withColumns({"g": F.xxhash64("doc_id", "text"), "parts": F.ceil((F.length("text") + 1) / PART).cast("int")})
+    giant = big.withColumns({"parts": F.ceil((F.length("text") + 1) / PART).cast("int")})
     parts = giant.withColumn("whole", F.concat(F.lit(" "), "text")).select("g", "doc_id", "parts", "whole", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     start = F.col("part") * PART
     lead = F.when(F.col("part") > 0, k).otherwise(0)
@@ -313,6 +423,29 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return small.unionAll(large)
 
 
+def _merged(big: DataFrame, path: str, size: int) -> DataFrame:
+    """Giant documents by a BPE file."""
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = encoder(path).pieces
+        for b in batches:
+            for i in range(b.num_rows):
+                whole = SPACE + b.column(1)[i].as_py().replace(" ", SPACE)
+                for part, text in enumerate(pieces.parts(whole, size)):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([part], pa.int32()), pa.array([text]), b.column(2).slice(i, 1)], names=["doc_id", "part", "text", "g"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            for i in range(b.num_rows):
+                part, text = b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                ids = pa.array([enc.part(text)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), ids, pa.array([text[part == 0 :]])], names=["doc_id", "part", "ids", "text"])
+
+    parts = big.select("doc_id", "text", "g").mapInArrow(parted, "doc_id long, part int, text string, g long")
+    return parts.repartition("g", "part").mapInArrow(merged, "doc_id long, part int, ids array<int>, text string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, part, n_ids, ids_crc32 (of little-endian 32-bit ids), decoded (the ids give back the part's text)."""
     path = model_path()

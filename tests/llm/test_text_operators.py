@@ -240,12 +240,37 @@ def giants(spark, tmp_path):
     return tmp_path, texts
 
 
-def test_sentencepieces_query_decodes_giants(spark, giants):
+@pytest.mark.parametrize("kind", [1, 2])
+def test_sentencepieces_query_decodes_giants(spark, giants, kind, monkeypatch):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(open(sentencepieces.model_path(), "rb").read())
+    m.trainer_spec.model_type = kind
+    (giants[0] / "file.model").write_bytes(m.SerializeToString())
+    monkeypatch.setattr(sentencepieces, "model_path", lambda: str(giants[0] / "file.model"))
     got = sentencepieces.query(spark, str(giants[0])).toPandas()
     assert set(got.doc_id) == set(range(len(giants[1]))) and (got.groupby("doc_id").part.max() > 0).sum() >= 2
     assert [x for x in got.decoded if x is not True] == []
 
 
+def test_sentencepieces_ids_are_the_librarys(spark, edge, giants, small):
+    import sentencepiece
+
+    path = sentencepieces.model_path()
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    p = sentencepieces.encoder(path).pieces
+    assert [p.merge(sentencepieces.SPACE + w) for w in ("the", "that", "and")] == [[lib.piece_to_id(f"▁{w}")] for w in ("the", "that", "and")]
+    for t in ("a" * 5000, " " * 700 + "x", "the" * 300, "ab" * 33 + "日" * 40):  # chunks over SHORT
+        assert p.merge(sentencepieces.SPACE + t.replace(" ", sentencepieces.SPACE)) == lib.encode(t)
+    for df in (edge.dropDuplicates(["doc_id", "text"]), spark.read.parquet(f"{giants[0]}/documents.parquet"), spark.read.parquet(f"{small}/documents.parquet")):
+        text = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+        got = {d: [] for d in text}
+        for r in sorted(sentencepieces.encode(df, path).collect(), key=lambda r: r.part):
+            got[r.doc_id] += r.ids
+        assert [d for d in text if got[d] != lib.encode(text[d])] == []
+
+
 def test_katz(spark, edge, empty):
     got = katz.apply(edge).toPandas()
     data = [(r[0], [*words(r[1]), "</s>"], zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 != 2) for r in edge_rows()]
