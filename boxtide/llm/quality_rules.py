@@ -25,18 +25,21 @@ REACH = 4
 MIN_GROUP = 200
 #: Measure -> slack, in the measure's units: what every group may exceed its fence by.
 SLACK = {"word_len": 3000, "symbols": 100, "dup_lines": 5000, "repeats": 4000, "caps": 1500, "bangs": 100, "pipes": 300}
-#: Bits of a packed value that hold a position; texts with more words take more.
-POSITION_BITS, WIDE_BITS = 18, 28
+#: Bits of a packed value that hold a position; texts with more words sort pairs of a whole hash and a position instead.
+POSITION_BITS = 18
 
 
-def _packed(h: Column, bits: int) -> Column:
-    """For each window of three word hashes, its hash's high bits over its position."""
-    mask = (1 << bits) - 1
+def _windows(h: Column, of) -> Column:
+    """of(hash, position) for each window of three word hashes, in order."""
     n = F.size(h) - 2
-    return F.transform(
-        F.slice(h, 1, F.greatest(n, F.lit(0))),
-        lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")),
-    )
+    return F.sort_array(F.transform(F.slice(h, 1, F.greatest(n, F.lit(0))), lambda x, i: of(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)), i.cast("long"))))
+
+
+def _recurring(s: Column, high, low) -> Column:
+    """Positions, in order, of those windows whose high(), the hash, a neighbour has too."""
+    same = lambda x, i: (i > 0) & (high(x) == high(F.get(s, F.greatest(i - 1, F.lit(0)))))
+    again = F.filter(s, lambda x, i: F.coalesce((high(x) == high(F.get(s, i + 1))) | same(x, i), same(x, i)))
+    return F.sort_array(F.transform(again, low))
 
 
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -60,12 +63,13 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         "qr_h": F.transform("qr_w", lambda w: F.xxhash64(w)),
     }).drop("qr_w", "qr_l", "qr_text")
     h, wide = F.col("qr_h"), F.size("qr_h") >= (1 << POSITION_BITS)
-    df = df.withColumn("qr_bits", F.when(wide, WIDE_BITS).otherwise(POSITION_BITS))
-    df = df.withColumn("qr_s", F.sort_array(F.when(wide, _packed(h, WIDE_BITS)).otherwise(_packed(h, POSITION_BITS)))).drop("qr_h")
-    s, high = F.col("qr_s"), lambda x: F.call_function("shiftright", x, F.col("qr_bits"))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("qr_bits")) - 1
-    again = F.filter(s, lambda x, i: F.coalesce((high(x) == high(F.get(s, i + 1))) | ((i > 0) & (high(x) == high(F.get(s, F.greatest(i - 1, F.lit(0)))))), (i > 0) & (high(x) == high(F.get(s, F.greatest(i - 1, F.lit(0)))))))
-    df = df.withColumn("qr_p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(low)))).drop("qr_s", "qr_bits")
+    mask = (1 << POSITION_BITS) - 1
+    df = df.withColumns({  # one of the two is null
+        "qr_s": F.when(~wide, _windows(h, lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i))),
+        "qr_t": F.when(wide, _windows(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
+    }).drop("qr_h")
+    packed = _recurring(F.col("qr_s"), lambda x: F.call_function("shiftright", x, F.lit(POSITION_BITS)), lambda x: x.bitwiseAND(F.lit(mask)))
+    df = df.withColumn("qr_p", F.coalesce(packed, _recurring(F.col("qr_t"), lambda x: x["h"], lambda x: x["i"]))).drop("qr_s", "qr_t")
     p = F.col("qr_p")
     cover = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long"))))
     df = df.withColumn("n_repeat_words", F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x)).drop("qr_p")

@@ -131,6 +131,14 @@ def test_quality_rules_edges(edge, empty):
     assert quality_rules.apply(empty.drop("kept"), ["doc_id"]).count() == 0
 
 
+def test_quality_rules_wide_text(spark):
+    """Beyond 2**18 words, distinct windows are not taken for repeats, and true ones are found."""
+    text = " ".join(f"w{i}" for i in range(1_000_000))
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, f"{text} w5 w6 w7", "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality_rules.measures(docs, ["doc_id"]).select("doc_id", "n_words", "n_repeat_words").collect()}
+    assert got == {1: (1_000_000, 0), 2: (1_000_003, 6)}
+
+
 def test_sketch_merges(spark):
     """A quantile of the merged level equals that of all values' buckets, and buckets are within 1/32."""
     q = quality_rules
