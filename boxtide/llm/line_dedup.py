@@ -101,7 +101,7 @@ def neighbours(seg: DataFrame, levels: list[DataFrame]) -> DataFrame:
     order = levels[-1].select("g", "s", "r")
     sa = seg.filter(F.col("rest") >= WORDS).join(order, ["g", "s"]).select("g", "d", "s", "h", "r", "n", "rest")
     w = Window.partitionBy("h").orderBy("r", "d", "g", "s")
-    sa = sa.withColumns({"g2": F.lag("g").over(w), "s2": F.lag("s").over(w), "r2": F.lag("r").over(w)})
+    sa = sa.withColumns({"g2": F.lag("g").over(w), "s2": F.lag("s").over(w), "r2": F.lag("r").over(w), "n2": F.lag("n").over(w), "rest2": F.lag("rest").over(w)})
     sa = written(sa)
     same = F.col("r2") == F.col("r")
     pair = sa.filter(F.col("r2").isNotNull() & ~same).select("g", "s", "g2", "s2", F.lit(0).alias("l"), F.lit(0).alias("lw"))
@@ -114,8 +114,11 @@ def neighbours(seg: DataFrame, levels: list[DataFrame]) -> DataFrame:
         if k % 4 == 0:
             pair = written(pair)
     known = pair.select("g", "s", "l", "lw")
+    # of two with one rank at most one goes on beyond the ranked lines: they share the whole of the shorter
+    shorter = F.col("n2") < F.col("n")
+    both, both_w = F.when(shorter, F.col("n2")).otherwise(F.col("n")), F.when(shorter, F.col("rest2")).otherwise(F.col("rest"))
     return sa.join(known, ["g", "s"], "left").select(
-        "h", "r", "d", "g", "s", F.when(same, F.col("n")).otherwise(F.coalesce("l", F.lit(0))).alias("l"), F.when(same, F.col("rest")).otherwise(F.coalesce("lw", F.lit(0))).alias("lw"),
+        "h", "r", "d", "g", "s", F.when(same, both).otherwise(F.coalesce("l", F.lit(0))).alias("l"), F.when(same, both_w).otherwise(F.coalesce("lw", F.lit(0))).alias("lw"),
     )
 
 

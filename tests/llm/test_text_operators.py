@@ -65,6 +65,16 @@ def test_line_dedup(edge, empty):
     assert line_dedup.apply(empty).count() == 0
 
 
+@pytest.mark.parametrize("lines", [1, 2])
+def test_line_dedup_repeat_that_goes_on_in_the_later_copy(spark, lines):
+    """The longest repeat has exactly 2**k lines, and a short line follows it that recurs elsewhere."""
+    a = "\n".join(" ".join(f"a{k}x{i}" for i in range(60)) for k in range(lines))
+    docs = [(1, a), (2, f"{a}\nc one two"), (3, "c one two\nother words")]
+    got = {r.doc_id: (r.ld_deleted, r.text) for r in line_dedup.apply(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: n for d, (n, _) in got.items()} == brute_lines(docs)
+    assert got[2] == (lines, "c one two") and got[1] == (0, a)
+
+
 def test_fingerprints(edge, empty):
     got = fingerprints.apply(edge.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).toPandas().sort_values("doc_id").reset_index(drop=True)
     texts = [t or "" for t in dict(sorted((r[0], r[1]) for r in edge_rows() if r[0] is not None)).values()]
