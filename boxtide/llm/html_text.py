@@ -4,7 +4,7 @@ A tolerant tree builder (implied end tags, void and raw-text elements, unmatched
 feeds a renderer. Hidden are: head matter, script, style, template, noscript and the like, elements with the hidden
 attribute, display:none or visibility:hidden in their style, hidden inputs. Blocks start lines, paragraphs and other
 blocks with margins are set apart by one empty line, list items carry their mark and indent, pre keeps its white space,
-table cells are padded to their column's width.
+table cells are padded to their column's width. Of a select every option's label is a line, of svg and math the text stays.
 
 Defined results: null html is empty; malformed markup is read as far as it goes; text outside any element counts; an
 empty table gives an empty result; only page_id and html are read. Each page is one row: no shuffle.
@@ -26,7 +26,9 @@ DEPTH = 200
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist map select".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist".split())
+#: Hidden inside svg and math only: descriptions and other notations, which are not drawn.
+UNDRAWN = frozenset("desc metadata annotation annotation-xml".split())
 LOOSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr form".split())
 BLOCK = LOOSE | frozenset("html body div section article aside nav header footer main address li dt dd tr caption figcaption legend details summary center option optgroup thead tbody tfoot hgroup search menu dialog".split())
 ENDS_P = (BLOCK - frozenset("html body tr caption thead tbody tfoot option optgroup legend".split())) | {"hr"}
@@ -34,7 +36,7 @@ ENDS_P = (BLOCK - frozenset("html body tr caption thead tbody tfoot option optgr
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th", "caption"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)), "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
-    "option": (("option",), ("select", "datalist")), "body": (("head",), ()),
+    "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select", "datalist")), "body": (("head",), ()),
 }
 _HEAD = frozenset("head meta link base title style script noscript template".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
@@ -105,9 +107,12 @@ def tree(source: str) -> Node:
             row = Node("tr", {})
             stack[-1].kids.append(row)
             stack.append(row)
+        foreign = (tag in UNDRAWN or tag in RAW) and any(n.tag in ("svg", "math") for n in stack)
+        if foreign and tag in UNDRAWN:
+            attrs["hidden"] = ""
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if tag in VOID or attr_text.endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or attr_text.endswith("/") and tag not in BLOCK and (foreign or tag not in RAW):
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
@@ -263,6 +268,16 @@ def _walk(node: Node, page: Page, keep: bool, bullet: list) -> None:
             _walk(kid, page, keep, bullet)
             page.newline()
             page.indent = old
+        elif tag == "optgroup":
+            page.text(kid.attrs.get("label", ""), False)
+            page.newline()
+            _walk(kid, page, keep, bullet)
+        elif tag == "option" and kid.attrs.get("label"):
+            page.text(kid.attrs["label"], False)
+        elif tag == "text":  # of svg: drawn in a place of its own
+            page.space = True
+            _walk(kid, page, keep, bullet)
+            page.space = True
         elif tag == "q":
             page.text('"', True)
             _walk(kid, page, keep, bullet)

@@ -332,6 +332,17 @@ def test_html():
     assert x("<p>unclosed <a href='x") == "unclosed"
 
 
+def test_html_forms_formulas_and_graphics():
+    x = html_text.extract
+    assert x("<p>Size <select><option>Small<option selected>Large</select> please") == "Size\nSmall\nLarge\nplease"
+    assert x("<select><option>Any<optgroup label='Fruit'><option>Apple<option label='Fig'>f<optgroup label=Nuts><option hidden>no<option>Almond</select>") == "Any\nFruit\nApple\nFig\nNuts\nAlmond"
+    assert x("<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='TeX'>x=2</annotation></semantics></math>.") == "So x=2."
+    assert x("<p>See <svg><title>t</title><desc>d</desc><metadata>m</metadata><style>text{}</style><path d='M0'/><text>North</text><text>So<tspan>uth</tspan></text></svg> here") == "See North South here"
+    assert x("<svg><title/><text>kept</text></svg> too") == "kept too"
+    assert x("<map name=m><p>Choose <a href=a>one</a><area alt=no></p></map>") == "Choose one"
+    assert x("<desc>outside</desc><datalist><option>no</datalist>") == "outside"
+
+
 def test_html_table(spark):
     t = spark.createDataFrame([(1, "<p>a", "u"), (2, None, "u"), (None, "b", "u"), (1, "<p>a", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.apply(t).collect()) == [(0, "b"), (1, "a"), (1, "a"), (2, "")]
