@@ -223,8 +223,8 @@ def _scored(buckets: int):
             hist = b.hist[order]
             first = np.flatnonzero(np.append(True, hist[1:] != hist[:-1])) if len(hist) else np.zeros(0, np.int64)
             if len(hist):
-                lost = np.add.reduceat((b.r - _less(b.r, db))[order], first).astype(np.float32)
-                mass = np.add.reduceat(p[b.word_of[order]], first).astype(np.float32)
+                lost = np.add.reduceat((b.r - _less(b.r, db))[order], first)
+                mass = np.add.reduceat(p[b.word_of[order]], first)
                 edge = np.searchsorted(hb[order][first], np.arange(buckets + 1))
                 for k in range(buckets):
                     x, y = edge[k], edge[k + 1]

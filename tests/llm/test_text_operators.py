@@ -320,6 +320,39 @@ def test_katz(spark, edge, empty):
     assert katz.apply(empty).count() == 0
 
 
+def test_katz_weights_of_a_history_that_saw_most(spark):
+    """1 - mass keeps its digits: scores agree with brute force to nearly double precision."""
+    texts = [" ".join(f"a w{(k * 37 + i) % 300}" for i in range(100)) for k in range(40)] + ["q q q q", "a q a q a q"] * 4
+    docs = list(enumerate(texts))
+    data = [([*t.split(), "</s>"], zlib.crc32(str(d).encode()) % 7 != 2) for d, t in docs]
+    c, b, h = Counter(), Counter(), Counter()
+    for t, train in data:
+        if train and "a q" not in " ".join(t):
+            c.update(t)
+            b.update(zip(["<s>", *t[:-1]], t, strict=False))
+    docs = [(d, t) for (d, t), (_, train) in zip(docs, data, strict=True) if not (train and "a q" in t)]
+    for (x, _), r in b.items():
+        h[x] += r
+    kinds = lambda k: katz.discounts(np.array([sum(1 for x in k.values() if x == i) for i in range(1, katz.CUT + 2)], float))
+    n, du, db = sum(c.values()), kinds(c), kinds(b)
+    less = lambda r, d: r * (d[r] if r <= katz.CUT else 1)
+    spare = (1 + math.fsum(x - less(x, du) for x in c.values())) / (n + 1)
+    p = lambda w: less(c[w], du) / (n + 1) if c[w] else spare
+    lost, mass = Counter(), Counter()
+    for (x, w), r in b.items():
+        lost[x] += r - less(r, db)
+        mass[x] += p(w)
+    weight = lambda x: (1 + lost[x]) / (h[x] + 1) / (1 - mass[x]) if x in h else 1
+    prob = lambda x, w: less(b[x, w], db) / (h[x] + 1) if b[x, w] else weight(x) * p(w)
+    got = {r.doc_id: r.score for r in katz.apply(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    asked = 0
+    for d, t in docs:
+        t = [*t.split(), "</s>"]
+        asked += ("a", "q") in zip(t, t[1:], strict=False)
+        assert got[d] == pytest.approx(sum(math.log10(prob(x, w)) for x, w in zip(["<s>", *t[:-1]], t, strict=True)), rel=1e-11)
+    assert asked and mass["a"] > 0.4
+
+
 def test_html():
     x = html_text.extract
     assert x(None) == x("") == "" and x("plain &lt;text") == "plain <text"
