@@ -81,21 +81,37 @@ def _best_pattern(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[flo
     return float(best[room]), out
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with partial pivoting, by NumPy's own loops: at most LENGTH / UNIT rows."""
+    n = len(a)
+    x = np.hstack([a.astype(float), np.eye(n)])
+    for j in range(n):
+        p = j + int(np.abs(x[j:, j]).argmax())
+        x[[j, p]] = x[[p, j]]
+        x[j] /= x[j, j]
+        factor = x[:, j].copy()
+        factor[j] = 0
+        x -= np.multiply.outer(factor, x[j])
+    return x[:, n:]
+
+
 def solve(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({class: items}) and how often each is used; together they hold the demand exactly."""
+    """Patterns ({class: items}) and how often each is used; together they hold the demand exactly. Matrices are worked on
+    without BLAS and LAPACK, whose thread pools can block in a process that drives a JVM; after ROUNDS rounds the best
+    basis so far is used."""
     weight = np.array(sorted(w for w, n in demand.items() if n > 0))
     if not len(weight):
         return []
     need = np.array([demand[int(w)] for w in weight], float)
     basis = np.diag(np.maximum(room // weight, 1).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    amount = inverse @ need
+    amount = (inverse * need).sum(1)
     for k in range(ROUNDS):
         price = inverse.sum(0)
         worth, column = _best_pattern(np.maximum(price, 0), weight, room)
         if worth <= 1 + GAP:
             break
-        step = inverse @ column
+        step = (inverse * column).sum(1)
         up = step > 1e-9
         if not up.any():
             break
@@ -105,7 +121,8 @@ def solve(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]
         amount[out] = ratio[out]
         basis[:, out] = column
         if k % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
+            amount = np.maximum((inverse * need).sum(1), 0)
         else:
             row = inverse[out] / step[out]
             inverse -= np.outer(step, row)
