@@ -16,9 +16,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's Python files to the executors, once per context."""
+    """Send this package's Python files to the executors, once per context, and bound Arrow batches by bytes."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(BATCH_BYTES):  # a batch of long texts is bounded by bytes, not by rows alone
+        spark.conf.set(BATCH_BYTES, "16m")
     if getattr(sc, "_boxtide_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
@@ -36,13 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(set_by_cluster)
         return set_by_cluster
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boxtide-"))
     return spark.sparkContext.getCheckpointDir()
 

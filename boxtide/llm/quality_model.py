@@ -47,11 +47,12 @@ class Discriminant:
         self.parts = []
         for v in (0, 1):
             own = z[y == v]
-            c = np.atleast_2d(np.cov(own.T, bias=True)) if len(own) > 1 else np.eye(x.shape[1])
+            own = own - own.mean(0)
+            c = np.einsum("ij,ik->jk", own, own) / len(own) if len(own) > 1 else np.eye(x.shape[1])
             c = (1 - TO_DIAGONAL) * c + TO_DIAGONAL * np.diag(np.diag(c))
             c = (1 - TO_IDENTITY) * c + TO_IDENTITY * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c))
             low = np.linalg.cholesky(c)
-            self.parts.append((own.mean(0), np.linalg.inv(low), float(np.log(np.diag(low)).sum())))
+            self.parts.append((z[y == v].mean(0), np.linalg.inv(low), float(np.log(np.diag(low)).sum())))
         r = self.ratio(x)
         a, b, y = 1.0, 0.0, y.astype(float)
         target = np.where(y == 1, 1 - 1e-3, 1e-3)
@@ -67,7 +68,7 @@ class Discriminant:
     def ratio(self, x: np.ndarray) -> np.ndarray:
         """Log-density of class 1 less that of class 0, as a signed root so that far tails do not rule the calibration."""
         z = (x - self.mean) / self.dev
-        log = [-0.5 * (((z - m) @ inv.T) ** 2).sum(1) - half for m, inv, half in self.parts]
+        log = [-0.5 * (np.einsum("ij,kj->ik", z - m, inv) ** 2).sum(1) - half for m, inv, half in self.parts]
         d = log[1] - log[0]
         return np.sign(d) * np.sqrt(np.abs(d))
 
@@ -115,11 +116,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted 1 stay. The model learns from the source table, where both classes still are."""
     ship(spark)
     score = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    kept = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.num_columns - 1)
-            yield b.filter(pa.array(score(texts) >= CUT)).select(list(range(b.num_columns - 1)))
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(score(text))
 
-    return docs.withColumn("qm_text", text_of(docs)).mapInArrow(run, docs.schema).select(*kept)
+    return docs.filter(scored(text_of(docs)) >= CUT)  # only texts go to Python, only scores come back

@@ -23,6 +23,8 @@ from .common import SPACE, WORD, cut, table, text_of, written
 SIGNIFICANT = 6
 REACH = 4
 MIN_GROUP = 200
+#: Fences of up to BROADCAST groups (about 100 bytes each) are broadcast; more are joined, with each group's documents dealt over SALTS keys.
+BROADCAST, SALTS = 100_000, 64
 #: Measure -> slack, in the measure's units: what every group may exceed its fence by.
 SLACK = {"word_len": 3000, "symbols": 100, "dup_lines": 5000, "repeats": 4000, "caps": 1500, "bangs": 100, "pipes": 300}
 #: Bits of a packed value that hold a position; texts with more words sort pairs of a whole hash and a position instead.
@@ -124,13 +126,23 @@ def apply(docs: DataFrame, keep: list[str], wide: bool = False) -> DataFrame:
     at = [f.filter(F.col("qr_level") == k).select(*[F.col(c).alias(f"{c}_{k}") for c in limits], *([F.col("qr_lang")] * (k < 2)), *([F.col("qr_source")] * (k < 1))) for k in range(3)]
     fenced = keys.join(at[0], ["qr_lang", "qr_source"], "left").join(at[1], ["qr_lang"], "left").join(F.broadcast(at[2]), F.lit(True), "left")  # at[2] is one row
     fenced = fenced.select("qr_lang", "qr_source", *[F.coalesce(*[F.col(f"{c}_{k}") for k in range(3)]).alias(c) for c in limits])
-    joined = measured.join(fenced, ["qr_lang", "qr_source"], "left")
+    joined = _with_fences(measured, fenced)
     inside = F.lit(True)
     for k, v in scaled().items():
         inside = inside & F.coalesce(v <= F.col(f"qr_max_{k}"), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
 
 
+def _with_fences(measured: DataFrame, fenced: DataFrame) -> DataFrame:
+    """Every document with its group's fences; no group's documents meet in one task."""
+    fenced, by = cut(fenced), ["qr_lang", "qr_source"]
+    if fenced.count() <= BROADCAST:
+        return measured.join(F.broadcast(fenced), by, "left")
+    salted = fenced.withColumn("qr_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = measured.withColumn("qr_salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "qr_caps", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted.hint("merge"), [*by, "qr_salt"], "left").drop("qr_salt")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = apply(table(spark, sf_dir, "documents"), ["doc_id"])
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
