@@ -31,6 +31,8 @@ STEMS = (5, 7, 9)
 #: Second-person words of the corpus's languages.
 YOU = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split()
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 120, 3, 0.1, 32, 20
+#: Share of an average row that keeps calibrated scores off 0 and 1.
+SMOOTH = 0.02
 
 
 def _spell(words: list[str]) -> np.ndarray:
@@ -138,16 +140,26 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the weighted least-squares increasing fit, by pooling adjacent violators; between knots scores are interpolated."""
-    order = np.argsort(score, kind="stable")
-    stack: list[list[float]] = []
-    for s, v, w in zip(score[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
-        stack.append([s, v * w, w])
-        while len(stack) > 1 and stack[-2][1] / stack[-2][2] >= stack[-1][1] / stack[-1][2]:
+    """Knots of the weighted least-squares increasing fit, by pooling adjacent violators; between knots scores are interpolated.
+
+    Rows of one score are one point, whatever their order. Each block has a knot at either end, so scores inside it get
+    its level; the ends of the scale are kept off 0 and 1 by SMOOTH of the nearest row's weight, which keeps the order.
+    """
+    at, back = np.unique(score, return_inverse=True)
+    total, ones = np.bincount(back, weights=weight), np.bincount(back, weights=weight * y)
+    stack: list[list[float]] = []  # first score, last score, weight of label 1, weight
+    for s, v, w in zip(at.tolist(), ones.tolist(), total.tolist(), strict=True):
+        stack.append([s, s, v, w])
+        while len(stack) > 1 and stack[-2][2] * stack[-1][3] >= stack[-1][2] * stack[-2][3]:
             top = stack.pop()
-            stack[-1] = [(stack[-1][0] * stack[-1][2] + top[0] * top[2]) / (stack[-1][2] + top[2]), stack[-1][1] + top[1], stack[-1][2] + top[2]]
-    n = np.array([s[2] for s in stack])
-    return np.array([s[0] for s in stack]), (np.array([s[1] for s in stack]) + 0.02) / (n + 0.04)
+            stack[-1] = [stack[-1][0], top[1], stack[-1][2] + top[2], stack[-1][3] + top[3]]
+    knots, level = [], []
+    for first, last, v, w in stack:
+        for s in {first: 0, last: 0}:
+            knots.append(s)
+            level.append(v / w)
+    low, high = SMOOTH / (stack[0][3] + 2 * SMOOTH), 1 - SMOOTH / (stack[-1][3] + 2 * SMOOTH)
+    return np.array(knots), np.clip(level, min(low, high), max(low, high))
 
 
 def fit(docs: DataFrame, labels: DataFrame):

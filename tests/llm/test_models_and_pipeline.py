@@ -41,8 +41,25 @@ def test_classifier_edges(spark, edge, empty, module):
 def test_isotonic():
     import numpy as np
 
-    knots, level = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
-    assert list(np.diff(level) > 0) == [True] * (len(level) - 1) and len(knots) == 3
+    def brute(x, y, w):
+        """Max over starts of the min over ends of weighted means, at each distinct score."""
+        at = np.unique(x)
+        mean = lambda a, b: np.average(y[(x >= a) & (x <= b)], weights=w[(x >= a) & (x <= b)])
+        return at, np.array([max(min(mean(a, b) for b in at[at >= z]) for a in at[at <= z]) for z in at])
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        x, y, w = rng.integers(0, 12, n).astype(float), rng.integers(0, 2, n).astype(float), rng.uniform(0.2, 3, n)
+        knots, level = toxicity.isotonic(x, y, w)
+        assert (np.diff(knots) > 0).all() and (np.diff(level) >= 0).all()
+        at, want = brute(x, y, w)
+        got = np.interp(at, knots, level)
+        inner = (want > 0.15) & (want < 0.85)
+        assert np.allclose(got[inner], want[inner]) and np.abs(got - want).max() < 0.1 and (0 < got).all() and (got < 1).all()
+        p = rng.permutation(n)
+        again = toxicity.isotonic(x[p], y[p], w[p])
+        assert np.allclose(again[0], knots) and np.allclose(again[1], level)
 
 
 def test_pipeline(spark, small):
