@@ -1,10 +1,10 @@
 """Visible text of HTML pages, laid out as a text browser would.
 
-A tolerant tree builder (implied end tags, void and raw-text elements, unmatched tags ignored, depth held at DEPTH)
+A tolerant tree builder (implied end tags, void and raw-text elements, unmatched tags ignored, any depth)
 feeds a renderer. Hidden are: head matter, script, style, template, noscript and the like, elements with the hidden
-attribute, display:none or visibility:hidden in their style, hidden inputs. Blocks start lines, paragraphs and other
+attribute or display:none in their style, hidden inputs; visibility:hidden is handed down until visibility:visible. Blocks start lines, paragraphs and other
 blocks with margins are set apart by one empty line, list items carry their mark and indent, pre keeps its white space,
-table cells are padded to their column's width. Of a select every option's label is a line, of svg and math the text stays.
+table cells are padded to their column's width, columns below a rowspan left free, rows of tfoot last. Indents stop at INDENT characters. Of a select every option's label is a line, of svg and math the text stays.
 
 Defined results: null html is empty; malformed markup is read as far as it goes; text outside any element counts; an
 empty table gives an empty result; only page_id and html are read. Each page is one row: no shuffle.
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DEPTH = 200
+INDENT = 400
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -42,7 +44,8 @@ _HEAD = frozenset("head meta link base title style script noscript template".spl
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _GAP = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
 
 
 class Node:
@@ -52,20 +55,28 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
-def tree(source: str) -> Node:
+def tree(source: str) -> tuple[Node, int]:
+    """The root element and the greatest depth."""
     root = Node("html", {})
-    stack = [root]
+    stack, depth = [root], 1
+    held: Counter[str] = Counter()  # open elements by tag, so that nothing is searched for in vain
+
+    def cut(at: int) -> None:
+        held.subtract(n.tag for n in stack[at:])
+        del stack[at:]
 
     def shut(tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
         """Close the outermost open element of `tags` above the nearest of `stop`."""
         low = None
+        if not any(held[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in stop:
                 break
             if stack[i].tag in tags:
                 low = i
         if low is not None:
-            del stack[low:]
+            cut(low)
 
     at, end = 0, len(source)
     while at < end:
@@ -73,7 +84,7 @@ def tree(source: str) -> Node:
         text = source[at : m.start() if m else end]
         if text:
             if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
-                stack.pop()
+                cut(-1)
             stack[-1].kids.append(html.unescape(text))
         if not m:
             break
@@ -84,10 +95,10 @@ def tree(source: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].kids.append(Node("br", {}))
-            else:
+            elif held[tag]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                         break
@@ -98,7 +109,7 @@ def tree(source: str) -> Node:
             root.attrs |= attrs
             continue
         if stack[-1].tag == "head" and tag not in _HEAD:
-            stack.pop()
+            cut(-1)
         if tag in IMPLIED:
             shut(*IMPLIED[tag])
         if tag in ENDS_P:
@@ -107,7 +118,8 @@ def tree(source: str) -> Node:
             row = Node("tr", {})
             stack[-1].kids.append(row)
             stack.append(row)
-        foreign = (tag in UNDRAWN or tag in RAW) and any(n.tag in ("svg", "math") for n in stack)
+            held["tr"] += 1
+        foreign = (tag in UNDRAWN or tag in RAW) and (held["svg"] or held["math"])
         if foreign and tag in UNDRAWN:
             attrs["hidden"] = ""
         node = Node(tag, attrs)
@@ -120,9 +132,10 @@ def tree(source: str) -> Node:
             node.kids.append(html.unescape(body) if tag in ("textarea", "title") else body)
             at = close.end()
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
-    return root
+        stack.append(node)
+        held[tag] += 1
+        depth = max(depth, len(stack))
+    return root, depth
 
 
 def hidden(node: Node) -> bool:
@@ -130,14 +143,26 @@ def hidden(node: Node) -> bool:
     return node.tag in HIDDEN or "hidden" in a or ("style" in a and bool(_UNSEEN.search(a["style"]))) or (node.tag == "input" and a.get("type", "").lower() == "hidden")
 
 
+def unseen(node: Node, parent: bool) -> bool:
+    """Whether the element's own text is invisible: what its style says last, else as its parent's."""
+    said = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
+    return said[-1].lower() in ("hidden", "collapse") if said else parent
+
+
 class Page:
     """Lines of text being filled: collapses white space and blank lines as the layout asks."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.now, self.space, self.gap, self.indent, self.mark = "", False, False, "", ""
+        self.unseen = False
+
+    def deeper(self, by: str) -> str:
+        return self.indent + by if len(self.indent) < INDENT else self.indent
 
     def text(self, s: str, keep: bool) -> None:
+        if self.unseen:
+            return
         if keep:
             parts = s.split("\n")
             for i, part in enumerate(parts):
@@ -176,56 +201,97 @@ class Page:
         self.gap = True
 
 
-def _cells(node: Node) -> tuple[list[str], list[list[tuple[str, int]]]]:
-    """Captions, and rows of (text, columns) of a table, inner rows of its groups included."""
-    captions, rows, todo = [], [], [node]
-    while todo:
-        n = todo.pop(0)
-        for kid in n.kids:
-            if isinstance(kid, str) or hidden(kid):
-                if isinstance(kid, str) and kid.strip():
-                    captions.append(_GAP.sub(" ", kid).strip())
-            elif kid.tag == "tr":
-                row = []
-                for c in kid.kids:
-                    if isinstance(c, str):
-                        if c.strip():
-                            row.append((_GAP.sub(" ", c).strip(), 1))
-                    elif not hidden(c):
-                        span = c.attrs.get("colspan", "1")
-                        row.append((render(c), min(int(span), 100) if span.isdigit() and int(span) > 0 else 1))
-                rows.append(row)
-            elif kid.tag in ("thead", "tbody", "tfoot"):
-                todo.append(kid)
-            else:
-                captions.append(render(kid))
-    return captions, rows
-
-
-def _table(node: Node) -> str:
-    captions, rows = _cells(node)
+Cell = tuple[str, int, int]  # text, columns, rows
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    said = cell.attrs.get(name, "1")
+    n = int(said) if said.isascii() and said.isdigit() and len(said) < 9 else 1
+    return min(n, most) if n else (most if name == "rowspan" else 1)  # rowspan=0: all rows of the group that follow
+
+
+def _group(node: Node, unseen_: bool, captions: list[str], groups: list[list[list[Cell]]], last: list[list[list[Cell]]]) -> None:
+    """Rows of a table or a row group, in the order of the page; those of tfoot go to `last`."""
+    rows: list[list[Cell]] = []
+    groups.append(rows)
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if kid.strip() and not unseen_:
+                captions.append(_GAP.sub(" ", kid).strip())
+        elif hidden(kid):
+            continue
+        elif kid.tag == "tr":
+            dim = unseen(kid, unseen_)
+            row: list[Cell] = []
+            for c in kid.kids:
+                if isinstance(c, str):
+                    if c.strip() and not dim:
+                        row.append((_GAP.sub(" ", c).strip(), 1, 1))
+                elif not hidden(c):
+                    row.append((render(c, dim), _span(c, "colspan", 100), _span(c, "rowspan", 65534)))
+            rows.append(row)
+        elif kid.tag in ("thead", "tbody", "tfoot"):
+            _group(kid, unseen(kid, unseen_), captions, last if kid.tag == "tfoot" else groups, last)
+            rows = []  # later rows of the table itself are a group of their own
+            groups.append(rows)
+        else:
+            captions.append(render(kid, unseen_))
+
+
+def _placed(rows: list[list[Cell]]) -> list[list[tuple[int, str, int]]]:
+    """Column, text and columns of each cell; columns that a cell above still fills are passed over."""
+    out, filled = [], {}
+    for row in rows:
+        at, cells, below = 0, [], {}
+        for text, span, down in row:
+            while at in filled:
+                at += 1
+            cells.append((at, text, span))
+            if down > 1:
+                below |= dict.fromkeys(range(at, at + span), down - 1)
+            at += span
+        filled = {c: n - 1 for c, n in filled.items() if n > 1} | below
+        out.append(cells)
+    return out
+
+
+def _table(node: Node, unseen_: bool) -> str:
+    captions: list[str] = []
+    groups: list[list[list[Cell]]] = []
+    last: list[list[list[Cell]]] = []
+    _group(node, unseen_, captions, groups, last)
+    rows = [r for g in groups + last for r in _placed(g)]
     width: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for s, span in row:
+        for at, s, span in row:
             if span == 1:
                 width[at] = max(width.get(at, 0), *(len(x) for x in s.split("\n")))
-            at += span
+    begin, total = [], 0
+    for at in range(max((c[0] for r in rows for c in r), default=-1) + 1):
+        begin.append(total)
+        total += width.get(at, 0) + 2
     lines = [c for c in captions if c]
     for row in rows:
-        parts = [s.split("\n") for s, _ in row]
-        for i in range(max(map(len, parts), default=0)):
-            out, at = "", 0
-            for (_, span), part in zip(row, parts, strict=True):
-                room = sum(width.get(at + k, 0) for k in range(span)) + 2 * (span - 1)
-                out += (part[i] if i < len(part) else "").ljust(room) + "  "
-                at += span
+        parts = [(at, s.split("\n")) for at, s, _ in row]
+        for i in range(max((len(x) for _, x in parts), default=0)):
+            out = ""
+            for at, part in parts:
+                if at:
+                    out = out.ljust(begin[at]) if len(out) + 2 <= begin[at] else out + "  "
+                out += part[i] if i < len(part) else ""
             if out.strip():
                 lines.append(out.rstrip())
     return "\n".join(lines)
 
 
 def _walk(node: Node, page: Page, keep: bool, bullet: list) -> None:
+    dim = page.unseen
+    page.unseen = unseen(node, dim)
+    _kids(node, page, keep, bullet)
+    page.unseen = dim
+
+
+def _kids(node: Node, page: Page, keep: bool, bullet: list) -> None:
     for kid in node.kids:
         if isinstance(kid, str):
             page.text(kid, keep)
@@ -237,10 +303,11 @@ def _walk(node: Node, page: Page, keep: bool, bullet: list) -> None:
             page.newline(True)
             continue
         if tag == "img":
-            page.text(kid.attrs.get("alt", ""), False)
+            if not unseen(kid, page.unseen):
+                page.text(kid.attrs.get("alt", ""), False)
             continue
         if tag == "input":
-            page.text(kid.attrs.get("value", "") if kid.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") else "", False)
+            page.text(kid.attrs.get("value", "") if not unseen(kid, page.unseen) and kid.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") else "", False)
             continue
         loose, block = tag in LOOSE and not (tag in ("ul", "ol", "menu") and bullet), tag in BLOCK
         if loose:
@@ -250,21 +317,23 @@ def _walk(node: Node, page: Page, keep: bool, bullet: list) -> None:
         if tag == "hr":
             page.text("----", True)
         elif tag == "table":
-            page.text(_table(kid), True)
+            dim, page.unseen = page.unseen, False  # the table leaves out what is invisible
+            page.text(_table(kid, unseen(kid, dim)), True)
+            page.unseen = dim
         elif tag in ("ul", "ol", "menu"):
             start = kid.attrs.get("start", "1")
-            _walk(kid, page, keep, [*bullet, [tag == "ol", int(start) if start.lstrip("-").isdigit() else 1]])
+            _walk(kid, page, keep, [[tag == "ol", int(start) if start.lstrip("-").isdecimal() else 1]])
         elif tag == "li":
             old = page.indent
             mark = "- "
             if bullet and bullet[-1][0]:
                 mark = f"{bullet[-1][1]}. "
                 bullet[-1][1] += 1
-            page.mark, page.indent = old + mark, old + " " * len(mark)
+            page.mark, page.indent = old + mark, page.deeper(" " * len(mark))
             _walk(kid, page, keep, bullet)
             page.indent, page.mark = old, ""
         elif tag in ("blockquote", "dd"):
-            old, page.indent = page.indent, page.indent + "  "
+            old, page.indent = page.indent, page.deeper("  ")
             _walk(kid, page, keep, bullet)
             page.newline()
             page.indent = old
@@ -290,14 +359,23 @@ def _walk(node: Node, page: Page, keep: bool, bullet: list) -> None:
             page.newline()
 
 
-def render(node: Node) -> str:
+def render(node: Node, unseen_: bool = False) -> str:
     page = Page()
+    page.unseen = unseen_
     _walk(node, page, node.tag == "pre", [])
     return "\n".join(x.rstrip() for x in page.lines).strip("\n")
 
 
 def extract(source: str | None) -> str:
-    return "" if not source or hidden(root := tree(source)) else render(root)
+    if not source:
+        return ""
+    root, depth = tree(source)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 6 * depth + 1000))  # at most five calls a level
+    try:
+        return "" if hidden(root) else render(root)
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def apply(pages: DataFrame) -> DataFrame:

@@ -376,6 +376,25 @@ def test_html_forms_formulas_and_graphics():
     assert x("<desc>outside</desc><datalist><option>no</datalist>") == "outside"
 
 
+def test_html_depth_and_visibility():
+    x = html_text.extract
+    assert x("<div>" * 250 + "<span hidden>secret</span>shown") == "shown"
+    assert x("<div hidden>" + "<div>" * 250 + "</div>" * 250 + "secret</div>shown") == "shown"
+    assert x("<b>" * 50000 + "deep" + "</i>" * 50000) == "deep" and x("<blockquote>" * 20000 + "deep").strip() == "deep"
+    assert x("<ul><li>" * 3000 + "deep").endswith("- deep") and x("<table><tr><td>" * 500 + "deep") == "deep"
+    assert x("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no<img alt=no></div>") == "yes"
+    assert x("<table style='visibility:hidden'><caption>no<tr><td>no<td style='visibility:visible'>yes</table>on") == "  yes\n\non"
+    assert x("<body style='visibility:hidden'>no<p style='display:none'><b style='visibility:visible'>no") == ""
+
+
+def test_html_rows():
+    x = html_text.extract
+    assert x("<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d</table>") == "a  b\n   c  d"
+    assert x("<table><tbody><tr><td>1</tbody><tr><td>2<tbody><tr><td>3</table>") == "1\n2\n3"
+    assert x("<table><tfoot><tr><td>sum<tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>") == "a    b\n     c\nd    e\nsum"
+    assert x("<table><tr><td colspan=2>long heading<td>x<tr><td>a<td>b<td>c</table>") == "long heading  x\na  b  c"
+
+
 def test_html_table(spark):
     t = spark.createDataFrame([(1, "<p>a", "u"), (2, None, "u"), (None, "b", "u"), (1, "<p>a", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.apply(t).collect()) == [(0, "b"), (1, "a"), (1, "a"), (2, "")]
