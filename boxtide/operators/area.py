@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 
 def clipped(boxes: DataFrame, windows: DataFrame, key: list[str], window_id: str) -> DataFrame:
     """Boxes of the same key cut to each window; columns key, window_id, x1..y2."""
-    b = boxes.select(*key, *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    j = windows.select(*key, window_id, "x1", "y1", "x2", "y2").join(b, key)
+    b = boxes.select(*[F.col(k).alias(f"b_{k}") for k in key], *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
+    touch = (F.col("x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("x2")) & (F.col("y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("y2"))
+    same = [F.col(k) == F.col(f"b_{k}") for k in key]
+    j = windows.select(*key, window_id, "x1", "y1", "x2", "y2").join(b, [*same, touch])
     cut = j.select(*key, window_id, F.greatest("x1", "b_x1").alias("x1"), F.greatest("y1", "b_y1").alias("y1"), F.least("x2", "b_x2").alias("x2"), F.least("y2", "b_y2").alias("y2"))
     return cut.filter("x1 < x2 AND y1 < y2")
 

@@ -117,9 +117,41 @@ def pick_best(points: DataFrame, objective: str, feasible: str, thresholds: list
     return points.filter(feasible).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def _own_fronts(vectors: DataFrame) -> DataFrame:
+    """Each partition's vectors that none of its others beats (the greater is the better); NaN is left to the merge."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        front = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if front is None else pa.concat_tables([front, rows])
+            cols = [c.to_numpy() for c in rows.columns]
+            left = np.arange(rows.num_rows)
+            done = 0
+            while done < len(left):  # a vector that stays strikes out those that it beats
+                k = left[done]
+                equal_or_less, less = np.ones(len(left), bool), np.zeros(len(left), bool)
+                for c in cols:
+                    equal_or_less &= c[left] <= c[k]
+                    less |= c[left] < c[k]
+                beaten = (equal_or_less & less).astype(bool)
+                done += 1 - int(beaten[:done].sum())
+                left = left[~beaten]
+            front = rows.take(left)
+        if front is not None:
+            yield from front.to_batches()
+
+    return vectors.mapInArrow(run, vectors.schema)
+
+
 def pareto(points: DataFrame, axes: list[tuple[str, str]]) -> DataFrame:
     """Q6: points that no other point beats; axes are ('max' | 'min', column). Equal points are first made one, and one-axis maxima prune the rest.
-    With two axes a running maximum decides; with more, an anti-join on dominance of the distinct vectors."""
+    With two axes a running maximum decides; with more, each partition keeps its own front, and an anti-join on dominance merges what is left."""
     sign = lambda d, c, p="": F.col(p + c) if d == "max" else -F.col(p + c)
     v = points.select(*[sign(d, c).alias(f"v{i}") for i, (d, c) in enumerate(axes)]).distinct()
     names = v.columns
@@ -127,6 +159,7 @@ def pareto(points: DataFrame, axes: list[tuple[str, str]]) -> DataFrame:
         best = v.groupBy("v0").agg(F.max("v1").alias("v1"))  # a row per value of the first axis
         front = best.withColumn("_m", F.max("v1").over(Window.orderBy(F.desc("v0")).rowsBetween(Window.unboundedPreceding, -1))).filter("_m IS NULL OR v1 > _m").drop("_m")
     else:
+        v = _own_fronts(v.dropna())
         a, b = v.alias("a"), v.alias("b")
         at_least = F.lit(True)
         more = F.lit(False)
