@@ -12,6 +12,8 @@ from the kept ranks by binary lifting, and a pass over each range gives every su
 words that it shares with an earlier one, from the nearest earlier ones on both sides; of the other ranges it needs only,
 for each length of prefix that reaches over its ends, the first document there. Later copies are deleted.
 
+Ranges are as many as adaptive execution makes of their bytes, so that small rounds do not write many small files.
+
 No line, first line or passage is gathered in one task: pairs are counted before they are sorted, ranges split the
 suffixes of one line, and joins have distinct keys on one side. Bounds: a document's lines (a group of a window), a
 range of distinct suffixes (a task), and for the driver one number of each partition, and of its ends at most one entry
@@ -90,14 +92,10 @@ def segments(lines: DataFrame) -> DataFrame:
     return r.filter(F.col("all") >= WORDS).select(*AT, "id", F.col("w").cast("long").alias("w"), F.col("rest").cast("int").alias("rest"), F.col("n").cast("int").alias("n"))
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _ranked(pairs: DataFrame) -> DataFrame:
     """(r, r2, c) -> (r, r2, new): r and the running count within r, in order of r2, across range partitions."""
     spark = pairs.sparkSession
-    part = written(pairs.repartitionByRange(_partitions(spark), "r", "r2").withColumn("pid", F.spark_partition_id()))
+    part = written(pairs.repartitionByRange("r", "r2").withColumn("pid", F.spark_partition_id()))
     ends = part.groupBy("pid", "r").agg(F.sum("c").alias("c")).groupBy("pid").agg(F.min("r").alias("low"), F.max(F.struct("r", "c")).alias("high")).collect()  # a row a partition
     carry, last, count = [], None, 0
     for e in sorted(ends, key=lambda e: e["pid"]):
@@ -147,7 +145,7 @@ def suffix_ranks(seg: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def neighbours(first: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Distinct suffixes (r, d, v, s, id, n) -> pid, r, d, v, s, l: l lines, of WORDS words or more, are shared with the one before, else 0."""
     spark = first.sparkSession
-    rows = written(first.repartitionByRange(_partitions(spark), "r").withColumn("pid", F.spark_partition_id()))
+    rows = written(first.repartitionByRange("r").withColumn("pid", F.spark_partition_id()))
     fields = ["d", "v", "s", "n", "id"]
     ends = rows.groupBy("pid").agg(F.max_by(F.struct(*fields), "r").alias("x")).collect()  # a row a partition
     ends = sorted(ends, key=lambda e: e["pid"])
@@ -264,7 +262,7 @@ def _ranges(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Range]]:
 
 
 def _over_ranges(near: DataFrame, of: Callable, schema: str) -> DataFrame:
-    dealt = near.repartition(_partitions(near.sparkSession), "pid").sortWithinPartitions("pid", "r").select("pid", *AT, "l")
+    dealt = near.repartition("pid").sortWithinPartitions("pid", "r").select("pid", *AT, "l")
     return dealt.mapInArrow(of, schema)
 
 
