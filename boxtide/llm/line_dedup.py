@@ -55,6 +55,16 @@ def _real_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start[n > 0], end[n > 0], row[n > 0], n[n > 0]
 
 
+def _line_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Lines with words of each row: those with a byte that is no white space."""
+    if not len(data):
+        return np.zeros(len(off) - 1, np.int64)
+    blank = tk.SPACE[data]
+    start = np.union1d(np.flatnonzero(data == 10), off[:-1][off[:-1] < len(data)])
+    row = np.searchsorted(off, start, "right") - 1
+    return np.bincount(row[~np.logical_and.reduceat(blank, start)], minlength=len(off) - 1)
+
+
 def _lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for a, b, data, off in tk.blocks(batch.column(2)):
@@ -321,7 +331,7 @@ def apply(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, data, off in tk.blocks(batch.column(text_at)):
                 rows = batch.slice(a, b - a)
-                lines = np.bincount(_real_lines(data, off)[2], minlength=b - a)
+                lines = _line_counts(data, off)
                 texts, gone = pc.fill_null(rows.column(text_at), ""), np.zeros(b - a, np.int64)
                 some = np.flatnonzero(pc.is_valid(rows.column(len(names))).to_numpy(zero_copy_only=False))
                 if len(some):

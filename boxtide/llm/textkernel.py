@@ -21,8 +21,8 @@ _BASE = int(_rng.integers(2**40, 2**62)) * 8 + 5
 _BACK = pow(_BASE, -1, 2**64)
 _WEIGHT = _rng.integers(1, 2**63, 5, dtype=np.uint64) * U(2) + U(1)
 _LENGTH = _rng.integers(1, 2**63, 6, dtype=np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
@@ -71,7 +71,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.n
         at = end
 
 
-def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word of a block. gaps: which bytes part words."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3

@@ -398,3 +398,17 @@ def test_html_rows():
 def test_html_table(spark):
     t = spark.createDataFrame([(1, "<p>a", "u"), (2, None, "u"), (None, "b", "u"), (1, "<p>a", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.apply(t).collect()) == [(0, "b"), (1, "a"), (1, "a"), (2, "")]
+
+
+def test_line_counts():
+    import numpy as np
+    import pyarrow as pa
+
+    from boxtide.llm import textkernel as tk
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(list("a b\n\té \n"), rng.integers(0, 9))) for _ in range(rng.integers(1, 8))]
+        for a, b, data, off in tk.blocks(pa.array(texts, pa.string())):
+            want = [sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")) for t in texts[a:b]]
+            assert line_dedup._line_counts(data, off).tolist() == want
