@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, fingerprints, html_text, katz, line_dedup, near_dedup, packing, quality_model, quality_rules, sentencepieces, toxicity
+from . import centroids, collocations, fingerprints, html_text, katz, line_dedup, near_dedup, packing, quality_model, quality_rules, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -19,11 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.query,
     "op9_katz": katz.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_collocations": collocations.query,
     "op12_centroids": centroids.query,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality_rules.SQL,
     "op10_near_dedup": near_dedup.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_centroids": centroids.SQL,
 }
