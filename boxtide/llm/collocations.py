@@ -42,7 +42,7 @@ from .common import table, text_of, written
 from .perfect_hash import PerfectHash
 
 LEAST, LONGEST, TOP, SUBSUMED = 100, 5, 2000, 100
-BLOCK, BUCKETS, SLOTS, CHUNK, SALTS = 4 << 20, 1 << 22, 1 << 20, 4096, 8
+BLOCK, BUCKETS, SLOTS, CHUNK, SALTS = 2 << 20, 1 << 22, 1 << 20, 4096, 8
 _STOPS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 _BREAK = np.zeros(256, bool)
 _BREAK[_STOPS] = True
