@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, collocations, fingerprints, html_text, katz, line_dedup, near_dedup, packing, quality_model, quality_rules, sentencepieces, toxicity
+from . import centroids, collocations, fingerprints, html_text, katz, line_dedup, near_dedup, packing, quality_model, quality_rules, sentencepieces, toxicity, vector_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": near_dedup.query,
     "op11_collocations": collocations.query,
     "op12_centroids": centroids.query,
+    "op13_vector_graph": vector_graph.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op10_near_dedup": near_dedup.SQL,
     "op11_collocations": collocations.SQL,
     "op12_centroids": centroids.SQL,
+    "op13_vector_graph": vector_graph.SQL,
 }

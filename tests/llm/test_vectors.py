@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from boxtide.llm import centroids
+from boxtide.llm import centroids, vector_graph
 from tests.oracle import duck, rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cluster string, distance double"
@@ -63,3 +63,64 @@ def test_lloyd_few_and_none(spark):
 def test_lloyd_sql(spark, small):
     got, want = centroids.query(spark, small).toPandas(), duck(small).sql(centroids.SQL).df()
     assert len(got) == 500 and rows(got) == rows(want)
+
+
+def brute_links(vectors):
+    """vec_id -> (n_links, component) by all pairs; vectors: rows (vec_id, embedding, label)."""
+    good = sorted({(i, tuple(e), lab) for i, e, lab in vectors if lab is not None and e and all(v is not None and math.isfinite(v) for v in e) and any(e)}, key=str)
+    x = [np.array(e) / np.linalg.norm(e) for _, e, _ in good]
+    near = [[j for j in range(len(good)) if j != i and good[i][2] == good[j][2] and len(x[i]) == len(x[j]) and x[i] @ x[j] >= 0.93] for i in range(len(good))]
+    comp = list(range(len(good)))
+    for i in range(len(good)):
+        todo, seen = [i], {i}
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        comp[i] = min((good[j][0] for j in seen if good[j][0] is not None), default=None)
+    known = {g: (len(near[k]), comp[k]) for k, g in enumerate(good)}
+    out = []
+    for i, e, lab in vectors:
+        n, c = known.get((i, tuple(e or ()), lab), (0, i))
+        out.append((i, n, c, c is None or i == c))
+    return sorted(out, key=str)
+
+
+def group(rng, centre, n, noise):
+    return [centre + rng.normal(0, noise, len(centre)) for _ in range(n)]
+
+
+def near_rows():
+    """Pairs, a tight group of 70, a second one near it so that only some members are linked, a wide group, a chain, equal vectors."""
+    rng = np.random.default_rng(8)
+    unit = lambda: (lambda v: v / np.linalg.norm(v))(rng.normal(0, 1, 64))
+    lone = [rng.normal(0, 1, 64) for _ in range(150)]
+    a, b = unit(), unit()
+    b -= (a @ b) * a
+    b /= np.linalg.norm(b)
+    turn = lambda t: math.cos(t) * a + math.sin(t) * b
+    made = [*lone, *(v + rng.normal(0, 0.05, 64) for v in lone[:20]), *group(rng, a, 70, 0.012), *group(rng, turn(0.36), 60, 0.012), turn(0.5), turn(-0.35), *group(rng, unit(), 40, 0.034), *(turn(1.2 + 0.3 * k) for k in range(4)), *[unit()] * 30]
+    rows = [(i, [float(np.float32(x)) for x in v], 1 + int(i == 3)) for i, v in enumerate(made)]
+    return [*rows, rows[0], (5000, rows[1][1], 9), (None, rows[2][1], 1), (5001, None, 1), (5002, [0.0] * 64, 1), (5003, rows[2][1], None), (5004, [1.0, None], 1), (5005, [float("nan")] * 64, 1), (5006, [], 1), (5007, rows[2][1][:32], 1), (5008, rows[2][1][:32], 1)]
+
+
+def test_near_vectors(spark):
+    v = near_rows()
+    want = brute_links(v)
+    assert sum(r[1] for r in want) > 8000 and max(r[1] for r in want) > 100
+    got = vector_graph.apply(spark.createDataFrame([(*r, "k", 1.5) for r in v], SCHEMA).repartition(5))
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    got = sorted((tuple(r) for r in got.collect()), key=str)
+    assert got == want
+
+
+def test_near_vectors_none(spark):
+    assert vector_graph.apply(spark.createDataFrame([], SCHEMA)).count() == 0
+    bad = [(1, None, 1), (2, [0.0] * 3, 1), (None, None, None)]
+    assert sorted((tuple(r) for r in vector_graph.apply(spark.createDataFrame([(*r, "", 0.0) for r in bad], SCHEMA)).collect()), key=str) == brute_links(bad)
+
+
+def test_near_vectors_sql(spark, small):
+    got, want = vector_graph.query(spark, small).toPandas(), duck(small).sql(vector_graph.SQL).df()
+    assert len(got) == 500 and rows(got) == rows(want)
