@@ -6,17 +6,64 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What a strict parser takes; a text that goes on behind its object passes too, so callers look where the object ends.
+_STRICT = {"allowSingleQuotes": "false"}
+#: Fixed patterns of the two repairs: a comma before a closing bracket, and a key that another key follows.
+_TRAILING_COMMA = r",\s*([}\]])"
+_ORPHAN_KEY = r'"[A-Za-z_]+":\s*(?="[A-Za-z_]+":)'
+
+
+def _parsed(text: Column) -> Column:
+    return F.from_json(text, "map<string,string>", _STRICT)
+
+
+def objects(text: Column) -> Column:
+    """Every JSON object of a text that no other one holds, in order, as JSON text; braces that open none are passed over.
+
+    One fold over the text's braces, quotes and escapes. Outside objects quotes mean nothing; a brace opens an object if a strict
+    parse from there on succeeds, and from then strings, escapes and depth are followed to its closing brace."""
+    at_rest = F.struct(F.lit(1).alias("pos"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("found"))
+
+    def step(state: Column, token: Column) -> Column:
+        end = state["pos"] + F.length(token)
+        brace = end - 1  # an escaped brace outside objects opens one as well
+        opens = (state["depth"] == 0) & F.endswith(token, F.lit("{"))
+        opens = opens & F.when(opens, _parsed(F.substring(text, brace, F.length(text))).isNotNull()).otherwise(False)
+        inside = state["depth"] > 0
+        quoted = F.when(inside & (token == '"'), ~state["quoted"]).otherwise(state["quoted"])
+        turn = F.when(opens, 1).when(inside & ~state["quoted"] & (token == "{"), 1).when(inside & ~state["quoted"] & (token == "}"), -1).otherwise(0)
+        depth = state["depth"] + turn
+        start = F.when(opens, brace).otherwise(state["start"])
+        closed = inside & (depth == 0)
+        found = F.when(closed, F.concat(state["found"], F.array(F.substring(text, start, end - start)))).otherwise(state["found"])
+        return F.struct(end.alias("pos"), depth.alias("depth"), (quoted & (depth > 0)).alias("quoted"), start.alias("start"), found.alias("found"))
+
+    tokens = F.regexp_extract_all(text, F.lit(r'(?s)\\.|["{}\\]|[^"{}\\]+'), F.lit(0))
+    return F.aggregate(tokens, at_rest, step, lambda state: state["found"])
+
+
+def _whole(span: Column) -> Column:
+    """The span if it is one strict JSON object and nothing else."""
+    return F.when(F.try_element_at(objects(span), F.lit(1)) == span, span)
+
+
+def _span(text: Column) -> Column:
+    """From the first brace to the last; empty where there is none."""
+    return F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+
+
 def last_flat_object(text: Column) -> Column:
-    """Of the objects without nesting in a text, the last that parses, as JSON text."""
-    return F.element_at(F.filter(F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), F.lit(1)), lambda s: F.get_json_object(s, "$").isNotNull()), -1)
+    """Of the stretches from a brace to the next closing one, the last that parses; else the whole span, if it does; else null."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)\{.*?\}"), F.lit(0))
+    return F.coalesce(F.try_element_at(F.filter(blocks, lambda b: _parsed(b).isNotNull()), F.lit(-1)), _whole(_span(text)))
 
 
 def whole_or_last(text: Column) -> Column:
-    """The span from the first to the last brace, then the same without trailing commas, then the last flat object."""
-    span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    fixed = F.regexp_replace(span, r",\s*([}\]])", "$1")
-    ok = lambda s: F.when((s != "") & F.get_json_object(s, "$").isNotNull(), s)
-    return F.coalesce(ok(span), ok(fixed), last_flat_object(text))
+    """The span from the first to the last brace, then the same repaired (trailing commas, keys without a value), then the last
+    object of the text (the answer's own correction of an earlier one); null where nothing parses."""
+    span = _span(text)
+    repaired = F.regexp_replace(F.regexp_replace(span, _TRAILING_COMMA, "$1"), _ORPHAN_KEY, "")
+    return F.coalesce(_whole(span), _whole(repaired), F.try_element_at(objects(span), F.lit(-1)))
 
 
 def coerced(value: Column) -> Column:
@@ -24,16 +71,30 @@ def coerced(value: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(value.cast("string")), F.lit("")), F.lit("unknown"))
 
 
+def member(o: Column, key: str, missing: str | None = None) -> Column:
+    """The value of a key of an object (the last of equal keys) as text; `missing` without the key, 'None' for a JSON null."""
+    own = F.filter(F.map_entries(_parsed(o)), lambda e: e["key"] == key)
+    return F.when(F.size(own) > 0, F.coalesce(F.try_element_at(own, F.lit(-1))["value"], F.lit("None"))).otherwise(F.lit(missing))
+
+
 def verdict(raw: Column) -> Column:
-    """T4: a raw answer -> the normalised verdict struct, null where it holds no object."""
+    """T4: a raw answer -> the normalised verdict struct, null where it holds no object with a verdict.
+
+    Lists keep their non-empty members in lower case; a text in a list's place is a list of itself, and a list in a text's place is
+    kept as JSON text. Missing fields have the defaults below, missing lists and analysis fields are null."""
     o = last_flat_object(raw)
-    low = lambda k: F.lower(F.trim(F.get_json_object(o, f"$.{k}")))
-    parts = F.from_json(F.get_json_object(o, "$.exposed_body_parts"), "array<string>")
-    names = ("verdict", "gender", "age_group", "highlight_quality", "confidence", "apparent_race", "head_covering")
+    low = lambda *values: F.lower(F.trim(F.coalesce(*values)))
+    text = lambda k: F.trim(F.nullif(member(o, k), F.lit("None")))
+    parts = member(o, "exposed_body_parts")
+    listed = F.filter(F.transform(F.from_json(parts, "array<string>", _STRICT), lambda p: F.lower(F.trim(F.coalesce(p, F.lit("None"))))), lambda p: p != "")
     return F.when(
-        o.isNotNull(),
-        F.struct(*[low(k).alias(k) for k in names], F.get_json_object(o, "$.estimated_age").try_cast("double").alias("estimated_age"), F.transform(parts, lambda p: F.lower(F.trim(p))).alias("exposed_body_parts")),
-    )
+        member(o, "verdict").isNotNull(),
+        F.struct(
+            low(member(o, "verdict")).alias("verdict"), low(member(o, "gender", "unknown")).alias("gender"), low(member(o, "age_group", "unknown")).alias("age_group"), low(member(o, "highlight_quality", "good")).alias("highlight_quality"),
+            low(member(o, "confidence"), member(o, "verdict_confidence", "unknown")).alias("confidence"), text("apparent_race").alias("apparent_race"), text("head_covering").alias("head_covering"),
+            F.trim(member(o, "estimated_age")).try_cast("double").alias("estimated_age"), F.when(F.startswith(F.trim(parts), F.lit("[")), listed).when(parts != "None", F.array(F.trim(parts))).alias("exposed_body_parts"),
+        ),
+    )
 
 
 def flattened(*maps: Column) -> Column:
