@@ -8,7 +8,7 @@ phrase is 2 to 5 words in a row inside a piece; a candidate occurs at least `lea
    A block's list (not its tokens) is joined to them, and the blocks are written again as ids, -1 between pieces and for
    rarer words: a phrase with such a word can't be a candidate.
 2. Level by level (2 to 5 words), mappers give the candidates that the level below leaves possible. For two words: pairs
-   in a hash bucket that reaches `least`; BUCKETS counts are binned by np.bincount in each task and summed as a tree.
+   in a hash bucket that reaches `least`; BUCKETS counts are binned in each task and summed as a tree.
    For more: both the first and the last k - 1 words must be frequent, read from BUCKETS bits of the level below. Either
    filter may let others through, and lets none go that is frequent.
 3. Distinct candidates are dealt by hash into parts of about SLOTS; for each part a minimal perfect hash and the keys by
@@ -42,7 +42,7 @@ from .common import table, text_of, written
 from .perfect_hash import PerfectHash
 
 LEAST, LONGEST, TOP, SUBSUMED = 100, 5, 2000, 100
-BLOCK, BUCKETS, SLOTS, CHUNK, SALTS = 2 << 20, 1 << 22, 1 << 20, 4096, 8
+BLOCK, BUCKETS, SLOTS, CHUNK, SALTS = 1 << 20, 1 << 22, 1 << 20, 4096, 8
 _STOPS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 _BREAK = np.zeros(256, bool)
 _BREAK[_STOPS] = True
@@ -81,6 +81,7 @@ def _local(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["block", "lang", "tokens", "words", "times", "text"],
                 )
                 seen += 1
+        pa.default_memory_pool().release_unused()
 
 
 def _encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +97,7 @@ def _encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s[1:-1][alone] = -1
             out.append(s[1:][(s[1:] >= 0) | (s[:-1] >= 0)].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+        pa.default_memory_pool().release_unused()
 
 
 def _hash(words: list[np.ndarray]) -> np.ndarray:
@@ -152,8 +154,8 @@ def _bits(source: DataFrame, words: Callable[[Iterator[pa.RecordBatch]], Iterato
     def binned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for w in words(rows):
-            if len(w[0]):
-                total += np.bincount((_hash(w) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            at, times = np.unique((_hash(w) % np.uint64(BUCKETS)).astype(np.uint32), return_counts=True)
+            total[at] += times
         yield from _sent(total, TaskContext.get().partitionId() % SALTS)
 
     def flags(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
