@@ -1,66 +1,96 @@
-"""Threshold search and selection."""
+"""Selection among threshold points: metric language, grids, Pareto fronts, operating points (Q1-Q3, Q5-Q9, J15); sweep.py searches (Q4)."""
 
 from __future__ import annotations
 
-import ast
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_NAME = re.compile(r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\b")
+_TOKEN = re.compile(r"\s*(?:(?P<number>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<word>[A-Za-z_][\w.]*)|(?P<sign>\*\*|[<>=!]=|[-+*/<>(),]))")
 
 
-def _safe_over(a: Column, b: Column) -> Column:
+def _over(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
-_BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: _safe_over, ast.Pow: F.pow}
-_COMPARE = {ast.Lt: "__lt__", ast.LtE: "__le__", ast.Gt: "__gt__", ast.GtE: "__ge__", ast.Eq: "__eq__", ast.NotEq: "__ne__"}
+#: Left to right, the loosest first.
+_LEVELS: list[dict[str, Callable[[Column, Column], Column]]] = [
+    {"or": lambda a, b: a | b}, {"and": lambda a, b: a & b},
+    {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b},
+    {"+": lambda a, b: a + b, "-": lambda a, b: a - b}, {"*": lambda a, b: a * b, "/": _over},
+]
+_TESTS = 2
 _CALL = {"min": F.least, "max": F.greatest, "abs": F.abs}
 
 
 def expression(text: str, metrics: dict[str, Column]) -> Column:
-    """Q1: arithmetic, comparisons (chained too), and/or, min/max/abs over dotted metric names, as one Column; division by 0 is 0."""
-    names: list[str] = []
-
-    def alias(m: re.Match) -> str:
-        if m[0] not in metrics:
-            raise KeyError(f"no metric {m[0]!r}; there are {', '.join(sorted(metrics))}")
-        names.append(m[0])
-        return f"_m{len(names) - 1}"
-
-    def build(n: ast.AST) -> Column:
-        match n:
-            case ast.Constant(value=int() | float()):
-                return F.lit(n.value)
-            case ast.Name() if re.fullmatch(r"_m\d+", n.id):
-                return metrics[names[int(n.id[2:])]]
-            case ast.BinOp() if type(n.op) in _BINARY:
-                return _BINARY[type(n.op)](build(n.left), build(n.right))
-            case ast.UnaryOp(op=ast.USub()):
-                return -build(n.operand)
-            case ast.UnaryOp(op=ast.UAdd()):
-                return build(n.operand)
-            case ast.Compare() if all(type(o) in _COMPARE for o in n.ops):
-                sides = [build(x) for x in (n.left, *n.comparators)]
-                tests = [getattr(a, _COMPARE[type(o)])(b) for o, a, b in zip(n.ops, sides, sides[1:], strict=False)]
-                out = tests[0]
-                for t in tests[1:]:
-                    out = out & t
-                return out
-            case ast.BoolOp():
-                out = build(n.values[0])
-                for v in n.values[1:]:
-                    out = (out & build(v)) if isinstance(n.op, ast.And) else (out | build(v))
-                return out
-            case ast.Call(func=ast.Name()) if n.func.id in _CALL and not n.keywords:
-                args = [build(a) for a in n.args]
-                return _CALL[n.func.id](*args)
-        raise ValueError(f"not part of the metric language: {ast.dump(n)[:80]}")
-
-    return build(ast.parse(_NAME.sub(alias, text), mode="eval").body)
+    """Q1: arithmetic, comparisons (a chain holds if each of its links does), and/or, min/max/abs over dotted metric names, as one Column;
+    division by 0 is 0; minus binds looser than ** and tighter than the rest."""
+    tokens, at = [], 0
+    while at < len(text.rstrip()):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"not part of the metric language: {text[at:]!r}")
+        tokens.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    tokens.append(("end", ""))
+    tokens.reverse()  # the next token is the last
+
+    def take(*wanted: str) -> str | None:
+        return tokens.pop()[1] if tokens[-1][0] != "number" and tokens[-1][1] in wanted else None
+
+    def need(sign: str) -> None:
+        if not take(sign):
+            raise ValueError(f"{sign!r} is missing before {tokens[-1][1]!r} in {text!r}")
+
+    def level(k: int) -> Column:
+        if k == len(_LEVELS):
+            return signed()
+        left, chain = level(k + 1), None
+        while (op := take(*_LEVELS[k])) is not None:
+            right = level(k + 1)
+            now = _LEVELS[k][op](left, right)
+            if k == _TESTS:
+                chain, left = now if chain is None else chain & now, right
+            else:
+                left = now
+        return left if chain is None else chain
+
+    def signed() -> Column:
+        if take("-"):
+            return -signed()
+        if take("+"):
+            return signed()
+        base = single()
+        return F.pow(base, signed()) if take("**") else base
+
+    def single() -> Column:
+        if take("("):
+            inner = level(0)
+            need(")")
+            return inner
+        kind, value = tokens.pop()
+        if kind == "number":
+            return F.lit(float(value) if re.search(r"[.eE]", value) else int(value))
+        if value in _CALL and take("("):
+            given = [level(0)]
+            while take(","):
+                given.append(level(0))
+            need(")")
+            return _CALL[value](*given)
+        if kind == "word" and "." in value:
+            if value not in metrics:
+                raise KeyError(f"no metric {value!r}; there are {', '.join(sorted(metrics))}")
+            return metrics[value]
+        raise ValueError(f"not part of the metric language: {value!r} in {text!r}")
+
+    out = level(0)
+    if tokens[-1][0] != "end":
+        raise ValueError(f"not part of the metric language: {tokens[-1][1]!r} in {text!r}")
+    return out
 
 
 # Q2. The named objectives; {w} weighs {fp}, the mean image rate of the given negatives.
@@ -71,11 +101,12 @@ PRESETS = {
 
 
 def preset(name: str, negatives: list[str], weight: float) -> str:
-    text = PRESETS[name]
-    if "{fp}" in text and not negatives:
+    """The objective's text, with the mean false-positive rate of the negative sets where it has a place for it."""
+    parts = [f"{n}.img_fp_rate" for n in negatives]
+    if not parts and "{fp}" in PRESETS[name]:
         raise ValueError(f"{name} needs a set of negatives")
-    rate = " + ".join(f"{n}.img_fp_rate" for n in negatives)
-    return text.format(w=weight, fp=f"({rate})/{len(negatives)}" if len(negatives) > 1 else rate)
+    mean = parts[0] if len(parts) == 1 else f"({' + '.join(parts)})/{len(parts)}"
+    return PRESETS[name].replace("{w}", str(weight)).replace("{fp}", mean)
 
 
 def grid(lo: float, hi: float, step: float) -> list[float]:
@@ -91,25 +122,6 @@ def grid_frame(spark: SparkSession, axes: list[list[float]]) -> DataFrame:
     return out
 
 
-def refine_axes(best: list[float], coarse: list[float], fine: list[float]) -> list[list[float]]:
-    """Q4: around the best coarse point, per class, the fine values within a coarse step."""
-    step = coarse[1] - coarse[0] if len(coarse) > 1 else 0.1
-    return [[t for t in fine if b - step - 1e-9 <= t <= b + step + 1e-9] for b in best]
-
-
-def coordinate_ascent(evaluate, axis: list[float], start: list[float], passes: int = 10) -> list[float]:
-    """Q4: evaluate(list of vectors) -> best vector or None; one class moves at a time until a pass changes nothing."""
-    now = list(start)
-    for _ in range(passes):
-        before = list(now)
-        for c in range(len(now)):
-            best = evaluate([[*now[:c], t, *now[c + 1 :]] for t in axis])
-            now = list(best) if best else now
-        if now == before:
-            break
-    return now
-
-
 def pick_best(points: DataFrame, objective: str, feasible: str, thresholds: list[str], group: list[str] | None = None) -> DataFrame:
     """The feasible point of the greatest objective; of equals the one with the highest thresholds."""
     total = sum((F.col(t) for t in thresholds[1:]), F.col(thresholds[0]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxtide.plans import detection, more, streams, tables
+from boxtide.plans import detection, judged, more, streams, tables
 
-QUERIES = detection.QUERIES | more.QUERIES | tables.QUERIES | streams.QUERIES
-ORACLES = detection.ORACLES | more.ORACLES | tables.ORACLES | streams.ORACLES
+QUERIES = detection.QUERIES | judged.QUERIES | more.QUERIES | tables.QUERIES | streams.QUERIES
+ORACLES = detection.ORACLES | judged.ORACLES | more.ORACLES | tables.ORACLES | streams.ORACLES

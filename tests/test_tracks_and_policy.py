@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from boxtide.operators import deployment as P
 from boxtide.operators import matching as M
-from boxtide.operators import search as H
 from boxtide.streaming import ingest as I
 from boxtide.streaming import tracks as K
 
@@ -112,17 +111,3 @@ def test_matchers_differ_and_agree_with_loops(spark):
     a = {(r.stem, r.gt_index, r.det_index) for r in M.match_greedy(M.pairs(d, g, 0.3)).collect()}
     b = {(r.stem, r.gt_index, r.det_index) for r in M.match_confident(d, g, 0.3).filter("gt_index IS NOT NULL").collect()}
     assert a == want_a and b == want_b
-
-
-def test_search_language():
-    with pytest.raises(KeyError):
-        H.expression("arm.nope + 1", {})
-    assert H.preset("min_fp", ["a", "b"], 2) == "-((a.img_fp_rate + b.img_fp_rate)/2)"
-    assert H.grid(0.1, 0.3, 0.1) == [0.1, 0.2, 0.3]
-    assert H.refine_axes([0.5], [0.4, 0.5], [0.35, 0.4, 0.55, 0.65]) == [[0.4, 0.55]]
-    assert H.coordinate_ascent(lambda v: max(v, key=lambda t: -abs(t[0] - 0.3) - abs(t[1] - 0.7)), [0.1, 0.3, 0.7], [0.1, 0.1]) == [0.3, 0.7]
-
-
-def test_expression_rejects_code(spark):
-    with pytest.raises(ValueError):
-        H.expression("__import__('os')", {"a.b": F.lit(1)})
