@@ -25,22 +25,39 @@ FACES = "img_name string, age string, gender string, face_x0 string, face_y0 str
 
 
 def stem_of(path: Column) -> Column:
-    return F.regexp_extract(F.url_decode(path), r"([^/]+?)(\.[^./]*)?$", 1)
+    """The file's name without its extension, or the value of a folder `stem=<value>` that a partitioned sink made."""
+    own = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    return F.coalesce(F.nullif(F.regexp_extract(own, r"/stem=([^/]+)/[^/]*$", 1), F.lit("")), F.regexp_extract(own, r"([^/]+?)(\.[^./]*)?$", 1))
 
 
 def listing(spark: SparkSession, folder: str, glob: str = "*.txt", recursive: bool = True) -> DataFrame:
-    """Stem and path of the files, empty ones too (scans skip those, so this asks the file index); contents are not read."""
+    """Stem and path of the files, empty ones too: scans skip those, so this asks Spark's file index, which holds every path on the
+    driver for any scan. Contents are not read."""
     r = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
     paths = [(p,) for p in r.load(folder).inputFiles()]
     return spark.createDataFrame(paths, "path string").select(stem_of(F.col("path")).alias("stem"), "path")
 
 
+def lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """file, block, at, line: a split-safe scan of text files. `block` is the byte where the line's split begins and `at` grows
+    within it, so (file, block, at) is the order of the lines, however many tasks share a file."""
+    t = spark.read.options(**options).text(path)
+    return t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """lines() with line_no, counted from 0 in each file: a line's place in its split and the splits' counts before it.
+    Windows run over a file's splits, not its lines."""
+    per = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(per.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("line_no"), "line")
+
+
 def label_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """stem, line_no (among the file's lines), tok: numbers of each line; lines that hold anything else are dropped."""
-    t = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(folder)
-    lines = t.select(stem_of(F.input_file_name()).alias("stem"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    t = numbered(lines(spark, folder, pathGlobFilter="*.txt", recursiveFileLookup="true")).withColumn("stem", stem_of(F.col("file")))
     tok = F.transform(F.split(F.trim("line"), r"\s+"), lambda s: s.try_cast("double"))
-    return lines.withColumn("tok", tok).filter((F.trim("line") != "") & ~F.exists("tok", lambda v: v.isNull())).select("stem", "line_no", "tok", "line")
+    return t.withColumn("tok", tok).filter((F.trim("line") != "") & ~F.exists("tok", lambda v: v.isNull())).select("stem", "line_no", "tok", "line")
 
 
 def _extent(tok: Column, n: Column) -> tuple[Column, Column, Column, Column]:
@@ -72,9 +89,9 @@ def ignore_regions(tokens: DataFrame) -> DataFrame:
     return tokens.filter(F.size("tok") >= 5).select("stem", "line_no", (at(1) - at(3) / 2).alias("x1"), (at(2) - at(4) / 2).alias("y1"), (at(1) + at(3) / 2).alias("x2"), (at(2) + at(4) / 2).alias("y2"))
 
 
-def sidecars(spark: SparkSession, folder: str, schema: str = SIDECAR) -> tuple[DataFrame, DataFrame]:
+def sidecars(spark: SparkSession, folder: str, schema: str = SIDECAR, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """(readable sidecars with their stem, stems of files that do not parse)."""
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").json(folder).withColumn("stem", stem_of(F.input_file_name()))
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", glob).option("recursiveFileLookup", True).json(folder).withColumn("stem", stem_of(F.input_file_name()))
     bad = F.col("_corrupt_record").isNotNull() | F.col("image").isNull() & F.col("detections").isNull()
     return raw.filter(~bad).drop("_corrupt_record"), raw.filter(bad).select("stem")
 
@@ -113,32 +130,35 @@ def manifest_boxes(man: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of all files that match, with file and line_no, half-written lines dropped; dedupe() then picks the first or last."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
-    parsed = raw.withColumn("r", F.from_json("line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    return parsed.filter(F.col("r._bad").isNull() & F.col("r").isNotNull()).select("file", "line_no", "r.*").drop("_bad")
+    """JSON lines of all files that match, with their place (file, block, at), half-written lines dropped; dedupe() then picks the first or last."""
+    parsed = lines(spark, path, recursiveFileLookup="true").filter(F.trim("line") != "").withColumn("r", F.from_json("line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return parsed.filter(F.col("r._bad").isNull() & F.col("r").isNotNull()).select("file", "block", "at", "r.*").drop("_bad")
+
+
+#: The order of records(), for dedupe().
+PLACE = ["file", "block", "at"]
 
 
 def faces(spark: SparkSession, path: str) -> DataFrame:
-    """CSV rows with their order (row), -1 as missing, and the index among an image's rows with a usable person box."""
-    r = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).filter((F.col("row") > 0) & (F.trim("line") != ""))
-    c = r.select("row", F.from_csv("line", FACES).alias("c")).select("row", "c.*")
+    """CSV rows with their place (file, block, at), -1 as missing, and the index among an image's rows with a usable person box."""
+    c = spark.read.schema(FACES).option("header", True).option("recursiveFileLookup", True).csv(path)
+    c = c.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "*")
     value = lambda k: F.when(F.col(k).try_cast("double") != -1, F.col(k).try_cast("double"))
     c = c.withColumns({k: value(k) for k in c.columns if k.startswith(("face_", "person_"))} | {"age": F.nullif("age", F.lit("-1"))})
     ok = (F.col("person_x1") > F.col("person_x0")) & (F.col("person_y1") > F.col("person_y0"))
     good = c.withColumn("usable", F.coalesce(ok, F.lit(False)))
-    w = Window.partitionBy("img_name").orderBy("row")
+    w = Window.partitionBy("img_name").orderBy(*PLACE)
     return good.withColumn("box_index", F.when(F.col("usable"), F.sum(F.col("usable").cast("int")).over(w) - 1))
 
 
 def coco(spark: SparkSession, path: str) -> DataFrame:
     """Annotations with image and category names, boxes as corners."""
-    c = spark.read.schema(COCO).option("multiLine", True).json(path)
+    c = spark.read.schema(COCO).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     i = c.select(F.inline("images")).withColumnsRenamed({"id": "image_id"})
     k = c.select(F.inline("categories")).withColumnsRenamed({"id": "category_id", "name": "category"})
     a = c.select(F.inline("annotations"))
     at = lambda n: F.get("bbox", F.lit(n))
-    return a.join(i, "image_id").join(F.broadcast(k), "category_id").select(stem_of(F.col("file_name")).alias("stem"), "category", at(0).alias("x1"), at(1).alias("y1"), (at(0) + at(2)).alias("x2"), (at(1) + at(3)).alias("y2"), "iscrowd", "width", "height")
+    return a.join(i, "image_id").join(F.broadcast(k), "category_id").select("id", stem_of(F.col("file_name")).alias("stem"), "category", at(0).alias("x1"), at(1).alias("y1"), (at(0) + at(2)).alias("x2"), (at(1) + at(3)).alias("y2"), "iscrowd", "width", "height")
 
 
 def layout(yaml_text: str) -> dict[str, str]:
@@ -153,13 +173,13 @@ def layout(yaml_text: str) -> dict[str, str]:
 
 def keyed_results(spark: SparkSession, folder: str, schema: str, pattern: str, names: list[str]) -> DataFrame:
     """JSON results whose key is in the file's name: a column for each group of the pattern."""
-    r = spark.read.schema(schema).option("multiLine", True).json(folder).withColumn("_f", stem_of(F.input_file_name()))
+    r = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(folder).withColumn("_f", stem_of(F.input_file_name()))
     return r.filter(F.col("_f").rlike(pattern)).withColumns({n: F.regexp_extract("_f", pattern, i + 1) for i, n in enumerate(names)}).drop("_f")
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
     """Frames of all videos: video, seq (by f), t, dets as structs."""
-    r = spark.read.schema(FRAMES).json(path).withColumn("video", stem_of(F.input_file_name()))
+    r = spark.read.schema(FRAMES).option("recursiveFileLookup", True).json(path).withColumn("video", stem_of(F.input_file_name()))
     names = ("cls", "x1", "y1", "x2", "y2", "conf")
     dets = F.transform("dets", lambda d: F.struct(*[F.get(d, F.lit(i)).cast("int" if n == "cls" else "double").alias(n) for i, n in enumerate(names)]))
     return r.withColumns({"seq": (F.row_number().over(Window.partitionBy("video").orderBy("f")) - 1).cast("int"), "dets": dets}).select("video", "f", "seq", "t", "dets")

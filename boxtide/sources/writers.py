@@ -22,6 +22,11 @@ def write_label_files(files: DataFrame, folder: str) -> None:
     files.select("stem", F.col("text").alias("value")).repartition("stem").write.mode("overwrite").partitionBy("stem").text(folder)
 
 
+def write_lines(rows: DataFrame, folder: str, file: str, order: list[str]) -> None:
+    """A folder `<file>=<value>` for each value of that column, with the column `value` as lines in order; readers take the value as the file's stem if it is called stem."""
+    rows.repartition(file).sortWithinPartitions(file, *order).select("value", file).write.mode("overwrite").partitionBy(file).text(folder)
+
+
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """K4: replaced when the job commits; readers never see a half."""
     df.write.mode("overwrite").format(fmt).save(path)

@@ -54,7 +54,7 @@ def test_manifest_and_records(spark, tmp_path):
         R.manifest(spark, write(tmp_path / "bad", {"gt.jsonl": '{"id": "abc", "image": "x.jpg"}\n'})).collect()
     d = write(tmp_path / "r", {"v0.jsonl": '{"id": 1, "v": "a"}\n{"id": 2, "v": "b"}\n', "v1.jsonl": '{"id": 1, "v": "c"}\n{"id": 3, "v'})
     r = R.records(spark, d, "id int, v string")
-    order = [F.col("file"), F.col("line_no")]
+    order = [F.col(c) for c in R.PLACE]
     first = {x.id: x.v for x in dedupe(r, ["id"], order).collect()}
     assert first == {1: "a", 2: "b"}
     assert {x.id: x.v for x in dedupe(r, ["id"], order, "last").collect()} == {1: "c", 2: "b"}
@@ -63,7 +63,7 @@ def test_manifest_and_records(spark, tmp_path):
 def test_faces(spark, tmp_path):
     head = "img_name,age,gender,face_x0,face_y0,face_x1,face_y1,person_x0,person_y0,person_x1,person_y1\n"
     p = write(tmp_path, {"f.csv": head + "a.jpg,30,M,1,1,2,2,0,0,10,10\na.jpg,-1,F,-1,-1,-1,-1,5,5,5,9\na.jpg,4,F,1,1,2,2,1,1,3,3\n"})
-    assert [(r.row, r.usable, r.box_index, r.age) for r in R.faces(spark, p).orderBy("row").collect()] == [(1, True, 0, "30"), (2, False, None, None), (3, True, 1, "4")]
+    assert [(r.usable, r.box_index, r.age) for r in R.faces(spark, p).orderBy(*R.PLACE).collect()] == [(True, 0, "30"), (False, None, None), (True, 1, "4")]
 
 
 def test_coco_keyed_and_layout(spark, tmp_path):
@@ -91,3 +91,31 @@ def test_frames_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tags")).count() == 4
     W.write_csv(lines, str(tmp_path / "csv")), W.overwrite(lines, str(tmp_path / "pq"))
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 2
+
+
+def test_scans_of_split_files(spark, tmp_path):
+    """Files that several tasks read, ends of lines of both kinds, an empty file, names with blanks and signs."""
+    (tmp_path / "in").mkdir()
+    text = {"a b+c.txt": [f"{i % 3} 0.{i % 9} 0.5 0.25 0.5" for i in range(900)], "z.txt": ["0 0.5 0.5 0.1 0.1"] * 5, "e.txt": []}
+    for name, rows in text.items():
+        (tmp_path / "in" / name).write_bytes("".join(r + ("\r\n" if i % 2 else "\n") for i, r in enumerate(rows)).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        all_lines = R.lines(spark, str(tmp_path / "in"))
+        assert all_lines.rdd.getNumPartitions() > 5
+        got = {(r.file.rsplit("/", 1)[1], r.line_no): r.line for r in R.numbered(all_lines).collect()}
+        t = R.label_tokens(spark, str(tmp_path / "in"))
+        assert {(r.stem, r.line_no) for r in t.collect()} == {(n[:-4], i) for n, rows in text.items() for i in range(len(rows))}
+        (tmp_path / "r").mkdir()
+        for k in range(2):
+            (tmp_path / "r" / f"v{k}.jsonl").write_text("".join(json.dumps({"id": i % 70, "v": f"{k}-{i}"}) + "\n" for i in range(400)) + '{"id": 3, "v')
+        order = [F.col(c) for c in R.PLACE]
+        r = R.records(spark, str(tmp_path / "r"), "id int, v string")
+        assert r.rdd.getNumPartitions() > 5 and r.count() == 800
+        assert {x.id: x.v for x in dedupe(r, ["id"], order).collect()} == {i: f"0-{i}" for i in range(70)}
+        assert {x.id: x.v for x in dedupe(r, ["id"], order, "last").collect()} == {i: f"1-{max(j for j in range(400) if j % 70 == i)}" for i in range(70)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(n.replace(" ", "%20"), i): r for n, rows in text.items() for i, r in enumerate(rows)}
+    assert {r.stem for r in R.listing(spark, str(tmp_path / "in")).collect()} == {"a b+c", "z", "e"}
