@@ -143,9 +143,9 @@ def _summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], names=["chunk", "salt", "places", "counts"])
 
 
-def _tree(arrays: DataFrame) -> DataFrame:
-    """Sums of the tasks' arrays: within salts, then over them; a row a chunk."""
-    return arrays.repartition("chunk", "salt").mapInArrow(_summed, _ARRAYS).repartition("chunk").mapInArrow(_summed, _ARRAYS)
+def _tree(arrays: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Sums of the tasks' arrays, within salts, then over them; `read` turns the chunks of the sum into rows, in the same worker."""
+    return arrays.repartition("chunk", "salt").mapInArrow(_summed, _ARRAYS).repartition("chunk").mapInArrow(lambda rows: read(_summed(rows)), schema)
 
 
 def _bits(source: DataFrame, words: Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]], least: int) -> np.ndarray:
@@ -168,7 +168,7 @@ def _bits(source: DataFrame, words: Callable[[Iterator[pa.RecordBatch]], Iterato
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "flags"])
 
     bits = np.zeros(BUCKETS // 8, np.uint8)
-    for r in _tree(source.mapInArrow(binned, _ARRAYS)).mapInArrow(flags, "chunk int, flags binary").collect():  # BUCKETS bits in all
+    for r in _tree(source.mapInArrow(binned, _ARRAYS), flags, "chunk int, flags binary").collect():  # BUCKETS bits in all
         bits[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["flags"], np.uint8)
     return bits
 
@@ -260,7 +260,7 @@ def frequent(streams: DataFrame, k: int, bits: np.ndarray, least: int) -> DataFr
                     slot = np.frombuffer(places.as_buffer(), np.uint16).astype(np.int64)[n >= least] + chunk * CHUNK
                     yield _batch([w[slot] for w in part.value.words], n=n[n >= least])
 
-        out = out.unionAll(written(_tree(streams.mapInArrow(binned, _ARRAYS)).mapInArrow(read, f"{KEY}, n long")))
+        out = out.unionAll(written(_tree(streams.mapInArrow(binned, _ARRAYS), read, f"{KEY}, n long")))
         part.destroy()
     sent.unpersist()
     return out
