@@ -1,8 +1,8 @@
 """Tracks over frames, their gaps and flips, and rollups of a video (ST1-ST4, W4-W6).
 
-Frames: video, seq (0-based), t (ms), dets array<struct<cls,x1,y1,x2,y2,conf>>. A video is one ordered state machine, so
-association runs per video: as a grouped Arrow-fed function in batch, or keyed state in a stream. Metrics on the tracks
-are windows and aggregates.
+Frames: video, seq (0-based), t (ms), dets array<struct<cls,x1,y1,x2,y2,conf>>. Association is an ordered state machine: in
+batch it runs over segments of a video that no track crosses, in a stream the open tracks are the video's keyed state.
+Metrics on the tracks are windows and aggregates.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from boxtide.scratch import scratch
+
 TRACK_SCHEMA = "video string, track long, seq int, cls int, x1 double, y1 double, x2 double, y2 double, conf double"
 
 
@@ -34,56 +37,122 @@ class Tracker:
         cand = [d for d in dets if d[5] >= self.conf]
         found = sorted(((v, t, i) for t, o in enumerate(self.open) for i, d in enumerate(cand) if (v := _iou(o[2], d[1:5])) >= self.least), reverse=True)
         of_track: dict[int, int] = {}
+        taken: set[int] = set()
         for _, t, i in found:
-            if t not in of_track and i not in of_track.values():
+            if t not in of_track and i not in taken:
                 of_track[t] = i
+                taken.add(i)
         out = []
         for t, i in of_track.items():
             self.open[t][1:] = [seq, cand[i][1:5]]
             out.append((self.open[t][0], cand[i]))
         for i, d in enumerate(cand):
-            if i not in of_track.values():
+            if i not in taken:
                 self.open.append([self.n, seq, d[1:5]])
                 out.append((self.n, d))
                 self.n += 1
-        self.open = [o for o in self.open if seq - o[1] <= self.gap]
+        self.expire(seq)
         return out
 
+    def expire(self, seq: int) -> None:
+        self.open = [o for o in self.open if seq - o[1] <= self.gap]
 
-def build_tracks(frames: DataFrame, conf: float, least: float = 0.3, gap: int = 15) -> DataFrame:
-    """ST1, J17: TRACK_SCHEMA rows of each video's tracks."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, rows = Tracker(conf, least, gap), []
-        video = pdf["video"].iloc[0]
-        for seq, dets in pdf.sort_values("seq")[["seq", "dets"]].itertuples(index=False):
-            got = [(int(d["cls"]), float(d["x1"]), float(d["y1"]), float(d["x2"]), float(d["y2"]), float(d["conf"])) for d in (dets if dets is not None else ())]
-            rows += [(video, track, seq, *d) for track, d in t.advance(int(seq), got)]
-        return pd.DataFrame(rows, columns=["video", "track", "seq", "cls", "x1", "y1", "x2", "y2", "conf"])
+#: Frames of a video that one window row stands for when gaps are looked for.
+CHUNK = 4096
 
-    return frames.select("video", "seq", "dets").groupBy("video").applyInPandas(run, TRACK_SCHEMA)
 
+def segments(frames: DataFrame, conf: float, gap: int = 15) -> DataFrame:
+    """Frames with an accepted detection, and the seq at which their segment begins: no track reaches from one segment into the next.
 
-def stream_tracks(frames: DataFrame, conf: float, least: float = 0.3, gap: int = 15) -> DataFrame:
-    """ST1 on a stream: open tracks are the video's state. Frames of a micro-batch are taken in order of seq; late ones are dropped."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    A frame can continue a track whose last box is at `a` if the frame before it is at most `gap` later than `a`. So a video is cut where
+    that fails for the last accepted frame, and segments are tracked apart. Windows run inside chunks of a video and over its chunks."""
+    w, over = Window.partitionBy("video", "chunk").orderBy("seq"), Window.partitionBy("video").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    f = frames.select("video", "seq", "dets", F.floor(F.col("seq") / CHUNK).alias("chunk"), F.coalesce(F.exists("dets", lambda d: d["conf"] >= conf), F.lit(False)).alias("ok"))
+    hit = F.when(F.col("ok"), F.col("seq"))
+    per = f.groupBy("video", "chunk").agg(F.max(hit).alias("h"), F.max("seq").alias("p")).select("video", "chunk", F.max("h").over(over).alias("h0"), F.max("p").over(over).alias("p0"))
+    f = f.join(per, ["video", "chunk"]).withColumns({"a": F.greatest(F.max(hit).over(past), F.col("h0")), "p": F.coalesce(F.lag("seq").over(w), F.col("p0"))})
+    f = f.filter("ok").withColumn("cut", F.when(F.col("a").isNull() | (F.col("p") - F.col("a") > gap), F.col("seq")))
+    begin = f.groupBy("video", "chunk").agg(F.max("cut").alias("c")).select("video", "chunk", F.max("c").over(over).alias("c0"))
+    return f.join(begin, ["video", "chunk"]).select("video", "seq", "dets", F.greatest(F.max("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("c0")).alias("begin"))
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
 
-        at, n, saved = state.get if state.exists else (-1, 0, "[]")
-        t, rows = Tracker(conf, least, gap, [[a, b, tuple(c)] for a, b, c in json.loads(saved)], n), []
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        for seq, dets in pdf[["seq", "dets"]].itertuples(index=False):
-            if seq <= at:
-                continue
-            at = int(seq)
-            got = [(int(d["cls"]), float(d["x1"]), float(d["y1"]), float(d["x2"]), float(d["y2"]), float(d["conf"])) for d in (dets if dets is not None else ())]
-            rows += [(key[0], track, at, *d) for track, d in t.advance(at, got)]
-        state.update((at, t.n, json.dumps(t.open)))
-        yield pd.DataFrame(rows, columns=["video", "track", "seq", "cls", "x1", "y1", "x2", "y2", "conf"])
+def _boxes(dets) -> list[tuple]:
+    return [(int(d["cls"]), float(d["x1"]), float(d["y1"]), float(d["x2"]), float(d["y2"]), float(d["conf"])) for d in (dets if dets is not None else ())]
 
-    return frames.select("video", "seq", "dets").groupBy("video").applyInPandasWithState(run, TRACK_SCHEMA, "at int, n long, open string", "append", GroupStateTimeout.NoTimeout)
+
+def build_tracks(frames: DataFrame, conf: float, least: float = 0.3, gap: int = 15) -> DataFrame:
+    """ST1, J17: TRACK_SCHEMA rows of each video's tracks, associated segment by segment and numbered on through the video.
+    The rows are worked out once and stored, for all that reads them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, rows = Tracker(conf, least, gap), []
+        video, begin, last = pdf["video"].iloc[0], int(pdf["begin"].iloc[0]), None
+        for seq, dets in pdf.sort_values("seq")[["seq", "dets"]].itertuples(index=False):
+            if last is not None and seq - last > 1:  # frames without a detection in between only let tracks expire
+                t.expire(int(seq) - 1)
+            last = seq
+            rows += [(video, begin, track, int(seq), *d) for track, d in t.advance(int(seq), _boxes(dets))]
+        return pd.DataFrame(rows, columns=["video", "begin", "track", "seq", "cls", "x1", "y1", "x2", "y2", "conf"])
+
+    path = scratch(frames.sparkSession)
+    segments(frames, conf, gap).groupBy("video", "begin").applyInPandas(run, TRACK_SCHEMA.replace("track long", "begin int, track long")).write.parquet(path)
+    own = frames.sparkSession.read.parquet(path)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("video").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = own.groupBy("video", "begin").agg((F.max("track") + 1).alias("n")).select("video", "begin", before.alias("first"))
+    return own.join(first, ["video", "begin"]).withColumn("track", F.col("track") + F.col("first")).select("video", "track", "seq", "cls", "x1", "y1", "x2", "y2", "conf")
+
+
+class VideoTracks(StatefulProcessor):
+    """ST1 on a stream: a video's open tracks as a list, how far it has come as a value, and a timer that closes it."""
+
+    def __init__(self, conf: float, least: float, gap: int, idle_ms: int) -> None:
+        self.conf, self.least, self.gap, self.idle_ms = conf, least, gap, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "seq int, tracks long, timer long")
+        self.tracks = handle.getListState("tracks", "track long, seq int, x1 double, y1 double, x2 double, y2 double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        at, n, timer = self.at.get() if self.at.exists() else (-1, 0, 0)
+        t, out = Tracker(self.conf, self.least, self.gap, [[r[0], r[1], tuple(r[2:])] for r in self.tracks.get()], n), []
+        latest = timer - self.idle_ms if timer else 0
+        pdf = pd.concat(list(rows)).sort_values("seq")
+        for seq, ms, dets in pdf[["seq", "t", "dets"]].itertuples(index=False):
+            if seq > at:  # what comes after a later frame was handled is left out
+                if seq - at > 1 and at >= 0:
+                    t.expire(int(seq) - 1)
+                at, latest = int(seq), max(latest, int(ms))
+                out += [(key[0], track, at, *d) for track, d in t.advance(at, _boxes(dets))]
+        if t.open:
+            self.tracks.put([(a, b, *c) for a, b, c in t.open])
+        else:
+            self.tracks.clear()
+        if timer:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(latest + self.idle_ms)
+        self.at.update((at, t.n, latest + self.idle_ms))
+        yield pd.DataFrame(out, columns=["video", "track", "seq", "cls", "x1", "y1", "x2", "y2", "conf"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        """The video is over: nothing of it stays. (Rows this late are dropped by the watermark, so it can't begin anew.)"""
+        self.tracks.clear()
+        self.at.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_tracks(frames: DataFrame, conf: float, least: float = 0.3, gap: int = 15, delay: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
+    """ST1 on a stream, as rows of TRACK_SCHEMA. t is event time in ms; a video's state goes once the watermark (t less `delay`) is idle_ms past its
+    last frame (event time is t + 1: a new watermark stands at 0, and what is not above it is late). Frames of a micro-batch are taken in order of seq. Needs the RocksDB state store, which this sets for the session."""
+    spark = frames.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = frames.select("video", "seq", "t", "dets", F.timestamp_millis(F.col("t").cast("long") + 1).alias("ts")).withWatermark("ts", delay)
+    return timed.groupBy("video").transformWithStateInPandas(VideoTracks(conf, least, gap, idle_ms), TRACK_SCHEMA, "Append", "EventTime")
 
 
 def effective_fps(frames: DataFrame, meta: DataFrame) -> DataFrame:
