@@ -11,7 +11,8 @@ phrase is 2 to 5 words in a row inside a piece; a candidate occurs at least `lea
    in a hash bucket that reaches `least`; BUCKETS counts are binned in each task and summed as a tree.
    For more: both the first and the last k - 1 words must be frequent, read from BUCKETS bits of the level below. Either
    filter may let others through, and lets none go that is frequent.
-3. Distinct candidates are dealt by hash into parts of about SLOTS; for each part a minimal perfect hash and the keys by
+   Tasks send them as arrays, in ranges of their hash, where each range is made distinct.
+3. Candidates are dealt by hash into parts of about SLOTS; for each part a minimal perfect hash and the keys by
    slot are broadcast (at most about SLOTS x 50 bytes, whatever the data). Mappers look up each window, compare its
    words with the key stored in the slot, np.bincount the slots, and send their arrays in chunks; chunks are summed in two
    steps (within salts, then over them). More candidates mean more passes, not larger broadcasts.
@@ -43,6 +44,7 @@ from .perfect_hash import PerfectHash
 
 LEAST, LONGEST, TOP, SUBSUMED = 100, 5, 2000, 100
 BLOCK, BUCKETS, SLOTS, CHUNK, SALTS = 1 << 20, 1 << 22, 1 << 20, 4096, 8
+HELD, PARTS = 1 << 19, 1024
 _STOPS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 _BREAK = np.zeros(256, bool)
 _BREAK[_STOPS] = True
@@ -224,23 +226,53 @@ def _parts(phrases: DataFrame, k: int) -> Iterator[tuple[Slots, F.Column]]:
         yield Slots(phrases.filter(own).select(*_WORDS[:k], *[c for c in phrases.columns if c == "n"]).toArrow(), k), own
 
 
+def _distinct(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Each phrase once. (Of phrases that share a 64-bit hash the first is known by it, the others all stay.)"""
+    _, first, at = np.unique(_hash(words), return_index=True, return_inverse=True)
+    keep = np.zeros(len(words[0]), bool)
+    keep[first] = True
+    for x in words:
+        keep |= x != x[first][at]
+    return [x[keep] for x in words]
+
+
+def _packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Phrases as a row for each of PARTS ranges of their hash, with all words as one array."""
+    words = _distinct([np.concatenate(x) for x in zip(*held, strict=True)]) if held else [np.zeros(0, np.int32)]
+    part = (_hash(words) % np.uint64(PARTS)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    words, edge = np.stack(words)[:, order], np.searchsorted(part[order], np.arange(PARTS + 1))
+    some = np.flatnonzero(np.diff(edge)).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([words[:, edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "keys"])
+
+
 def frequent(streams: DataFrame, k: int, bits: np.ndarray, least: int) -> DataFrame:
     """w0 ... w4 and n of the phrases of k words that occur at least `least` times."""
     spark = streams.sparkSession
     sent = spark.sparkContext.broadcast(bits)
 
     def candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for w in _windows(rows, k):
-            w = _possible(sent.value, w)
-            if len(w[0]):
-                _, first, at = np.unique(_hash(w), return_index=True, return_inverse=True)
-                keep = np.zeros(len(w[0]), bool)
-                keep[first] = True
-                for x in w:  # another phrase of the same hash stays too
-                    keep |= x != x[first][at]
-                yield _batch([x[keep] for x in w])
-
-    found = written(streams.mapInArrow(candidates, KEY).distinct())
+            held.append(_distinct(_possible(sent.value, w)))
+            n += len(held[-1][0])
+            if n > HELD:
+                held = [_distinct([np.concatenate(x) for x in zip(*held, strict=True)])]
+                n = len(held[0][0])
+            if n > HELD // 2:
+                yield _packed(held)
+                held, n = [], 0
+        yield _packed(held)
+
+    def distinct(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
+        for batch in rows:
+            for part, keys in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts.setdefault(part, []).append(np.frombuffer(keys.as_buffer(), np.int32).reshape(k, -1))
+        for own in parts.values():
+            yield _batch(_distinct(list(np.concatenate(own, axis=1))))
+
+    found = written(streams.mapInArrow(candidates, "part int, keys binary").repartition("part").mapInArrow(distinct, KEY))
     out = spark.createDataFrame([], f"{KEY}, n long")
     for slots, _ in _parts(found, k):
         part = spark.sparkContext.broadcast(slots)

@@ -48,7 +48,7 @@ def made_texts():
 
 @pytest.mark.parametrize(("least", "top", "subsumed"), [(3, 2000, 100), (5, 4, 60)])
 def test_phrases(spark, monkeypatch, least, top, subsumed):
-    monkeypatch.setattr(collocations, "SLOTS", 20)  # several parts a level
+    monkeypatch.setattr(collocations, "SLOTS", 150)  # several parts a level
     monkeypatch.setattr(collocations, "BUCKETS", collocations.CHUNK)
     texts = made_texts()
     docs = spark.createDataFrame([(i, t, lang, "s", 0, "k", 1) for i, (lang, t) in enumerate(texts)], SCHEMA).repartition(4)
