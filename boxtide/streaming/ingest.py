@@ -11,7 +11,8 @@ from boxtide.operators.quality import dedupe
 
 
 def append_new(new: DataFrame, path: str, keys: list[str]) -> None:
-    """K3: appends rows whose keys the Parquet folder lacks, one a key; running it again adds nothing."""
+    """K3: appends rows whose keys the Parquet folder lacks, one a key; running it again adds nothing. One writer at a time:
+    the folder has no lock, so two runs at once could both append a key. Where several write, stream_into() is the way."""
     spark = new.sparkSession
     one = new.dropDuplicates(keys)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -21,9 +22,12 @@ def append_new(new: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def verdict_stream(spark: SparkSession, folder: str, schema: str, keys: list[str], event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """ST5: JSON lines as they arrive, each key once (within the delay, if there is an event time)."""
+    """ST5: JSON lines as they arrive, each key once within the delay of event time; without one, of the time of arrival.
+    Rows later than the watermark are dropped, and with them the keys' state, so the state never grows without bound."""
     s = spark.readStream.schema(schema).json(folder)
-    return s.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys) if event_time else s.dropDuplicates(keys)
+    if event_time:
+        return s.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    return s.withColumn("_at", F.current_timestamp()).withWatermark("_at", delay).dropDuplicatesWithinWatermark(keys).drop("_at")
 
 
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -31,6 +35,12 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoi
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def stream_into(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Everything there is now into a Parquet table, each row exactly once over all runs of the checkpoint: the table's log of
+    committed batches and the checkpoint agree, whenever a run is broken off. Read it with spark.read.parquet(path)."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def ledger(reserved: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
     """Answers joined to what was reserved for them: the reservation's columns, the answer, and a state."""
     a = dedupe(answers, keys, [F.lit(0)], "first").withColumn("_a", F.lit(True))
