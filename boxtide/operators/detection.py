@@ -117,6 +117,46 @@ def disagreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(s(x & y, "both"), s(x & ~y, "only_a"), s(~x & y, "only_b"), s(x & y & (F.col("ca") != F.col("cb")), "flips"))
 
 
+def found_by(gt: DataFrame, runs: list[DataFrame]) -> DataFrame:
+    """For each set of runs that found a GT (`mask`, bit i for run i) how many GTs it has (n), and, for each pair of its runs, how many
+    with equal classes (same_i_j) and the sum of their IoUs' differences (shift_i_j). At most 2 ** len(runs) rows, from which every
+    pair, triple and larger group of runs follows. runs: stem, gt_index, cls, iou of what each found."""
+    rows = None
+    for k, r in enumerate(runs):
+        one = r.select("stem", "gt_index", F.lit(k).alias("run"), F.struct("cls", "iou").alias("x"))
+        rows = one if rows is None else rows.unionByName(one)
+    per = rows.groupBy("stem", "gt_index").agg(F.bit_or(F.expr("shiftleft(1, run)")).alias("mask"), *[F.max(F.when(F.col("run") == k, F.col("x"))).alias(f"x{k}") for k in range(len(runs))])
+    all_gt = gt.select("stem", "gt_index").join(per, ["stem", "gt_index"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    sums = [F.count("*").alias("n")]
+    for j in range(len(runs)):
+        for i in range(j):
+            sums += [F.sum((F.col(f"x{i}.cls") == F.col(f"x{j}.cls")).cast("long")).alias(f"same_{i}_{j}"), F.sum(F.col(f"x{j}.iou") - F.col(f"x{i}.iou")).alias(f"shift_{i}_{j}")]
+    return all_gt.groupBy("mask").agg(*sums)
+
+
+def run_pairs(masks: DataFrame, n: int) -> DataFrame:
+    """A row for each two of n runs from found_by(): both, only_a, only_b, neither, same_class, flips, iou_shift (mean of b - a)."""
+    out = None
+    for j in range(n):
+        for i in range(j):
+            a, b = F.col("mask").bitwiseAND(1 << i) != 0, F.col("mask").bitwiseAND(1 << j) != 0
+            total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+            one = masks.agg(total(a & b).alias("both"), total(a & ~b).alias("only_a"), total(~a & b).alias("only_b"), total(~a & ~b).alias("neither"), F.coalesce(F.sum(f"same_{i}_{j}"), F.lit(0)).alias("same_class"), F.sum(f"shift_{i}_{j}").alias("s"))
+            one = one.select(F.lit(i).alias("a"), F.lit(j).alias("b"), "both", "only_a", "only_b", "neither", "same_class", (F.col("both") - F.col("same_class")).alias("flips"), (F.col("s") / F.nullif("both", F.lit(0))).alias("iou_shift"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def false_of(det: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:
+    """Detections that lie over no GT."""
+    return det.join(M.pairs(det, gt, least).select("stem", F.col("d_det_index").alias("det_index")), ["stem", "det_index"], "left_anti")
+
+
+def shared_with(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
+    """Boxes of `a` (stem, det_index, ..) that have one of `b` over them: shared false positives, where both are false; the rest of `a` is new."""
+    return M.pairs(a, b.withColumnRenamed("det_index", "gt_index"), least).select("stem", F.col("d_det_index").alias("det_index")).distinct()
+
+
 def against_reference(cells: DataFrame, group: list[str], tag: str, reference: str, value: str) -> DataFrame:
     """Each cell's difference from its group's reference row."""
     ref = cells.filter(F.col(tag) == reference).select(*group, F.col(value).alias("_ref"))

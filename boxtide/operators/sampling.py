@@ -40,19 +40,33 @@ def most_confident(df: DataFrame, group: list[str], score: str, columns: list[st
     return df.groupBy(*group).agg(F.max_by(F.struct(*columns), F.struct(score, *columns)).alias("p")).select(*group, "p.*")
 
 
-def bootstrap(df: DataFrame, value: str, key: str, rounds: int, other: str | None = None) -> DataFrame:
-    """Mean and 95 % interval (and of the paired difference) by a Poisson bootstrap: each row draws its weight in each round from a hash,
-    so rounds are summed map-side and no round's sample exists as rows. One row out."""
-    u = lambda b: (F.pmod(F.xxhash64(F.col(key), b), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cuts, c, p = [], 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        c += p
-        cuts.append(c)
-        p /= k
-    weight = lambda b: sum(((u(b) > x).cast("int") for x in cuts[1:]), (u(b) > cuts[0]).cast("int"))
-    d = F.col(value).cast("double") - (F.col(other).cast("double") if other else F.lit(0.0))
-    r = df.select(F.col(value).cast("double").alias("a"), d.alias("d"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"), key).withColumn("w", weight(F.col("b")))
-    per = r.groupBy("b").agg((F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("m"), (F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("md"))
+def _poisson(c: Column) -> tuple[Column, Column]:
+    """The range of counts outside which a Poisson weight of mean c is below 1e-15 of the whole."""
+    return F.greatest(F.lit(0), F.floor(c - 9 * F.sqrt(c))).cast("long"), F.ceil(c + 9 * F.sqrt(c) + 12).cast("long")
+
+
+def bootstrap(df: DataFrame, value: str, rounds: int, seed: int, other: str | None = None) -> DataFrame:
+    """Mean and 95 % interval (and of the paired difference) by a Poisson bootstrap. One row out.
+
+    Rows of equal outcome (a, b) draw alike, so a round draws one number for each distinct outcome, of the Poisson distribution of its
+    count: rounds x outcomes draws in all, however many rows there are. Outcome i of round r takes the count at which the distribution
+    reaches u, from the first eight digits of md5("seed:r:i"). The counts' weights are products along a running sum, so no factorial is formed."""
+    a, b = F.col(value).cast("double"), F.col(other).cast("double") if other else F.lit(0.0)
+    of = df.select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
+    of = of.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("a", "b")))  # a row a distinct outcome
+    lo, hi = _poisson(F.col("c"))
+    w = Window.partitionBy("i").orderBy("k")
+    table = of.select("i", "c", lo.alias("lo"), F.explode(F.sequence(lo, hi)).alias("k"))
+    table = table.withColumn("l", F.sum(F.when(F.col("k") > F.col("lo"), F.log(F.col("c") / F.col("k"))).otherwise(0.0)).over(w))
+    table = table.withColumn("e", F.exp(F.col("l") - F.max("l").over(Window.partitionBy("i"))))
+    table = table.select("i", "k", "lo", (F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("e").over(Window.partitionBy("i"))).alias("u"), F.lit(None).cast("long").alias("r"))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string")).cast("binary")), 1, 8)
+    drawn = of.select("i", lo.alias("lo"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long"))).alias("r")).select("i", F.lit(None).cast("long").alias("k"), "lo", ((F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 32)).alias("u"), "r")
+    merged = Window.partitionBy("i").orderBy("u", F.col("k").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    drawn = table.unionByName(drawn).withColumn("w", F.coalesce(F.last("k", ignorenulls=True).over(merged) + 1, F.col("lo"))).filter("r IS NOT NULL")
+    drawn_rows = F.nullif(F.sum("w"), F.lit(0))  # a round may draw none of very few rows
+    per = drawn.join(of.select("i", "a", "b"), "i").groupBy("r").agg((F.sum(F.col("w") * F.col("a")) / drawn_rows).alias("m"), (F.sum(F.col("w") * (F.col("a") - F.col("b"))) / drawn_rows).alias("d"))
     q = lambda col, x: F.percentile(col, F.lit(x))
-    ci = per.agg(q("m", 0.025).alias("low"), q("m", 0.975).alias("high"), q("md", 0.025).alias("diff_low"), q("md", 0.975).alias("diff_high"))
-    return ci.join(F.broadcast(df.agg(F.avg(value).alias("mean"), F.avg(d).alias("diff_mean"))), F.lit(True))
+    ci = per.agg(q("m", 0.025).alias("low"), q("m", 0.975).alias("high"), q("d", 0.025).alias("diff_low"), q("d", 0.975).alias("diff_high"))
+    n = F.sum("c")
+    return ci.join(F.broadcast(of.agg((F.sum(F.col("c") * F.col("a")) / n).alias("mean"), (F.sum(F.col("c") * (F.col("a") - F.col("b"))) / n).alias("diff_mean"))), F.lit(True))

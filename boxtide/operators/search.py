@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,57 +131,71 @@ def pick_best(points: DataFrame, objective: str, feasible: str, thresholds: list
     return points.filter(feasible).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def _own_fronts(vectors: DataFrame) -> DataFrame:
-    """Each partition's vectors that none of its others beats (the greater is the better); NaN is left to the merge."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        front = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if front is None else pa.concat_tables([front, rows])
-            cols = [c.to_numpy() for c in rows.columns]
-            left = np.arange(rows.num_rows)
-            done = 0
-            while done < len(left):  # a vector that stays strikes out those that it beats
-                k = left[done]
-                equal_or_less, less = np.ones(len(left), bool), np.zeros(len(left), bool)
-                for c in cols:
-                    equal_or_less &= c[left] <= c[k]
-                    less |= c[left] < c[k]
-                beaten = (equal_or_less & less).astype(bool)
-                done += 1 - int(beaten[:done].sum())
-                left = left[~beaten]
-            front = rows.take(left)
-        if front is not None:
-            yield from front.to_batches()
-
-    return vectors.mapInArrow(run, vectors.schema)
+#: Cells of the grid that a skyline is dealt by, at most.
+CELLS = 512
+
+
+def _front(rows: np.ndarray) -> np.ndarray:
+    """Which of distinct vectors no other one beats (the greater is the better)."""
+    left, done = np.lexsort(rows.T[::-1])[::-1], 0  # one that comes later here never beats an earlier one
+    while done < len(left):
+        beaten = (rows[left] <= rows[left[done]]).all(1)
+        beaten[: done + 1] = False
+        left = left[~beaten]
+        done += 1
+    return left
+
+
+def _fronts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The front of each cell's rows in a partition, kept up to date batch by batch. Columns: v0 .. vn-1, c0 .. cn-1."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        v, c = (np.stack([rows.column(f"{p}{i}").to_numpy() for i in range(n)], axis=1) for p in "vc")
+        _, of = np.unique(c, axis=0, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        keep = [at[_front(v[at])] for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(at)]
+        held = rows.take(np.concatenate(keep)) if keep else None
+    if held is not None:
+        yield from held.combine_chunks().to_batches()
+
+
+def _beaten_in_cell(rows: pa.Table, n: int) -> pa.Table:
+    """Of a cell's own front and the fronts of cells that could beat it: the own rows that stay."""
+    v, own = np.stack([rows.column(f"v{i}").to_numpy() for i in range(n)], axis=1), rows.column("own").to_numpy()
+    at = _front(v)
+    return rows.select([f"v{i}" for i in range(n)]).take(at[own[at]])
 
 
 def pareto(points: DataFrame, axes: list[tuple[str, str]]) -> DataFrame:
-    """Q6: points that no other point beats; axes are ('max' | 'min', column). Equal points are first made one, and one-axis maxima prune the rest.
-    With two axes a running maximum decides; with more, each partition keeps its own front, and an anti-join on dominance merges what is left."""
-    sign = lambda d, c, p="": F.col(p + c) if d == "max" else -F.col(p + c)
-    v = points.select(*[sign(d, c).alias(f"v{i}") for i, (d, c) in enumerate(axes)]).distinct()
-    names = v.columns
-    if len(axes) == 2:
-        best = v.groupBy("v0").agg(F.max("v1").alias("v1"))  # a row per value of the first axis
-        front = best.withColumn("_m", F.max("v1").over(Window.orderBy(F.desc("v0")).rowsBetween(Window.unboundedPreceding, -1))).filter("_m IS NULL OR v1 > _m").drop("_m")
-    else:
-        v = _own_fronts(v.dropna())
-        a, b = v.alias("a"), v.alias("b")
-        at_least = F.lit(True)
-        more = F.lit(False)
-        for n in names:
-            at_least = at_least & (F.col(f"b.{n}") >= F.col(f"a.{n}"))
-            more = more | (F.col(f"b.{n}") > F.col(f"a.{n}"))
-        front = a.join(b, at_least & more, "left_anti")
-    keyed = points.withColumns({n: sign(d, c) for n, (d, c) in zip(names, axes, strict=True)})
+    """Q6: points that no other point beats; axes are ('max' | 'min', column); points with a null or NaN axis are left out. Equal points are first made one.
+
+    The axes' ranges are cut into a grid of at most CELLS cells. Every partition keeps a front for each cell; a cell all of whose axes lie
+    below another's that has a point is dropped whole; what is left of a cell meets only the fronts of the cells that are nowhere below it."""
+    n, spark = len(axes), points.sparkSession
+    sign = lambda d, c: (F.col(c) if d == "max" else -F.col(c)).cast("double")
+    keyed = points.withColumns({f"v{i}": sign(d, c) for i, (d, c) in enumerate(axes)})
+    names, cells = [f"v{i}" for i in range(n)], [f"c{i}" for i in range(n)]
+    v = keyed.select(*names).dropna().distinct()
+    side = max(2, int(CELLS ** (1 / n)))
+    ends = v.agg(*[f(c).alias(f"{c}_{e}") for c in names for f, e in ((F.min, "lo"), (F.max, "hi"))]).first()
+    if ends[0] is None:
+        return points.limit(0)
+    cut = lambda c: F.least(F.floor((F.col(c) - ends[f"{c}_lo"]) / (ends[f"{c}_hi"] - ends[f"{c}_lo"]) * side), F.lit(side - 1)) if ends[f"{c}_hi"] > ends[f"{c}_lo"] else F.lit(0)
+    kind = ", ".join([f"{c} double" for c in names] + [f"{c} int" for c in cells])
+    own = v.select(*names, *[cut(c).cast("int").alias(k) for c, k in zip(names, cells, strict=True)]).mapInArrow(lambda b: _fronts(b, n), kind).repartition(*cells).mapInArrow(lambda b: _fronts(b, n), kind).persist()
+    filled = [tuple(r) for r in own.select(*cells).distinct().collect()]  # at most CELLS
+    grid = np.array(filled)
+    alive = [c for c in filled if not (grid > np.array(c)).all(1).any()]
+    meets = [(*a, *b) for a in alive for b in alive if a != b and all(x >= y for x, y in zip(a, b, strict=True))] + [(*a, *a) for a in alive]
+    to = spark.createDataFrame(meets, ", ".join([f"{c} int" for c in cells] + [f"t{i} int" for i in range(n)]))  # pairs of cells of one staircase
+    targets = [f"t{i}" for i in range(n)]
+    same = F.lit(True)
+    for c, t in zip(cells, targets, strict=True):
+        same = same & (F.col(c) == F.col(t))
+    sent = own.join(F.broadcast(to), cells).select(*names, *targets, same.alias("own"))
+    front = sent.groupBy(*targets).applyInArrow(lambda t: _beaten_in_cell(t, n), ", ".join(f"{c} double" for c in names))
     return keyed.join(front, names, "left_semi").drop(*names)
 
 

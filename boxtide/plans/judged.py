@@ -1,10 +1,13 @@
-"""Queries that judge stored scenes: full AP evaluation, threshold searches; and answers of models parsed."""
+"""Queries that judge stored scenes: full AP evaluation, threshold searches; masks, agreement of runs; and answers of models parsed."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from boxtide.functions import masks as K
 from boxtide.functions import text as T
+from boxtide.operators import detection as D
+from boxtide.operators import matching as M
 from boxtide.operators import search as H
 from boxtide.operators import sweep as W
 from boxtide.plans import fixtures as X
@@ -108,3 +111,40 @@ def answers(s, d):
     first = T.whole_or_last(F.col("t"))
     v = T.verdict(F.col("t"))
     return e.select("event_id", F.coalesce(F.get_json_object(first, "$.a.b"), F.get_json_object(first, "$.k")).cast("int").alias("first_k"), F.get_json_object(T.last_flat_object(F.col("t")), "$.k").cast("int").alias("second_k"), v["verdict"].alias("verdict"), v["gender"].alias("gender"), v["estimated_age"].alias("age"))
+
+
+_RUNS = ["conf >= 30", "conf < 70", "conf % 2 = 0"]
+
+
+@query(X.WITH + "".join(f", d{k} AS (SELECT * FROM det WHERE {r})" for k, r in enumerate(_RUNS)) + "".join(X.greedy_sql(f"m{k}", 0.5, det=f"d{k}") for k in range(3)) + ", " + ", ".join(f"f{k} AS (SELECT m.stem, m.gi, d.cls, m.v FROM m{k} m JOIN d{k} d ON d.stem = m.stem AND d.det_index = m.di), p{k} AS (SELECT * FROM d{k} a WHERE NOT EXISTS (SELECT 1 FROM gt b WHERE b.stem = a.stem AND {X.IOU} >= 0.5))" for k in range(3)) + " " + " UNION ALL ".join(f"""SELECT {i} AS a, {j} AS b, sum((x.v IS NOT NULL AND y.v IS NOT NULL)::INT)::BIGINT AS both, sum((x.v IS NOT NULL AND y.v IS NULL)::INT)::BIGINT AS only_a, sum((x.v IS NULL AND y.v IS NOT NULL)::INT)::BIGINT AS only_b, sum((x.v IS NULL AND y.v IS NULL)::INT)::BIGINT AS neither,
+  coalesce(sum((x.cls = y.cls)::INT), 0)::BIGINT AS same_class, coalesce(sum((x.cls <> y.cls)::INT), 0)::BIGINT AS flips, round(avg(y.v - x.v), 9) AS iou_shift,
+  (SELECT count(*) FROM (SELECT DISTINCT a.stem, a.det_index FROM p{i} a JOIN p{j} b ON a.stem = b.stem WHERE {X.IOU} >= 0.5)) AS shared_false, (SELECT count(*) FROM p{j} a WHERE NOT EXISTS (SELECT 1 FROM d{i} b WHERE b.stem = a.stem AND {X.IOU} >= 0.5)) AS new_false
+  FROM gt LEFT JOIN f{i} x ON x.stem = gt.stem AND x.gi = gt.gt_index LEFT JOIN f{j} y ON y.stem = gt.stem AND y.gi = gt.gt_index""" for i, j in ((0, 1), (0, 2), (1, 2))))
+def agreement(s, d):
+    """Three runs over one GT, pair by pair: who found what, class flips, shift of IoU, false positives of a that b shares, and those of b where a has nothing."""
+    det, gt = X.det(s, d), X.gt(s, d)
+    runs = [det.filter(r) for r in _RUNS]
+    found = [M.match_greedy(M.pairs(r, gt, 0.5)).join(r.select("stem", "det_index", "cls"), ["stem", "det_index"]).select("stem", "gt_index", "cls", "iou") for r in runs]
+    false = [D.false_of(r, gt) for r in runs]
+    pairs = D.run_pairs(D.found_by(gt, found), 3)
+    more = None
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        shared = D.shared_with(false[i], false[j]).agg(F.count("*").alias("shared_false"))
+        new = false[j].join(D.shared_with(false[j], runs[i]), ["stem", "det_index"], "left_anti").agg(F.count("*").alias("new_false"))
+        one = shared.join(new, F.lit(True)).select(F.lit(i).alias("a"), F.lit(j).alias("b"), "shared_false", "new_false")  # one row each
+        more = one if more is None else more.unionByName(one)
+    return pairs.join(F.broadcast(more), ["a", "b"]).withColumn("iou_shift", F.round("iou_shift", 9))
+
+
+@query(X.WITH + f""", c AS (SELECT stem, det_index, cy * 100 + unnest(range(x1 + (cy - y1) % 3, x2 - CASE WHEN (cy - y1) % 4 = 1 THEN 6 ELSE 0 END)) AS p FROM (SELECT *, unnest(range(y1, y2)) AS cy FROM det WHERE stem % 4 = 1) q),
+n AS (SELECT stem, det_index, count(*) AS n FROM c GROUP BY ALL), b AS (SELECT x.stem, x.det_index AS i, y.det_index AS j, count(*) AS common FROM c x JOIN c y ON x.stem = y.stem AND x.p = y.p AND x.det_index < y.det_index GROUP BY ALL)
+SELECT b.stem, i, j, common, round(common::DOUBLE / (p.n + q.n - common), 9) AS iou FROM b JOIN n p ON p.stem = b.stem AND p.det_index = i JOIN n q ON q.stem = b.stem AND q.det_index = j""".replace("WHERE stem % 4 = 1", ""))
+def mask_overlap(s, d):
+    """Pixels that two jagged masks of an image share, and their overlap; pairs whose tight boxes are apart are not looked at. The oracle counts pixels."""
+    y = F.sequence(F.col("y1"), F.col("y2") - 1)
+    rows = F.transform(y, lambda v: F.struct(v.alias("y"), (F.col("x1") + (v - F.col("y1")) % 3).alias("x1"), (F.col("x2") - F.when((v - F.col("y1")) % 4 == 1, 6).otherwise(0)).alias("x2")))
+    masks = X.det(s, d).select("stem", "det_index", K.runs_of_rows(rows, F.lit(100)).alias("mask")).withColumn("box", K.extent(F.col("mask"), F.lit(100)))
+    a, b = masks.select("stem", F.col("det_index").alias("i"), F.col("mask").alias("m"), F.col("box").alias("p")), masks.select(F.col("stem").alias("s"), F.col("det_index").alias("j"), F.col("mask").alias("n"), F.col("box").alias("q"))
+    near = (F.col("p.x1") < F.col("q.x2")) & (F.col("q.x1") < F.col("p.x2")) & (F.col("p.y1") < F.col("q.y2")) & (F.col("q.y1") < F.col("p.y2"))
+    both = a.join(b, (F.col("stem") == F.col("s")) & (F.col("i") < F.col("j")) & near).withColumn("common", K.common(F.col("m"), F.col("n"))).filter("common > 0")
+    return both.select("stem", "i", "j", "common", F.round(K.iou(F.col("m"), F.col("n")), 9).alias("iou"))

@@ -223,11 +223,7 @@ SELECT convention, grp, v AS value FROM p""")
 def percentiles(s, d):
     """Five conventions."""
     li = load(s, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("v"))
-    out = None
-    for c in R.PLACES:
-        one = R.percentile(li, ["grp"], "v", 90, c).select(F.lit(c).alias("convention"), "grp", "value")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return R.percentiles(li, ["grp"], "v", {c: (90, c) for c in R.PLACES}).select(F.col("name").alias("convention"), "grp", "value")
 
 
 @query("""SELECT l_returnflag AS grp, count(*) AS n, avg(l_quantity) AS qty_mean, min(l_quantity) AS qty_min, max(l_quantity) AS qty_max, sum((l_discount > 0.05)::INT)::BIGINT AS cheap, sum((l_tax = 0)::INT)::BIGINT AS untaxed FROM lineitem GROUP BY 1""")
@@ -297,11 +293,18 @@ def most_confident(s, d):
     return S.most_confident(load(s, d, "lineitem").select(F.col("l_orderkey").alias("stem"), "l_extendedprice", "l_partkey"), ["stem"], "l_extendedprice", ["l_partkey"]).select("stem", F.col("l_partkey").alias("part"))
 
 
-@query()
+@query("""WITH o AS (SELECT (o_orderstatus = 'F')::INT AS a, (o_custkey % 2)::INT AS b FROM orders), g AS (SELECT a, b, count(*) AS c, row_number() OVER (ORDER BY a, b) AS i FROM o GROUP BY a, b),
+k AS (SELECT i, c, unnest(range(greatest(0, floor(c - 9 * sqrt(c)))::BIGINT, ceil(c + 9 * sqrt(c) + 12)::BIGINT + 1)) AS k FROM g),
+e AS (SELECT i, k, exp(k * ln(c) - c - lgamma(k + 1)) AS e FROM k), t AS (SELECT i, k, sum(e) OVER (PARTITION BY i ORDER BY k) / sum(e) OVER (PARTITION BY i) AS u FROM e),
+dr AS (SELECT r, i, (('0x' || substr(md5('20260825:' || r || ':' || i), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE AS u FROM g, range(1, 5001) q(r)),
+w AS (SELECT dr.r, dr.i, t.k AS w FROM dr ASOF JOIN t ON t.i = dr.i AND t.u >= dr.u),
+m AS (SELECT r, sum(w * a)::DOUBLE / sum(w) AS m, sum(w * (a - b))::DOUBLE / sum(w) AS d FROM w JOIN g USING (i) GROUP BY r)
+SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(quantile_cont(d, 0.025), 9) AS diff_low, round(quantile_cont(d, 0.975), 9) AS diff_high, (SELECT round(avg(a), 9) FROM o) AS mean, (SELECT round(avg(a - b), 9) FROM o) AS diff_mean FROM m""")
 def bootstrap(s, d):
-    """200 rounds of a paired Poisson bootstrap."""
-    o = load(s, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("a"), (F.col("o_custkey") % 2).cast("int").alias("b"))
-    return S.bootstrap(o, "a", "o_orderkey", 200, "b")
+    """5,000 rounds of a paired bootstrap, drawn for each distinct outcome."""
+    o = load(s, d, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("a"), (F.col("o_custkey") % 2).cast("int").alias("b"))
+    out = S.bootstrap(o, "a", 5000, 20260825, "b")
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 _PTS = "(SELECT p_partkey AS id, (p_partkey % 20) / 20.0::DOUBLE AS t, (p_size * 7 % 50) / 50.0::DOUBLE AS rec, (p_partkey % 37) / 37.0::DOUBLE AS fp, p_brand AS brand FROM part)"

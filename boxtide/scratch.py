@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -17,3 +17,10 @@ def scratch(spark: SparkSession) -> str:
         top = getattr(spark.sparkContext, "_boxtide_scratch", None) or tempfile.mkdtemp(prefix="boxtide-")
         spark.sparkContext._boxtide_scratch = top
     return f"{top}/boxtide-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet and read back: worked out once, and safe when executors are lost."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
