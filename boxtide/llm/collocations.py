@@ -43,7 +43,7 @@ from .common import table, text_of, written
 from .perfect_hash import PerfectHash
 
 LEAST, LONGEST, TOP, SUBSUMED = 100, 5, 2000, 100
-BLOCK, BUCKETS, SLOTS, CHUNK, SALTS = 1 << 20, 1 << 22, 1 << 20, 4096, 8
+BLOCK, BUCKETS, SLOTS, CHUNK, SALTS = 1 << 20, 1 << 24, 1 << 20, 1 << 15, 8
 HELD, PARTS = 1 << 19, 1024
 _STOPS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 _BREAK = np.zeros(256, bool)
@@ -135,11 +135,18 @@ def _sent(total: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _counts(places: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a chunk and their counts: of four bytes as a mapper sends them, of eight once summed."""
+    at, raw = np.frombuffer(places.as_buffer(), np.uint16), counts.as_buffer()
+    return at, np.frombuffer(raw, np.uint32 if raw.size == 4 * len(at) else np.int64)
+
+
 def _summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in rows:
         for chunk, places, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            total.setdefault(chunk, np.zeros(CHUNK, np.int64))[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.int64)
+            at, n = _counts(places, counts)
+            total.setdefault(chunk, np.zeros(CHUNK, np.int64))[at] += n
     for chunk, counts in total.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], names=["chunk", "salt", "places", "counts"])
@@ -154,18 +161,18 @@ def _bits(source: DataFrame, words: Callable[[Iterator[pa.RecordBatch]], Iterato
     """BUCKETS flags (packed): whether the phrases of a bucket add up to `least`."""
 
     def binned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.uint32)
         for w in words(rows):
             at, times = np.unique((_hash(w) % np.uint64(BUCKETS)).astype(np.uint32), return_counts=True)
-            total[at] += times
+            total[at] += times.astype(np.uint32)
         yield from _sent(total, TaskContext.get().partitionId() % SALTS)
 
     def flags(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out = []
             for places, counts in zip(batch.column(2), batch.column(3), strict=True):
-                f = np.zeros(CHUNK, bool)
-                f[np.frombuffer(places.as_buffer(), np.uint16)] = np.frombuffer(counts.as_buffer(), np.int64) >= least
+                f, (at, n) = np.zeros(CHUNK, bool), _counts(places, counts)
+                f[at] = n >= least
                 out.append(np.packbits(f).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "flags"])
 
@@ -278,19 +285,19 @@ def frequent(streams: DataFrame, k: int, bits: np.ndarray, least: int) -> DataFr
         part = spark.sparkContext.broadcast(slots)
 
         def binned(rows: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(part.value.hash.n, np.int64)
+            total = np.zeros(part.value.hash.n, np.uint32)
             for w in _windows(rows, k):
                 w = _possible(sent.value, w)
                 slot = part.value.find(w)
-                total += np.bincount(slot[slot >= 0], minlength=len(total))
+                total += np.bincount(slot[slot >= 0], minlength=len(total)).astype(np.uint32)
             yield from _sent(total, TaskContext.get().partitionId() % SALTS)
 
         def read(rows: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 for chunk, places, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                    n = np.frombuffer(counts.as_buffer(), np.int64)
-                    slot = np.frombuffer(places.as_buffer(), np.uint16).astype(np.int64)[n >= least] + chunk * CHUNK
-                    yield _batch([w[slot] for w in part.value.words], n=n[n >= least])
+                    at, n = _counts(places, counts)
+                    slot = at.astype(np.int64)[n >= least] + chunk * CHUNK
+                    yield _batch([w[slot] for w in part.value.words], n=n[n >= least].astype(np.int64))
 
         out = out.unionAll(written(_tree(streams.mapInArrow(binned, _ARRAYS), read, f"{KEY}, n long")))
         part.destroy()
