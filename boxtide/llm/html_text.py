@@ -2,9 +2,16 @@
 
 A tolerant tree builder (implied end tags, void and raw-text elements, unmatched tags ignored, any depth)
 feeds a renderer. Hidden are: head matter, script, style, template, noscript and the like, elements with the hidden
-attribute or display:none in their style, hidden inputs; visibility:hidden is handed down until visibility:visible. Blocks start lines, paragraphs and other
-blocks with margins are set apart by one empty line, list items carry their mark and indent, pre keeps its white space,
-table cells are padded to their column's width, columns below a rowspan left free, rows of tfoot last. Indents stop at INDENT characters. Of a select every option's label is a line, of svg and math the text stays.
+attribute or display:none, closed dialogs, hidden inputs; visibility:hidden is handed down until visibility:visible. Both
+properties are taken from style attributes and from the page's style sheets, there by rules whose selectors are an element,
+classes, an id or these joined (at-rules and longer selectors are left out), the more specific and later rule first.
+Blocks start lines, paragraphs and other blocks with margins are set apart by one empty line, list items carry their mark
+(numbers go by start, reversed and value) and indent, pre keeps its white space, table cells are padded to their column's
+width, columns below a rowspan left free, rows of tfoot last. Of a select every option's label is a line, of svg and math the text stays.
+
+Bounds that keep a page's text in proportion to its markup, and no text from it: indents stop at INDENT characters; a table
+whose spans would fill over SPREAD places a cell is laid out without spans, and one that padding would make over SPREAD / 4
+times its text (and PADDING characters) is parted by two blanks instead.
 
 Defined results: null html is empty; malformed markup is read as far as it goes; text outside any element counts; an
 empty table gives an empty result; only page_id and html are read. Each page is one row: no shuffle.
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-INDENT = 400
+INDENT, SPREAD, PADDING = 400, 64, 1 << 16
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -44,15 +51,71 @@ _HEAD = frozenset("head meta link base title style script noscript template".spl
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _GAP = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+)*)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "look")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.look = declared(attrs["style"]) if "style" in attrs else {}
+
+
+def declared(style: str) -> dict[str, str]:
+    """What declarations say last of display and visibility."""
+    out: dict[str, str] = {}
+    for part in _COMMENT.sub("", style).split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.partition("!")[0].strip().lower()
+        if name in ("display", "visibility") and value:
+            out[name] = value
+    return out
+
+
+def _rules(sheets: list[str]) -> dict[str, list[tuple[tuple[int, int, int], str, frozenset[str], dict[str, str]]]]:
+    """By the key an element must have (#id, .class or tag): (ids, classes, order), tag, all marks it must have, declarations."""
+    out: dict[str, list] = {}
+    text = _COMMENT.sub("", " ".join(sheets))
+    at, depth = 0, 0
+    plain = []  # without at-rules and what they hold
+    for m in re.finditer(r"@[^{};]*[{;]|[{}]", text):
+        if depth == 0 and m[0][0] == "@":
+            plain.append(text[at : m.start()])
+            depth, at = (1, at) if m[0][-1] == "{" else (0, m.end())
+        elif depth:
+            depth += 1 if m[0][-1] == "{" else -1 if m[0] == "}" else 0
+            at = m.end()
+    plain.append(text[at:] if not depth else "")
+    for n, (selectors, body) in enumerate(_RULE.findall("".join(plain))):
+        says = declared(body)
+        for sel in selectors.split(",") if says else ():
+            m = _SIMPLE.fullmatch(sel.strip())
+            if not m or not sel.strip():
+                continue
+            tag, marks = (m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2]))
+            key = max(marks, default=tag, key=lambda k: k[0] == "#")
+            out.setdefault(key, []).append(((sum(k[0] == "#" for k in marks), sum(k[0] == "." for k in marks), n), tag, marks, says))
+    return out
+
+
+def styled(root: Node) -> None:
+    """Adds what the page's style sheets say to the elements' own styles."""
+    todo, every, sheets = [root], [], []
+    while todo:
+        node = todo.pop()
+        every.append(node)
+        todo += [k for k in node.kids if not isinstance(k, str)]
+        if node.tag == "style":
+            sheets.append("".join(k for k in node.kids if isinstance(k, str)))
+    rules = _rules(sheets[::-1]) if sheets else {}  # the stack gives the page's elements last first
+    for node in every if rules else ():
+        marks = {f".{c}" for c in node.attrs.get("class", "").split()} | ({f"#{node.attrs['id']}"} if node.attrs.get("id") else set())
+        fit = [r for k in (*marks, node.tag, "*") for r in rules.get(k, ()) if r[2] <= marks and r[1] in ("*", node.tag)]
+        for _, tag, _, says in sorted(fit, key=lambda r: (r[0][0], r[0][1], r[1] != "*", r[0][2])):
+            node.look = {**node.look, **{k: v for k, v in says.items() if k not in declared(node.attrs.get("style", ""))}}
 
 
 def tree(source: str) -> tuple[Node, int]:
@@ -107,6 +170,7 @@ def tree(source: str) -> tuple[Node, int]:
         if tag in ("html", "body"):
             shut(("head",), ())
             root.attrs |= attrs
+            root.look |= declared(attrs.get("style", ""))
             continue
         if stack[-1].tag == "head" and tag not in _HEAD:
             cut(-1)
@@ -140,13 +204,13 @@ def tree(source: str) -> tuple[Node, int]:
 
 def hidden(node: Node) -> bool:
     a = node.attrs
-    return node.tag in HIDDEN or "hidden" in a or ("style" in a and bool(_UNSEEN.search(a["style"]))) or (node.tag == "input" and a.get("type", "").lower() == "hidden")
+    return node.tag in HIDDEN or "hidden" in a or node.look.get("display") == "none" or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden")
 
 
 def unseen(node: Node, parent: bool) -> bool:
     """Whether the element's own text is invisible: what its style says last, else as its parent's."""
-    said = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
-    return said[-1].lower() in ("hidden", "collapse") if said else parent
+    said = node.look.get("visibility", "inherit")
+    return said in ("hidden", "collapse") if said in ("hidden", "collapse", "visible", "initial") else parent
 
 
 class Page:
@@ -201,6 +265,10 @@ class Page:
         self.gap = True
 
 
+def _number(said: str | None, otherwise: int) -> int:
+    return int(said) if said and re.fullmatch(r"\s*[+-]?[0-9]{1,9}\s*", said) else otherwise
+
+
 Cell = tuple[str, int, int]  # text, columns, rows
 
 
@@ -228,7 +296,7 @@ def _group(node: Node, unseen_: bool, captions: list[str], groups: list[list[lis
                     if c.strip() and not dim:
                         row.append((_GAP.sub(" ", c).strip(), 1, 1))
                 elif not hidden(c):
-                    row.append((render(c, dim), _span(c, "colspan", 100), _span(c, "rowspan", 65534)))
+                    row.append((render(c, dim), _span(c, "colspan", 1000), _span(c, "rowspan", 65534)))
             rows.append(row)
         elif kid.tag in ("thead", "tbody", "tfoot"):
             _group(kid, unseen(kid, unseen_), captions, last if kid.tag == "tfoot" else groups, last)
@@ -260,6 +328,13 @@ def _table(node: Node, unseen_: bool) -> str:
     groups: list[list[list[Cell]]] = []
     last: list[list[list[Cell]]] = []
     _group(node, unseen_, captions, groups, last)
+    cells, places = 0, 0
+    for g in groups + last:
+        for k, row in enumerate(g):
+            cells += len(row)
+            places += sum(span * min(down, len(g) - k) for _, span, down in row)
+    if places > SPREAD * cells + PADDING:
+        groups, last = ([[[(s, 1, 1) for s, _, _ in row] for row in g] for g in part] for part in (groups, last))
     rows = [r for g in groups + last for r in _placed(g)]
     width: dict[int, int] = {}
     for row in rows:
@@ -271,6 +346,9 @@ def _table(node: Node, unseen_: bool) -> str:
         begin.append(total)
         total += width.get(at, 0) + 2
     lines = [c for c in captions if c]
+    texts = sum(len(s) + 2 for row in rows for _, s, _ in row)
+    if sum(begin[row[-1][0]] * (1 + max(s.count("\n") for _, s, _ in row)) for row in rows if row) > SPREAD // 4 * texts + PADDING:
+        begin = [0] * len(begin)
     for row in rows:
         parts = [(at, s.split("\n")) for at, s, _ in row]
         for i in range(max((len(x) for _, x in parts), default=0)):
@@ -321,14 +399,16 @@ def _kids(node: Node, page: Page, keep: bool, bullet: list) -> None:
             page.text(_table(kid, unseen(kid, dim)), True)
             page.unseen = dim
         elif tag in ("ul", "ol", "menu"):
-            start = kid.attrs.get("start", "1")
-            _walk(kid, page, keep, [[tag == "ol", int(start) if start.lstrip("-").isdecimal() else 1]])
+            back = tag == "ol" and "reversed" in kid.attrs
+            first = sum(not isinstance(k, str) and k.tag == "li" and not hidden(k) for k in kid.kids) if back else 1
+            _walk(kid, page, keep, [[tag == "ol", _number(kid.attrs.get("start"), first), -1 if back else 1]])
         elif tag == "li":
             old = page.indent
             mark = "- "
             if bullet and bullet[-1][0]:
-                mark = f"{bullet[-1][1]}. "
-                bullet[-1][1] += 1
+                now = _number(kid.attrs.get("value"), bullet[-1][1])
+                mark = f"{now}. "
+                bullet[-1][1] = now + bullet[-1][2]
             page.mark, page.indent = old + mark, page.deeper(" " * len(mark))
             _walk(kid, page, keep, bullet)
             page.indent, page.mark = old, ""
@@ -370,6 +450,7 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     root, depth = tree(source)
+    styled(root)
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 6 * depth + 1000))  # at most five calls a level
     try:

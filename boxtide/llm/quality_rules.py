@@ -8,8 +8,8 @@ fences from the next wider sketch. A document is kept if it passes the base rule
 group's outer fence, upper quartile + REACH * (inter-quartile range) + the measure's slack.
 
 Defined results: null text has no words and fails the base rule; null lang or source form a group of their own; an
-empty table gives an empty result; further columns pass through `apply` untouched, unless their names begin with
-`qr_`, which are replaced.
+empty table gives an empty result. In `stage` all columns of the documents come through untouched, whatever their names;
+`apply` adds its measures and verdict to the kept columns, and leaves out those of the same names or that begin with `qr_`.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ MIN_GROUP = 200
 BROADCAST, SALTS = 100_000, 64
 #: Measure -> slack, in the measure's units: what every group may exceed its fence by.
 SLACK = {"word_len": 3000, "symbols": 100, "dup_lines": 5000, "repeats": 4000, "caps": 1500, "bangs": 100, "pipes": 300}
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 #: Bits of a packed value that hold a position; texts with more words sort pairs of a whole hash and a position instead.
 POSITION_BITS = 18
 
@@ -47,7 +48,7 @@ def _recurring(s: Column, high, low) -> Column:
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` and qr_* columns with the measures of every whole text; no shuffle."""
     group = {k: F.coalesce(docs[c].cast("string"), F.lit("")) for k, c in (("qr_lang", "lang"), ("qr_source", "source"))}
-    df = docs.select(*[docs[c] for c in keep if not c.startswith("qr_")], *[v.alias(k) for k, v in group.items()], text_of(docs).alias("qr_text"))
+    df = docs.select(*[docs[c] for c in keep if not c.startswith("qr_") and c not in RESULTS], *[v.alias(k) for k, v in group.items()], text_of(docs).alias("qr_text"))
     df = df.withColumns({
         "qr_w": F.filter(F.split("qr_text", SPACE, -1), lambda w: w != ""),
         "qr_l": F.filter(F.split("qr_text", "\n", -1), lambda s: s.rlike(WORD)),
@@ -135,9 +136,10 @@ def apply(docs: DataFrame, keep: list[str], wide: bool = False) -> DataFrame:
 
 def _with_fences(measured: DataFrame, fenced: DataFrame) -> DataFrame:
     """Every document with its group's fences; no group's documents meet in one task."""
-    fenced, by = cut(fenced), ["qr_lang", "qr_source"]
-    if fenced.count() <= BROADCAST:
-        return measured.join(F.broadcast(fenced), by, "left")
+    by, few = ["qr_lang", "qr_source"], fenced.limit(BROADCAST + 1).collect()
+    if len(few) <= BROADCAST:
+        return measured.join(F.broadcast(measured.sparkSession.createDataFrame(few, fenced.schema)), by, "left")
+    fenced = cut(fenced)
     salted = fenced.withColumn("qr_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = measured.withColumn("qr_salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "qr_caps", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
     return dealt.join(salted.hint("merge"), [*by, "qr_salt"], "left").drop("qr_salt")
@@ -149,7 +151,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return apply(docs, docs.columns, wide=True).filter("kept").select(*docs.columns)
+    own = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*[docs[c].alias(n) for c, n in own.items()], *[docs[c] for c in ("lang", "source", "text")])
+    return apply(named, list(own.values()), wide=True).filter("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def _limit_sql(k: str, lv: int) -> str:

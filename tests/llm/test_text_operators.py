@@ -141,6 +141,17 @@ def test_quality_rules_edges(edge, empty):
     assert quality_rules.apply(empty.drop("kept"), ["doc_id"]).count() == 0
 
 
+def test_quality_rules_keep_users_columns(spark):
+    """Columns named as the measures, as working columns and as the fences' keys come through as they were, types too."""
+    good = " ".join(f"word{i} of text{i % 7}" for i in range(60))
+    rows = [(i, good if i % 3 else None, "en", "s", "yes", i, "w", 1.5, "d", "r", "b", "l", "x") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string, n_words int, word_chars string, n_symbols double, n_dup_lines string, n_repeat_words string, base_failed string, qr_lang string, in_0 string")
+    got = quality_rules.stage(spark, docs, "")
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[1])
+    assert quality_rules.stage(spark, docs.limit(0), "").count() == 0
+    assert {r.kept for r in quality_rules.apply(docs, docs.columns).collect()} == {True, False}
+
+
 def test_quality_rules_wide_text(spark):
     """Beyond 2**18 words, distinct windows are not taken for repeats, and true ones are found."""
     text = " ".join(f"w{i}" for i in range(1_000_000))
@@ -412,3 +423,60 @@ def test_line_counts():
         for a, b, data, off in tk.blocks(pa.array(texts, pa.string())):
             want = [sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")) for t in texts[a:b]]
             assert line_dedup._line_counts(data, off).tolist() == want
+
+
+def test_html_bounds():
+    """Spans and long cells can't make more text than the page's size warrants, and none gets lost."""
+    import time
+
+    page = "<table>" + "<tr><td rowspan=60000 colspan=100>a" * 3000
+    began = time.perf_counter()
+    got = html_text.extract(page)
+    assert time.perf_counter() - began < 1 and len(got) < 10 * len(page) and got.split() == ["a"] * 3000
+    wide = "<table><tr><td>" + "x" * 50_000 + "<td>y" + "<tr><td>p<td>q" * 3000
+    assert html_text.extract(wide).split() == ["x" * 50_000, "y"] + ["p", "q"] * 3000 and len(html_text.extract(wide)) < 5 * len(wide)
+    assert html_text.extract("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p style='not-display:none'>a</p><p style='DISPLAY : none !important'>b</p><p style='display:none;display:block'>c</p>", "a\n\nc"),
+    ("<style>.h, #gone {display:none} p.v{visibility:hidden} /* .k{display:none} */ @media print{.k{display:none}} b{color:red}</style><p class='x h'>1</p><p id=gone>2</p><div class=h>3</div><p class=v>4</p><div class=v>5</div><p class=k>6</p>", "5\n\n6"),
+    ("<style>div{display:none} .s{display:block} #t.s{display:none}</style><div>1</div><div class=s>2</div><div class=s id=t>3</div><div style='display:block'>4</div>", "2\n4"),
+    ("<p>1<style>@charset 'x'; p i{display:none} i{display:none}</style> <i>2</i> 3", "1 3"),
+    ("<dialog>1</dialog><dialog open>2</dialog>", "2"),
+    ("<ol reversed><li>a<li>b<li value=9>c<li>d</ol><ol start=-1><li>e<li>f</ol>", "4. a\n3. b\n9. c\n8. d\n\n-1. e\n0. f"),
+])
+def test_html_visibility(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_html_words_of_random_trees():
+    """The words of random pages, in order, against a list made along with the markup."""
+    r = random.Random(12)
+
+    def made(depth, seen):
+        out, words = "", []
+        for _ in range(r.randrange(1, 5)):
+            kind = r.choice(["text", "text", "p", "div", "b", "ul", "table", "hide", "style", "pre"]) if depth < 5 else "text"
+            if kind == "text":
+                w = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(1, 4))]
+                out, words = out + " " + "\n ".join(w) + " ", words + (w if seen else [])
+                continue
+            inner, own = made(5 if kind in ("p", "style") else depth + 1, seen and kind not in ("hide", "style"))  # blocks would end a p, and the span in it
+            words += own
+            out += {
+                "p": f"<div><P>{inner}</div>", "div": f"<div title='>'>{inner}</div>", "b": f"<b>{inner}</b>", "ul": f"<ul><li>{inner}</ul>", "table": f"<table><tr><td>{inner}</table>",
+                "hide": f"<div hidden>{inner}</div>", "style": f"<span style='color:red;display:none'>{inner}</span>", "pre": f"<pre>{inner}</pre>",
+            }[kind]
+        return out, words
+
+    for _ in range(300):
+        page, words = made(0, True)
+        assert [w for w in html_text.extract(page).split() if w != "-"] == words, page
+
+
+def test_html_table_of_pages(spark):
+    schema = "page_id long, html string, text string, n_chars string"
+    assert html_text.apply(spark.createDataFrame([], schema)).count() == 0
+    got = html_text.apply(spark.createDataFrame([(1, "<p>a", "clash", "n"), (1, "<p>a", "clash", "n"), (None, None, None, None), (2, "", "", "")], schema))
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "a"), (1, "a"), (2, ""), (None, "")]
