@@ -234,3 +234,10 @@ def map_detection(mode: Column, cls: Column, name: Column) -> Column:
     prompts = F.when(name.contains("child"), 2).when(name.contains("woman"), 0).when(name.contains("man"), 1)
     emit = F.when(mode == "identity", cls).when(mode == "person", F.when(cls == 0, 0)).when(mode == "prompts", prompts).when(mode == "two_axis", F.when(cls.between(0, 5), cls))
     return F.struct(emit.cast("int").alias("emit_cls"), F.when(emit.isNull(), F.concat(F.lit("unmapped:"), F.coalesce(name, F.lit("?")))).alias("excluded"))
+
+
+def why_age_unknown(v: Column, band: tuple[float, float] = (13, 17), lowconf: bool = False) -> Column:
+    """Which rule makes a person's age unknown: low_confidence, teen_band, age_group_unknown; null where none does. The order is that of two_axis()."""
+    age = v["estimated_age"]
+    low = (v["confidence"] == "low") if lowconf else F.lit(False)
+    return F.when(low, "low_confidence").when(age.between(*band), "teen_band").when(~F.coalesce(v["age_group"].isin("child", "adult"), F.lit(False)), "age_group_unknown")

@@ -30,6 +30,7 @@ def image_metrics(images: DataFrame, gt: DataFrame, ignore: DataFrame, det: Data
     per = mine.groupBy("stem").agg(
         F.sum(F.when(t, F.col("uncov") * F.col("area")).otherwise(0.0)).alias("exposure"), F.sum(F.when(t, 1).otherwise(0)).alias("n_gt_target"), F.sum(F.when(c, 1).otherwise(0)).alias("n_gt_child"),
         F.max(F.when(c, (F.col("covered") > kappa).cast("int")).otherwise(0)).alias("child_hit"), F.avg(F.when(t, F.col("uncov"))).alias("person_uncov"), F.avg(F.when(c, F.col("covered"))).alias("child_cov"),
+        F.sum(F.when(t, F.col("uncov"))).alias("uncov_sum"), F.sum(F.when(t & (F.col("uncov") <= 0.1), 1)).alias("covered90"), F.sum(F.when(c, F.col("covered"))).alias("child_cov_sum"),
     )
     window = images.select("stem", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("width").cast("double").alias("x2"), F.col("height").cast("double").alias("y2"), F.lit(0).alias("w"))
     seen = A.clipped(blur, window, ["stem"], "w").select("stem", *boxes)
@@ -42,7 +43,7 @@ def image_metrics(images: DataFrame, gt: DataFrame, ignore: DataFrame, det: Data
     wrong = F.greatest(F.lit(0.0), zero("blurred") - zero("both")) / (F.col("width") * F.col("height"))
     return out.select(
         "stem", F.coalesce("exposure", F.lit(0.0)).alias("exposure"), F.when(zero("n_gt_target") > 0, F.col("exposure") <= tau).alias("m1_pass"), wrong.alias("false_area_frac"), (wrong > phi).alias("fb_fail"),
-        zero("fp_boxes").cast("long").alias("fp_boxes"), F.when(zero("n_gt_child") > 0, F.col("child_hit") == 0).alias("child_pass"), zero("n_gt_target").cast("long").alias("n_gt_target"), zero("n_gt_child").cast("long").alias("n_gt_child"), "person_uncov", "child_cov",
+        zero("fp_boxes").cast("long").alias("fp_boxes"), F.when(zero("n_gt_child") > 0, F.col("child_hit") == 0).alias("child_pass"), zero("n_gt_target").cast("long").alias("n_gt_target"), zero("n_gt_child").cast("long").alias("n_gt_child"), "person_uncov", "child_cov", "uncov_sum", "covered90", "child_cov_sum",
     )
 
 
@@ -57,6 +58,8 @@ def by_slice(records: DataFrame, tags: DataFrame, teen: str = "teen_band") -> Da
         F.count("*").alias("n_images"), F.sum(F.when(on, 1).otherwise(0)).alias("n_target_images"), share(F.col("m1_pass"), on).alias("m1_pass_rate"), F.avg(F.when(on, F.col("exposure"))).alias("mean_exposure"),
         share(F.col("fb_fail"), F.lit(True)).alias("falseblur_img_rate"), F.avg("false_area_frac").alias("fb_area_mean"), (F.sum("fp_boxes") * 100 / F.count("*")).alias("fp_boxes_per_100"),
         F.sum(F.when(grown, 1).otherwise(0)).alias("n_child_images"), share(F.col("child_pass"), grown).alias("child_clarity"),
+        F.sum("n_gt_target").alias("n_persons"), (F.sum("uncov_sum") / F.nullif(F.sum("n_gt_target"), F.lit(0))).alias("person_uncov_mean"), (F.sum(F.coalesce("covered90", F.lit(0))) / F.nullif(F.sum("n_gt_target"), F.lit(0))).alias("person_covered90_rate"),
+        (F.sum(F.when(F.col("teen").isNull(), F.col("child_cov_sum"))) / F.nullif(F.sum(F.when(F.col("teen").isNull() & (F.col("n_gt_child") > 0), F.col("n_gt_child")).otherwise(0)), F.lit(0))).alias("child_blur_mean"),
     )
     p90 = percentile(long.filter(on), ["tag"], "exposure", 90, "floor_n1").withColumnRenamed("value", "exposure_p90")
     return s.join(p90, "tag", "left")

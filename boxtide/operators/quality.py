@@ -60,6 +60,20 @@ def same_multiset(a: DataFrame, b: DataFrame, group: str, value: str) -> DataFra
     return x.join(y, [group, value], "full").fillna(0, ["na", "nb"]).filter("na <> nb").groupBy(group).agg(F.sum(F.abs(F.col("na") - F.col("nb"))).alias("differences"))
 
 
+def replay(logged: DataFrame, emitted: DataFrame, thresholds: list[float], eps: float = 1e-4) -> DataFrame:
+    """A row for each image of the log (stem, cls, conf; a null class for an image without detections): whether it has labels, whether the classes that
+    pass the thresholds are those emitted (stem, cls; a null class for an empty file), and whether rounding at the cut explains it if not:
+    the counts differ and a confidence lies within eps of its threshold."""
+    cut = F.element_at(F.array(*map(F.lit, map(float, thresholds))), F.col("cls") + 1)
+    per = logged.groupBy("stem", "cls").agg(F.sum((F.col("conf") >= cut).cast("int")).alias("n"), F.max((F.abs(F.col("conf") - cut) <= eps).cast("int")).alias("near"))
+    out = emitted.groupBy(F.col("stem").alias("o_stem"), F.col("cls").alias("o_cls")).agg(F.count("cls").alias("m"))
+    both = per.join(out, (F.col("stem") == F.col("o_stem")) & F.col("cls").eqNullSafe(F.col("o_cls")), "full")
+    both = both.select(F.coalesce("stem", "o_stem").alias("stem"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "m", "near")], F.col("stem").isNotNull().alias("in_log"), F.col("o_stem").isNotNull().alias("in_out"))
+    s = both.groupBy("stem").agg(F.max("in_log").alias("in_log"), F.max("in_out").alias("labels"), F.max((F.col("n") != F.col("m")).cast("int")).alias("differs"), F.sum(F.col("n") - F.col("m")).alias("more"), F.max("near").alias("near"))
+    wrong = F.col("labels") & (F.col("differs") == 1)
+    return s.filter("in_log").select("stem", "labels", wrong.alias("mismatch"), (wrong & (F.col("more") != 0) & (F.col("near") == 1)).alias("at_the_cut"))
+
+
 def dedupe(df: DataFrame, keys: list[str], order: list[Column], keep: str = "first") -> DataFrame:
     """S14 (first wins) and S15 (last wins), as an aggregate: no window sort of hot keys."""
     rest = [c for c in df.columns if c not in keys]
