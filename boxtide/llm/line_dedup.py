@@ -3,7 +3,7 @@
 Lines with a word are numbered within their document; each distinct line that occurs again gets an ID (by its 128-bit
 BLAKE2 digest), spaced so that its occurrences have as many places in the order of suffixes. Only such lines can be part
 of a repeated run, so a document's sequence falls into segments of them; segments with fewer than WORDS words in all are
-left out. The suffixes of all segments are sorted by distributed prefix doubling: in round k a suffix is ranked by its
+left out, and of equal segments all but the first are copies whole. The suffixes of the others are sorted by distributed prefix doubling: in round k a suffix is ranked by its
 rank over 2**k lines and that of the suffix 2**k lines on (none sorts first), ranks being running counts over the
 range-sorted distinct pairs. Only suffixes that still share their rank with one that goes on take part, and documents
 without any leave the rounds. Equal suffixes then have equal ranks: all but the first in the corpus (documents ascend by
@@ -42,6 +42,8 @@ from . import textkernel as tk
 from .common import ship, table, text_of, written
 
 WORDS = 50
+#: How often segments that are copies whole are taken out before suffixes are sorted.
+PASSES = 3
 #: Place of a line in the order of the corpus: document (by ld_d, ld_v) and line.
 AT = ["d", "v", "s"]
 _NONE, _ALL = -1, 2**31 - 1
@@ -91,15 +93,66 @@ def _numbered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base += int(count.sum())
 
 
-def segments(lines: DataFrame) -> DataFrame:
-    """Lines that occur again: d, v, s, id, w, and the words (rest) and lines (n) from there to their segment's end."""
+def _islands(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (d, v, s, id, w) of whole documents in order -> those in segments of WORDS words and more, with the words (rest) and lines (n) from
+    there to the segment's end, its first line (s0) and a digest of its IDs (key)."""
+    rest: pa.Table | None = None
+
+    def cut(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        d, v, s, ids, w = (t.column(i).to_numpy() for i in range(5))
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (s[1:] != s[:-1] + 1)
+        start = np.flatnonzero(new)
+        of, end = np.cumsum(new) - 1, np.append(start[1:], len(d))
+        words = np.add.reduceat(w.astype(np.int64), start)
+        before = np.cumsum(w.astype(np.int64)) - w
+        long = words >= WORDS
+        keys = np.empty(len(start), object)
+        for k in np.flatnonzero(long).tolist():
+            keys[k] = hashlib.blake2b(ids[start[k] : end[k]].tobytes(), digest_size=16).digest()
+        at = np.flatnonzero(long[of])
+        k = of[at]
+        cols = [t.column(i).take(pa.array(at)).combine_chunks() for i in range(4)] + [pa.array(w[at].astype(np.int64)), pa.array((words[k] - (before[at] - before[start[k]])).astype(np.int32)), pa.array((end[k] - at).astype(np.int32)), pa.array(s[start[k]]), pa.array(keys[k], pa.binary())]
+        yield from pa.Table.from_arrays(cols, names=["d", "v", "s", "id", "w", "rest", "n", "s0", "key"]).to_batches()
+
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        d, v = t.column(0).to_numpy(), t.column(1).to_numpy()
+        other = np.flatnonzero((d != d[-1]) | (v != v[-1]))  # the last document may go on
+        whole = int(other[-1]) + 1 if len(other) else 0
+        rest = t.slice(whole)
+        yield from cut(t.slice(0, whole))
+    if rest is not None:
+        yield from cut(rest)
+
+
+def segments(lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Lines that occur again: d, v, s, id, w, and the words (rest) and lines (n) from there to their segment's end; and the
+    segments (d, v, s, lines) that are copies of an earlier one whole.
+
+    Of equal segments only the first goes on: what it shares with others, they share with it, and it comes first. That may leave lines that
+    no longer occur again, and so shorter segments, of which some are equal; PASSES bounds how often that is used, not what is found."""
     again = written(lines.groupBy("h", "h2").agg(F.count("*").alias("c")).filter("c > 1").mapInArrow(_numbered, "h long, h2 long, id long"))
     r = lines.join(again, ["h", "h2"]).select(*AT, "id", "w").repartition("d", "v").dropDuplicates(AT)
-    r = r.withColumn("island", F.col("s") - F.row_number().over(Window.partitionBy("d", "v").orderBy("s")))
-    seg = Window.partitionBy("d", "v", "island")
-    before = seg.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumns({"all": F.sum("w").over(seg), "rest": F.sum("w").over(seg) - F.coalesce(F.sum("w").over(before), F.lit(0)), "n": F.count("*").over(seg) - F.count("*").over(before)})
-    return r.filter(F.col("all") >= WORDS).select(*AT, "id", F.col("w").cast("long").alias("w"), F.col("rest").cast("int").alias("rest"), F.col("n").cast("int").alias("n"))
+    copies, place = None, F.struct(*AT)
+    for left in range(PASSES, -1, -1):
+        cut = written(r.sortWithinPartitions(*AT).mapInArrow(_islands, "d long, v long, s int, id long, w long, rest int, n int, s0 int, key binary"))
+        if not left:
+            break
+        starts = cut.filter("s = s0").select("key", *AT, "n")
+        many = starts.groupBy("key").agg(F.min(place).alias("x"), F.count("*").alias("c")).filter("c > 1")
+        gone = written(starts.join(many, "key").filter(place != F.col("x")).select(*AT, F.col("n").alias("lines")))
+        if gone.isEmpty():
+            break
+        copies = gone if copies is None else copies.unionAll(gone)
+        kept = cut.join(gone.select("d", "v", F.col("s").alias("s0")), ["d", "v", "s0"], "left_anti")
+        still = kept.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
+        r = kept.join(still, "id").select(*AT, "id", F.col("w").cast("int").alias("w")).repartition("d", "v")
+    return cut.select(*AT, "id", "w", "rest", "n"), copies
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -310,12 +363,14 @@ def earlier(near: DataFrame) -> DataFrame:
 def runs(docs: DataFrame) -> DataFrame:
     """d, v, s, lines: runs to delete."""
     lines = written(docs.select("ld_d", "ld_v", text_of(docs).alias("text")).mapInArrow(_lines, "d long, v long, s int, h long, h2 long, w int"))
-    order, levels = suffix_ranks(segments(lines))
+    seg, whole = segments(lines)
+    order, levels = suffix_ranks(seg)
     order = order.filter(F.col("rest") >= WORDS)
     place = F.struct(*AT)
     first = written(order.groupBy("r").agg(F.min(place).alias("x"), F.first("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("c")))
     copies = order.select("r", *AT, F.col("n").alias("lines")).join(first.filter("c > 1").select("r", "x"), "r").filter(place != F.col("x")).select(*AT, "lines")
-    return copies.unionAll(earlier(written(neighbours(first.select("r", "x.*", "id", "n"), levels))))
+    found = copies.unionAll(earlier(written(neighbours(first.select("r", "x.*", "id", "n"), levels))))
+    return found if whole is None else found.unionAll(whole)
 
 
 def apply(docs: DataFrame) -> DataFrame:
