@@ -1,10 +1,15 @@
 """Classifiers by held-out accuracy, the pipeline stage by stage."""
 
+import math
+import random
+
+import numpy as np
 import pandas as pd
 import pytest
 
 import corpus_pipeline
-from boxtide.llm import quality_model, toxicity
+from boxtide.llm import features, quality_model, toxicity
+from tests.llm.conftest import SCHEMA, edge_rows
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,9 +43,101 @@ def test_classifier_edges(spark, edge, empty, module):
     assert module.apply(empty, ones).count() == 0
 
 
-def test_isotonic():
-    import numpy as np
+@pytest.mark.parametrize("module", [toxicity, quality_model])
+def test_classifier_learns_from_awkward_rows(spark, module):
+    """Both classes in training, with null, empty, blank and very long texts among them, ties, and rows that repeat a doc_id."""
+    r = random.Random(4)
+    bad, good = ["you idiot!!", "shut UP you", "HATE hate ###"], ["the committee met on", "a report of the survey", "rivers and their banks"]
+    made = [(1000 + i, " ".join(r.choice(bad if i % 2 else good) for _ in range(r.randrange(3, 60))), "en", "s", 0, "k", 1) for i in range(240)]
+    docs = spark.createDataFrame([*edge_rows(), *made, made[0], made[1]], SCHEMA).repartition(4)
+    labels = spark.createDataFrame([(row[0], 1 - row[0] % 2, row[0] % 2) for row in [*edge_rows(), *made] if row[0] is not None], "doc_id long, quality int, toxic int")
+    got = module.apply(docs, labels).toPandas()
+    assert len(got) == docs.count() and got.score.between(0, 1).all()
+    again = module.apply(docs.repartition(7), labels).toPandas()
+    assert sorted(got.score.round(9)) == sorted(again.score.round(9))
+    x = got[got.held_out & (got.doc_id >= 1000)]
+    right = (x.doc_id % 2 == (1 if module is toxicity else 0)) == (x.predicted == 1)
+    assert len(x) > 20 and right.mean() > 0.9
+
+
+def test_densities():
+    """Scores' log ratios from covariances by loops, with inverse and determinant by elimination."""
+    rng = np.random.default_rng(5)
+    n, k = 90, len(features.NAMES)
+    x, y = np.abs(rng.normal(1, 0.4, (n, k))), np.arange(n) % 2
+    x[y == 1] *= 1.1
+    model = quality_model.Discriminant().fit(x, y, np.ones(n))
+    z = quality_model.transformed(x)
+    z = (z - z.mean(0)) / np.maximum(z.std(0), 1e-3)
+
+    def eliminated(c):
+        """The inverse and the log of the determinant of a positive matrix, by Gauss and Jordan."""
+        a, log = [[*map(float, row), *(float(i == j) for j in range(k))] for i, row in enumerate(c)], 0.0
+        for i in range(k):
+            log += math.log(a[i][i])
+            a[i] = [v / a[i][i] for v in a[i]]
+            for j in range(k):
+                if j != i:
+                    a[j] = [v - a[j][i] * w for v, w in zip(a[j], a[i], strict=True)]
+        return [row[k:] for row in a], log
+
+    logs = []
+    for v in (0, 1):
+        own = [row for row, c in zip(z.tolist(), y, strict=True) if c == v]
+        m = [sum(col) / len(own) for col in zip(*own, strict=True)]
+        c = [[sum((r[i] - m[i]) * (r[j] - m[j]) for r in own) / len(own) * (1 if i == j else 1 - quality_model.TO_DIAGONAL) for j in range(k)] for i in range(k)]
+        ridge = max(sum(c[i][i] for i in range(k)) / k, 1e-3)
+        c = [[(1 - quality_model.TO_IDENTITY) * c[i][j] + (quality_model.TO_IDENTITY * ridge if i == j else 0) for j in range(k)] for i in range(k)]
+        inv, log = eliminated(c)
+        logs.append([-0.5 * sum((r[i] - m[i]) * inv[i][j] * (r[j] - m[j]) for i in range(k) for j in range(k)) - 0.5 * log for r in z.tolist()])
+    want = [math.copysign(math.sqrt(abs(b - a)), b - a) for a, b in zip(*logs, strict=True)]
+    assert np.allclose(model.ratio(quality_model.transformed(x)), want, atol=1e-6)
+
+
+def test_trees():
+    """Every inner node of a tree has the best of all its splits, by loops over rows; leaves hold the damped Newton steps."""
+    rng = np.random.default_rng(6)
+    n = 6 * toxicity.LEAST_ROWS
+    x = rng.integers(0, 9, (n, 3)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 6) ^ (rng.random(n) < 0.1)).astype(float)
+    model = toxicity.Trees().fit(x, y)
+    p = y.mean()
+    g, h = y - p, np.full(n, p * (1 - p))
+    feature, cut, value = model.trees[0]
+    code = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(model.edges, x.T, strict=True)])
+    score = lambda rows: sum(g[r] for r in rows) ** 2 / (sum(h[r] for r in rows) + 1)
+    split, todo = 0, [(0, list(range(n)))]
+    while todo:
+        k, rows = todo.pop()
+        if k >= len(feature):
+            step = toxicity.RATE * sum(g[r] for r in rows) / (sum(h[r] for r in rows) + 1)
+            assert value[k - len(feature)] == pytest.approx(step)
+            continue
+        gains = {}
+        for f in range(3):
+            for b in range(int(code.max()) + 1):
+                low, high = [r for r in rows if code[r, f] <= b], [r for r in rows if code[r, f] > b]
+                if min(len(low), len(high)) >= toxicity.LEAST_ROWS:
+                    gains[f, b] = score(low) + score(high) - score(rows)
+        low = [r for r in rows if code[r, feature[k]] <= cut[k]]
+        if cut[k] <= toxicity.BINS:
+            split += 1
+            assert gains[feature[k], cut[k]] == pytest.approx(max(gains.values())) and gains[feature[k], cut[k]] > 0
+        else:
+            assert not gains or max(gains.values()) <= 1e-6 + 1e-9 or len(rows) < 2 * toxicity.LEAST_ROWS
+        todo += [(2 * k + 1, low), (2 * k + 2, [r for r in rows if code[r, feature[k]] > cut[k]])]
+    assert split >= 3
+    total = np.full(n, model.base)
+    for f, c, v in model.trees:
+        for r in range(0, n, 7):
+            at = 0
+            while at < len(f):
+                at = 2 * at + 1 + int(code[r, f[at]] > c[at])
+            total[r] += v[at - len(f)]
+    assert np.allclose(model.margin(x)[::7], total[::7])
+
 
+def test_isotonic():
     def brute(x, y, w):
         """Max over starts of the min over ends of weighted means, at each distinct score."""
         at = np.unique(x)
@@ -76,3 +173,17 @@ def test_pipeline(spark, small):
     got = docs.toPandas()
     assert set(got.doc_id) == ids and len(corpus_pipeline.STAGES) == 5
     assert got.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_pipeline_run_on_awkward_tables(spark, tmp_path):
+    """run() over nulls, empty and long texts, repeated rows and clashing columns; and over a table without rows."""
+    text = " ".join(f"word{i % 61} is here" for i in range(80))
+    rows = [*edge_rows(), *((500 + i, f"{text} number {i} " + " ".join(f"own{i}x{j}" for j in range(60)), "en", "s", 9, "k", 1) for i in range(12)), (600, f"{text} number 1", None, None, None, None, None)]
+    for name, some in (("edge", rows), ("none", [])):
+        spark.createDataFrame(some, SCHEMA).repartition(3).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(r[0], 1, 0) for r in some if r[0] is not None and r[0] >= 500], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).toPandas()
+        assert set(got.doc_id.dropna()) <= {r[0] for r in some} and (len(got) > 0) == (name == "edge")
+        if len(got):
+            assert got.groupby("sequence_id").length.sum().max() <= 4096 and (got.doc_id >= 500).any()
+            assert got.groupby("doc_id").length.sum().eq(got.groupby("doc_id").doc_tokens.first()).all()
