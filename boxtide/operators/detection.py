@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from boxtide.functions import rates
 from boxtide.operators import matching as M
+from boxtide.operators.sweep import area_under
 
 GRID = 101
 
@@ -43,13 +44,15 @@ def average_precision(rows: DataFrame, totals: DataFrame, group: list[str]) -> D
 
 
 def ap_above(rows: DataFrame, totals: DataFrame, group: list[str], cuts: DataFrame) -> DataFrame:
-    """A5: AP of the detections with conf >= cut for each cut, from one matching pass. cuts: a small table (cut)."""
-    return average_precision(rows.join(F.broadcast(cuts), F.col("conf") >= F.col("cut")), totals.join(F.broadcast(cuts), F.lit(True)), [*group, "cut"])
+    """A5: AP of the detections with conf >= cut for each cut, from one matching pass: rows are counted by confidence before any cut is made. cuts: a small table (cut)."""
+    counts = rows.groupBy(*group, "conf").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
+    above = counts.join(F.broadcast(cuts), F.col("conf") >= F.col("cut"))
+    return area_under(above, totals.join(F.broadcast(cuts), F.lit(True)), [*group, "cut"])
 
 
-def average_precision_all_points(rows: DataFrame, n_gt: DataFrame, group: list[str], bucket: Column | None = None) -> DataFrame:
-    """Area under the envelope at each new recall. rows: group, pos (the global order), tp; bucket: a coarser pos."""
-    r = ranked(rows, group, [F.asc("pos")], bucket if bucket is not None else F.floor(F.col("pos")))
+def average_precision_all_points(rows: DataFrame, n_gt: DataFrame, group: list[str], order: list[Column], bucket: Column) -> DataFrame:
+    """Area under the envelope at each new recall. rows: group, tp and what `order` (a total order) names; bucket: a number that never falls along it."""
+    r = ranked(rows, group, order, bucket)
     s = r.groupBy(*group).agg(F.sum(F.when(F.col("tp") == 1, F.col("envelope")).otherwise(0.0)).alias("s"))
     return n_gt.join(s, group, "left").select(*group, F.when(F.col("n_gt") > 0, F.coalesce("s", F.lit(0.0)) / F.col("n_gt")).alias("ap"))
 

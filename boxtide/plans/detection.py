@@ -9,6 +9,7 @@ from boxtide.operators import area as A
 from boxtide.operators import deployment as P
 from boxtide.operators import detection as D
 from boxtide.operators import matching as M
+from boxtide.operators import sweep as W
 from boxtide.plans import fixtures as X
 
 QUERIES, ORACLES = {}, {}
@@ -123,13 +124,12 @@ ap AS (SELECT grp, round(sum(coalesce(p, 0)) / 101, 9) AS ap FROM pts GROUP BY g
 @query(_AP + ", src AS (SELECT cls * 100 + iou_pct AS grp, conf, tp FROM rows_), grps AS (SELECT cls * 100 + p AS grp, n_gt FROM tot, (VALUES (50), (75)) v(p))" + _CURVE + " SELECT (grp // 100)::INT AS cls, (grp % 100)::INT AS iou_pct, ap FROM ap")
 def average_precision(s, d):
     """AP by class and IoU threshold."""
-    det, gt = X.det(s, d), X.gt(s, d)
-    rows = None
-    for p in (50, 75):
-        one = M.match_confident(det, gt, p / 100).select("cls", "conf", F.col("gt_index").isNotNull().cast("int").alias("tp"), F.lit(p).alias("iou_pct"))
-        rows = one if rows is None else rows.unionAll(one)
-    tot = gt.groupBy("cls").agg(F.count("*").alias("n_gt")).withColumn("iou_pct", F.explode(F.array(F.lit(50), F.lit(75))))
-    return D.average_precision(rows, tot, ["cls", "iou_pct"]).select("cls", "iou_pct", F.round("ap", 9).alias("ap"))
+    stored = W.scenes(X.det(s, d), X.gt(s, d), None, 0.5, by_class=True)
+    rows = W.hits(stored, [0.5, 0.75]).select("cls", "conf", F.posexplode("hits").alias("k", "hit"))
+    counts = rows.groupBy("cls", "k", "conf").agg(F.count("hit").alias("tp"), F.count("*").alias("n"))
+    tot = stored.select(F.explode("gts.cls").alias("cls")).groupBy("cls").agg(F.count("*").alias("n_gt")).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    ap = W.area_under(counts, tot, ["cls", "k"])
+    return ap.select("cls", F.when(F.col("k") == 0, 50).otherwise(75).alias("iou_pct"), F.round("ap", 9).alias("ap"))
 
 
 @query(_AP + ", src AS (SELECT cls * 1000 + cut AS grp, conf, tp FROM rows_, (VALUES (0), (40), (80)) v(cut) WHERE iou_pct = 50 AND conf >= cut), grps AS (SELECT cls * 1000 + cut AS grp, n_gt FROM tot, (VALUES (0), (40), (80)) v(cut))" + _CURVE + " SELECT (grp // 1000)::INT AS cls, (grp % 1000)::INT AS cut, ap FROM ap")
@@ -141,16 +141,16 @@ def ap_above(s, d):
     return D.ap_above(rows, gt.groupBy("cls").agg(F.count("*").alias("n_gt")), ["cls"], cuts).select("cls", "cut", F.round("ap", 9).alias("ap"))
 
 
-@query(_AP + """, src AS (SELECT cls AS grp, -(conf * 100000000000 + stem * 1000 + det_index) AS pos, tp FROM (SELECT det.stem, det.det_index, det.cls, det.conf, (m5.gi IS NOT NULL)::INT AS tp FROM det LEFT JOIN m5 ON det.stem = m5.stem AND det.det_index = m5.di)),
-r1 AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos) AS rank, sum(tp) OVER (PARTITION BY grp ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ctp FROM src),
+@query(_AP + """, src AS (SELECT det.stem, det.det_index, det.cls AS grp, det.conf, (m5.gi IS NOT NULL)::INT AS tp FROM det LEFT JOIN m5 ON det.stem = m5.stem AND det.det_index = m5.di),
+r1 AS (SELECT *, row_number() OVER w AS rank, sum(tp) OVER w AS ctp FROM src WINDOW w AS (PARTITION BY grp ORDER BY conf DESC, stem DESC, det_index DESC ROWS UNBOUNDED PRECEDING)),
 r2 AS (SELECT *, max(ctp::DOUBLE / rank) OVER (PARTITION BY grp ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM r1)
 SELECT grp AS cls, round(sum(CASE WHEN tp = 1 THEN env ELSE 0 END) / any_value(n_gt), 9) AS ap FROM r2 JOIN tot ON grp = cls GROUP BY grp""")
 def ap_all_points(s, d):
     """Area under the envelope in one global order."""
     det, gt = X.det(s, d), X.gt(s, d)
-    pos = -(F.col("conf") * F.lit(100000000000) + F.col("stem") * 1000 + F.col("det_index"))
-    rows = M.match_confident(det, gt, 0.5).select("cls", pos.alias("pos"), F.col("gt_index").isNotNull().cast("int").alias("tp"))
-    return D.average_precision_all_points(rows, gt.groupBy("cls").agg(F.count("*").alias("n_gt")), ["cls"], F.floor(F.col("pos") / F.lit(100000000000.0))).select("cls", F.round("ap", 9).alias("ap"))
+    rows = M.match_confident(det, gt, 0.5).select("cls", "conf", "stem", "det_index", F.col("gt_index").isNotNull().cast("int").alias("tp"))
+    order = [F.desc("conf"), F.desc("stem"), F.desc("det_index")]
+    return D.average_precision_all_points(rows, gt.groupBy("cls").agg(F.count("*").alias("n_gt")), ["cls"], order, -F.col("conf")).select("cls", F.round("ap", 9).alias("ap"))
 
 
 @query(_AP + """ SELECT r.cls, cut, sum(tp)::BIGINT AS tp, count(*) AS n, any_value(n_gt) AS n_gt, sum(tp)::DOUBLE / count(*) AS precision, sum(tp)::DOUBLE / any_value(n_gt) AS recall, 2.0 * sum(tp) / (count(*) + any_value(n_gt)) AS f1
