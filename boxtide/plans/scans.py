@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from boxtide.functions.images import image_size
 from boxtide.operators.quality import dedupe
 from boxtide.plans.fixtures import load
 from boxtide.scratch import scratch
@@ -173,3 +174,20 @@ def scan_results(s, d):
     tags = got.select("stem", F.explode(F.array_compact(F.array(F.lit(0), F.when(key % 2 == 0, 1), F.when(key % 5 == 0, 2)))).alias("tag"))
     W.by_tag(got, tags, tagged)
     return s.read.parquet(tagged).select("run", "size", "split", "score", "tag")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 7 < 5 THEN (p_size * 37 + p_partkey % 300 + 1)::INT END AS width, CASE WHEN p_partkey % 7 < 5 THEN (p_size + p_partkey % 1000 + 1)::INT END AS height FROM part""")
+def image_headers(s, d):
+    """Sizes from the headers of five kinds of files; others and those that break off have none."""
+    w, h = F.col("p_size") * 37 + F.col("p_partkey") % 300 + 1, F.col("p_size") + F.col("p_partkey") % 1000 + 1
+    big = lambda v, n: F.lpad(F.hex(v.cast("long")), 2 * n, "0")
+    little = lambda v, n: F.concat(*[F.substring(big(v, n), 2 * i + 1, 2) for i in reversed(range(n))])
+    kind = F.col("p_partkey") % 7
+    skip = F.concat(F.lit("FFE1"), big(F.lit(2) + F.col("p_partkey") % 50, 2), F.repeat(F.lit("AB"), (F.col("p_partkey") % 50).cast("int")))
+    text = (
+        F.when(kind == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4), F.lit("0806")))
+        .when(kind == 1, F.concat(F.lit("FFD8"), skip, F.lit("FFC4000400FFFFDB000300"), F.lit("FFC2001108"), big(h, 2), big(w, 2), F.lit("03")))
+        .when(kind == 2, F.concat(F.lit("474946383961"), little(w, 2), little(h, 2), F.lit("F7"))).when(kind == 3, F.concat(F.lit("424D"), F.repeat(F.lit("00"), 16), little(w, 4), little(F.lit(2**32) - h, 4)))
+        .when(kind == 4, F.concat(F.lit("5249464600000000574542505650385800000000"), F.lit("00000000"), little(w - 1, 3), little(h - 1, 3))).when(kind == 5, F.concat(F.lit("FFD8"), skip, F.lit("FFC200"))).otherwise("6E6F20696D616765")
+    )
+    return load(s, d, "part").select(F.col("p_partkey").alias("id"), image_size(F.unhex(text)).alias("z")).select("id", "z.width", "z.height")

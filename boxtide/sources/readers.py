@@ -171,6 +171,35 @@ def layout(yaml_text: str) -> dict[str, str]:
     return out
 
 
+#: Where a split's images may lie below a data set's root.
+IMAGE_FOLDERS = ("{s}", "images/{s}", "{s}/images")
+
+
+def split_folders(spark: SparkSession, root: str, split: str) -> tuple[str, str] | None:
+    """The folders of a split's images and labels, the first of the usual places that there are; None without them. Asks the file system of the root."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda p: fs.exists(fs_path(p)) and fs.getFileStatus(fs_path(p)).isDirectory()
+    root = root.rstrip("/")
+    for place in IMAGE_FOLDERS:
+        images = f"{root}/{place.format(s=split)}"
+        if not there(images):
+            continue
+        above, name = images.rsplit("/", 1)
+        for labels in (images.replace("/images/", "/labels/", 1), images.replace("images", "labels"), f"{above}/labels/{name}", f"{root}/labels/{split.rsplit('/', 1)[-1]}"):
+            if labels != images and there(labels):
+                return images, labels
+    return None
+
+
+def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Stem, path, width and height of image files, from the first bytes of each; null where they can't be told."""
+    from boxtide.functions.images import image_size
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,gif,bmp,webp,PNG,JPG,JPEG}").option("recursiveFileLookup", True).load(folder)
+    return files.select(stem_of(F.col("path")).alias("stem"), "path", image_size(F.col("content")).alias("size")).select("stem", "path", "size.width", "size.height")
+
+
 def keyed_results(spark: SparkSession, folder: str, schema: str, pattern: str, names: list[str]) -> DataFrame:
     """JSON results whose key is in the file's name: a column for each group of the pattern."""
     r = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(folder).withColumn("_f", stem_of(F.input_file_name()))

@@ -119,3 +119,24 @@ def test_scans_of_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {(n.replace(" ", "%20"), i): r for n, rows in text.items() for i, r in enumerate(rows)}
     assert {r.stem for r in R.listing(spark, str(tmp_path / "in")).collect()} == {"a b+c", "z", "e"}
+
+
+def test_layout_and_sizes(spark, tmp_path):
+    import struct
+
+    for p in ("a/images/train", "a/labels/train", "b/val/images", "b/val/labels", "c/images/x"):
+        (tmp_path / p).mkdir(parents=True)
+    at = lambda *names: "/".join([str(tmp_path), *names])
+    assert R.split_folders(spark, at("a"), "images/train") == R.split_folders(spark, at("a/"), "train") == (at("a/images/train"), at("a/labels/train"))
+    assert R.split_folders(spark, at("b"), "val") == (at("b/val/images"), at("b/val/labels"))
+    assert R.split_folders(spark, at("c"), "x") is None and R.split_folders(spark, at("none"), "x") is None
+    files = {
+        "p.png": b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 481), "empty.png": b"", "j.jpg": b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + bytes(14) + b"\xff\xff\xdb" + struct.pack(">H", 4) + b"\0\0" + b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, 33, 70_00, 3) + bytes(9),
+        "g.gif": b"GIF87a" + struct.pack("<HH", 5, 9), "w.webp": b"RIFF\0\0\0\0WEBPVP8L" + struct.pack("<IBI", 0, 0x2F, (99) | (49 << 14)), "v.webp": b"RIFF\0\0\0\0WEBPVP8 " + struct.pack("<I", 0) + b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 176, 144 | 1 << 14),
+        "cut.jpg": b"\xff\xd8\xff\xe0\x00", "zero.png": b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 0, 4),
+    }
+    for name, raw in files.items():
+        (tmp_path / "c" / "images" / "x" / name).write_bytes(raw)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in R.image_sizes(spark, at("c/images/x")).collect()}
+    none = (None, None)
+    assert {k: got.get(k, none) for k in files} == {"p.png": (640, 481), "empty.png": none, "j.jpg": (7000, 33), "g.gif": (5, 9), "w.webp": (100, 50), "v.webp": (176, 144), "cut.jpg": none, "zero.png": none}
