@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxtide.functions.images import image_size
+from boxtide.operators.boundary import image_measures as measured
 from boxtide.operators.quality import dedupe
 from boxtide.plans.fixtures import load
 from boxtide.scratch import scratch
@@ -191,3 +192,12 @@ def image_headers(s, d):
         .when(kind == 4, F.concat(F.lit("5249464600000000574542505650385800000000"), F.lit("00000000"), little(w - 1, 3), little(h - 1, 3))).when(kind == 5, F.concat(F.lit("FFD8"), skip, F.lit("FFC200"))).otherwise("6E6F20696D616765")
     )
     return load(s, d, "part").select(F.col("p_partkey").alias("id"), image_size(F.unhex(text)).alias("z")).select("id", "z.width", "z.height")
+
+
+@query("""WITH b AS (SELECT c_custkey AS k, list_transform(string_split(md5(c_custkey::VARCHAR), ''), lambda x: ascii(x)) AS b FROM customer),
+i AS (SELECT k, b, list_transform(range(0, 12), lambda n: 10 + (n // 6) * 8 + n % 6) AS i FROM b), l AS (SELECT k, b, list_transform(i, lambda p: b[p - 8] + b[p + 8] + b[p - 1] + b[p + 1] - 4 * b[p]) AS l FROM i)
+SELECT k, round(list_avg(b), 6) AS brightness, round(list_aggregate(l, 'var_pop'), 6) AS blurriness FROM l""")
+def image_measures(s, d):
+    """Brightness and sharpness of grey images of 8 x 4 pixels, made of a hash's characters."""
+    c = load(s, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.lit(8).alias("width"), F.lit(4).alias("height"), F.md5(F.col("c_custkey").cast("string").cast("binary")).cast("binary").alias("pixels"))
+    return measured(c).select(F.col("key").cast("long").alias("k"), F.round("brightness", 6).alias("brightness"), F.round("blurriness", 6).alias("blurriness"))
