@@ -127,8 +127,7 @@ def _verified(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text"))
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
 
@@ -183,13 +182,15 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     bands = written(reps.select("id", "registers").mapInArrow(_bands, "id long, band long, place int"))
     shared = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     inside = written(bands.join(shared, "band"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text"))
+    texts = written(texts.join(inside.select("id").distinct(), "id", "left_semi"))  # all texts move once, then only those that share a band
     narrow = reps.select("id", "n")
     star = inside.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(narrow.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(narrow.withColumnsRenamed({"id": "b", "n": "nb"}), "b").filter(_sizes_fit("na", "nb"))
     reg = reps.select("id", "registers")
     star = star.join(reg.withColumnsRenamed({"id": "a", "registers": "ra"}), "a").join(reg.withColumnsRenamed({"id": "b", "registers": "rb"}), "b")
     star = star.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated, "a long, b long")
-    first = cut(_verify(star, docs).distinct())
+    first = cut(_verify(star, texts).distinct())
     comp = components(first)
     member = inside.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = member.join(narrow, "id").groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"), F.sum("n").alias("s")).filter("c0 <> c1")
@@ -197,7 +198,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     rest = member.drop("pivot", "members").join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("band", "place", F.least("block", "other").alias("k0"), F.greatest("block", "other").alias("k1"), "block", "id", "comp").join(reps, "id")
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text")).join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = texts.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     found = rest.join(texts, "id").select("band", "k0", "k1", "place", "block", "id", "comp", "n", "registers", "text").groupBy("band", "k0", "k1").applyInArrow(_in_block, "a long, b long")
     return first.unionAll(cut(found.distinct()))
 
