@@ -2,8 +2,8 @@
 
 The statistics of features.py are brought near to normal (square root for shares, which are not negative), scaled to
 the training rows' mean and deviation, and modelled as one normal density a class. A class's covariance is shrunk
-towards its diagonal and towards a multiple of the identity; its Cholesky factor is computed once and shipped with the
-scorer, which solves one triangular system a block. The raw score is the difference of the Mahalanobis log-densities;
+towards its diagonal and towards a multiple of the identity; its Cholesky factor's inverse is computed once and shipped with
+the scorer, which multiplies each block by it. (Both by loops over rows: LAPACK's threads can block beside a JVM.) The raw score is the difference of the Mahalanobis log-densities;
 a logistic fit to it on the training rows, weighted to the labels' shares, gives the score.
 
 Labelled rows beyond MAX_PER_CLASS a class do not train (the least hashes of doc_id are taken); everything else covers
@@ -37,6 +37,24 @@ def transformed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def cholesky(c: np.ndarray) -> np.ndarray:
+    """The lower factor of a positive definite matrix."""
+    low = np.zeros_like(c)
+    for j in range(len(c)):
+        low[j, j] = np.sqrt(c[j, j] - (low[j, :j] ** 2).sum())
+        low[j + 1 :, j] = (c[j + 1 :, j] - (low[j + 1 :, :j] * low[j, :j]).sum(1)) / low[j, j]
+    return low
+
+
+def inverse(low: np.ndarray) -> np.ndarray:
+    """Of a lower triangular matrix."""
+    inv = np.zeros_like(low)
+    for i in range(len(low)):
+        inv[i, :i] = -(low[i, :i, None] * inv[:i, :i]).sum(0) / low[i, i]
+        inv[i, i] = 1 / low[i, i]
+    return inv
+
+
 class Discriminant:
     """Two normal densities and a logistic calibration of their log ratio."""
 
@@ -51,17 +69,17 @@ class Discriminant:
             c = np.einsum("ij,ik->jk", own, own) / len(own) if len(own) > 1 else np.eye(x.shape[1])
             c = (1 - TO_DIAGONAL) * c + TO_DIAGONAL * np.diag(np.diag(c))
             c = (1 - TO_IDENTITY) * c + TO_IDENTITY * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c))
-            low = np.linalg.cholesky(c)
-            self.parts.append((z[y == v].mean(0), np.linalg.inv(low), float(np.log(np.diag(low)).sum())))
+            low = cholesky(c)
+            self.parts.append((z[y == v].mean(0), inverse(low), float(np.log(np.diag(low)).sum())))
         r = self.ratio(x)
         a, b, y = 1.0, 0.0, y.astype(float)
         target = np.where(y == 1, 1 - 1e-3, 1e-3)
         for _ in range(50):  # Newton steps with a small ridge
             p = 1 / (1 + np.exp(-np.clip(a * r + b, -30, 30)))
             w, g = weight * np.maximum(p * (1 - p), 1e-9), weight * (target - p)
-            hess = np.array([[(w * r * r).sum(), (w * r).sum()], [(w * r).sum(), w.sum()]]) + np.eye(2) * 1e-2
-            step = np.linalg.solve(hess, np.array([(g * r).sum(), g.sum()]))
-            a, b = a + np.clip(step[0], -1, 1), b + np.clip(step[1], -2, 2)
+            rr, r1, one, gr, g1 = (w * r * r).sum() + 1e-2, (w * r).sum(), w.sum() + 1e-2, (g * r).sum(), g.sum()
+            det = rr * one - r1 * r1
+            a, b = a + np.clip((gr * one - g1 * r1) / det, -1, 1), b + np.clip((g1 * rr - gr * r1) / det, -2, 2)
         self.a, self.b = float(a), float(b)
         return self
 
