@@ -64,7 +64,15 @@ def written(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed Parquet: for rows that carry texts or long arrays."""
     path = f"{shared_dir(df.sparkSession)}/boxtide-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._boxtide_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a written() table; only once everything that reads it is itself written."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._boxtide_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucket_of(doc_id: Column, n: int) -> Column:

@@ -39,7 +39,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from . import textkernel as tk
-from .common import ship, table, text_of, written
+from .common import forget, ship, table, text_of, written
 
 WORDS = 50
 #: How often segments that are copies whole are taken out before suffixes are sorted.
@@ -131,16 +131,19 @@ def _islands(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Lines that occur again: d, v, s, id, w, and the words (rest) and lines (n) from there to their segment's end; and the
-    segments (d, v, s, lines) that are copies of an earlier one whole.
+    """Lines that occur again, as a written() table: d, v, s, id, w, and the words (rest) and lines (n) from there to their segment's end; and the
+    segments (d, v, s, lines) that are copies of an earlier one whole. The table of lines is used up.
 
     Of equal segments only the first goes on: what it shares with others, they share with it, and it comes first. That may leave lines that
     no longer occur again, and so shorter segments, of which some are equal; PASSES bounds how often that is used, not what is found."""
     again = written(lines.groupBy("h", "h2").agg(F.count("*").alias("c")).filter("c > 1").mapInArrow(_numbered, "h long, h2 long, id long"))
     r = lines.join(again, ["h", "h2"]).select(*AT, "id", "w").repartition("d", "v").dropDuplicates(AT)
-    copies, place = None, F.struct(*AT)
+    copies, place, used = None, F.struct(*AT), [lines, again]
     for left in range(PASSES, -1, -1):
         cut = written(r.sortWithinPartitions(*AT).mapInArrow(_islands, "d long, v long, s int, id long, w long, rest int, n int, s0 int, key binary"))
+        for old in used:
+            forget(old)
+        used = [cut]
         if not left:
             break
         starts = cut.filter("s = s0").select("key", *AT, "n")
@@ -152,11 +155,11 @@ def segments(lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         kept = cut.join(gone.select("d", "v", F.col("s").alias("s0")), ["d", "v", "s0"], "left_anti")
         still = kept.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
         r = kept.join(still, "id").select(*AT, "id", F.col("w").cast("int").alias("w")).repartition("d", "v")
-    return cut.select(*AT, "id", "w", "rest", "n"), copies
+    return cut, copies
 
 
-def _ranked(pairs: DataFrame) -> DataFrame:
-    """(r, r2, c) -> (r, r2, new): r and the running count within r, in order of r2, across range partitions."""
+def _ranked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(r, r2, c) -> (r, r2, new): r and the running count within r, in order of r2, across range partitions; and the written() table it reads."""
     spark = pairs.sparkSession
     part = written(pairs.repartitionByRange("r", "r2").withColumn("pid", F.spark_partition_id()))
     ends = part.groupBy("pid", "r").agg(F.sum("c").alias("c")).groupBy("pid").agg(F.min("r").alias("low"), F.max(F.struct("r", "c")).alias("high")).collect()  # a row a partition
@@ -170,7 +173,7 @@ def _ranked(pairs: DataFrame) -> DataFrame:
     offset = F.broadcast(spark.createDataFrame(carry, "pid int, r long, before long"))  # at most a row a partition
     w = Window.partitionBy("pid", "r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
     inside = part.withColumn("new", F.col("r") + F.coalesce(F.sum("c").over(w), F.lit(0)))
-    return inside.join(offset, ["pid", "r"], "left").withColumn("new", F.col("new") + F.coalesce("before", F.lit(0))).drop("pid", "before")
+    return inside.join(offset, ["pid", "r"], "left").withColumn("new", F.col("new") + F.coalesce("before", F.lit(0))).drop("pid", "before"), part
 
 
 def suffix_ranks(seg: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -185,15 +188,17 @@ def suffix_ranks(seg: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     first = seg.select(*AT, "id", "n", "rest", "w", F.col("id").alias("r"), F.lit(True).alias("live"))
     rows = written(ahead(first, 1))
+    forget(seg)
     levels, settled, step = [rows.select(*AT, "r", "w")], [], 1
     while rows.filter("live").limit(1).count():
         pairs = rows.filter("live").groupBy("r", "r2").agg(F.count("*").alias("c"), F.max("n").alias("top"))
-        ranks = _ranked(pairs)
+        ranks, part = _ranked(pairs)
         done = rows.withColumn("w", F.col("w") + F.col("w2")).drop("live", "w2").join(ranks, ["r", "r2"], "left")
         shared, fresh = F.col("c") > 1, F.col("new").isNotNull()
         done = done.select(*AT, "id", "n", "rest", "w", F.coalesce("new", "r").alias("r"), F.coalesce(shared & (F.col("top") > 2 * step), F.lit(False)).alias("live"), fresh.alias("fresh"), F.coalesce(shared, F.lit(False)).alias("shared"))
         done = done.repartition("d", "v").withColumn("stays", F.max("live").over(Window.partitionBy("d", "v")))
         done = written(ahead(done, 2 * step))
+        forget(part)
         step *= 2
         levels.append(done.filter((F.col("n") >= step) & F.col("fresh") & F.col("shared")).select(*AT, "r", "w"))
         settled.append(done.filter("fresh AND NOT live"))
@@ -219,9 +224,10 @@ def neighbours(first: DataFrame, levels: list[DataFrame]) -> DataFrame:
     m = F.when(F.col("x.id") == F.col("id"), F.least("n", F.col("x.n")))
     top = F.least(F.floor(F.log2(m + F.lit(0.5))), F.lit(len(levels) - 1)).cast("int")
     pairs = written(rows.select("pid", "r", *AT, *[F.col(f"x.{c}").alias(f"{c}2") for c in AT], m.alias("m"), top.alias("top"), F.lit(0).alias("l"), F.lit(0).cast("long").alias("lw")))
+    forget(rows)
     cur = None
     for k in range(len(levels) - 1, -1, -1):
-        here = pairs.filter(F.col("top") == k)
+        here, last = pairs.filter(F.col("top") == k), cur
         cur = here if cur is None else cur.unionAll(here)
         a = levels[k].select(F.col("d"), F.col("v"), F.col("s").alias("at"), F.col("r").alias("ra"), F.col("w").alias("wa"))
         b = levels[k].select(F.col("d").alias("d2"), F.col("v").alias("v2"), F.col("s").alias("at2"), F.col("r").alias("rb"))
@@ -229,6 +235,8 @@ def neighbours(first: DataFrame, levels: list[DataFrame]) -> DataFrame:
         tried = cur.withColumns({"at": F.when(room, F.col("s") + F.col("l")), "at2": F.when(room, F.col("s2") + F.col("l"))}).join(a, ["d", "v", "at"], "left").join(b, ["d2", "v2", "at2"], "left")
         hit = F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))
         cur = written(tried.withColumns({"l": F.col("l") + F.when(hit, 1 << k).otherwise(0), "lw": F.col("lw") + F.when(hit, F.col("wa")).otherwise(0)}).select(*pairs.columns))
+        if last is not None:
+            forget(last)
     shared = F.when(F.col("lw") >= WORDS, F.col("l")).otherwise(0)
     return cur.select("pid", "r", *AT, shared.alias("l")).unionAll(pairs.filter("top IS NULL").select("pid", "r", *AT, "l"))
 
