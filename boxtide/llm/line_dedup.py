@@ -213,7 +213,7 @@ def suffix_ranks(seg: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def neighbours(first: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Distinct suffixes (r, d, v, s, id, n) -> pid, r, d, v, s, l: l lines, of WORDS words or more, are shared with the one before, else 0."""
     spark = first.sparkSession
-    rows = written(first.repartitionByRange("r").withColumn("pid", F.spark_partition_id()))
+    rows = ranged = written(first.repartitionByRange("r").withColumn("pid", F.spark_partition_id()))
     fields = ["d", "v", "s", "n", "id"]
     ends = rows.groupBy("pid").agg(F.max_by(F.struct(*fields), "r").alias("x")).collect()  # a row a partition
     ends = sorted(ends, key=lambda e: e["pid"])
@@ -224,7 +224,7 @@ def neighbours(first: DataFrame, levels: list[DataFrame]) -> DataFrame:
     m = F.when(F.col("x.id") == F.col("id"), F.least("n", F.col("x.n")))
     top = F.least(F.floor(F.log2(m + F.lit(0.5))), F.lit(len(levels) - 1)).cast("int")
     pairs = written(rows.select("pid", "r", *AT, *[F.col(f"x.{c}").alias(f"{c}2") for c in AT], m.alias("m"), top.alias("top"), F.lit(0).alias("l"), F.lit(0).cast("long").alias("lw")))
-    forget(rows)
+    forget(ranged)
     cur = None
     for k in range(len(levels) - 1, -1, -1):
         here, last = pairs.filter(F.col("top") == k), cur
