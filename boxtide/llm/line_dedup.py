@@ -147,7 +147,7 @@ def segments(lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if not left:
             break
         starts = cut.filter("s = s0").select("key", *AT, "n")
-        many = starts.groupBy("key").agg(F.min(place).alias("x"), F.count("*").alias("c")).filter("c > 1")
+        many = written(starts.groupBy("key").agg(F.min(place).alias("x"), F.count("*").alias("c")).filter("c > 1"))  # apart, so that the join can split a key
         gone = written(starts.join(many, "key").filter(place != F.col("x")).select(*AT, F.col("n").alias("lines")))
         if gone.isEmpty():
             break
