@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUNS = "array<struct<start:bigint,end:bigint>>"
@@ -50,3 +54,79 @@ def extent(mask: Column, width: Column) -> Column:
     right = F.when(whole, width).otherwise(F.array_max(F.transform(mask, lambda r: x(r["end"] - 1))) + 1)
     box = F.struct(left.cast("long").alias("x1"), F.array_min(F.transform(mask, lambda r: y(r["start"]))).cast("long").alias("y1"), right.cast("long").alias("x2"), (F.array_max(F.transform(mask, lambda r: y(r["end"] - 1))) + 1).cast("long").alias("y2"))
     return F.when(F.size(mask) > 0, box)
+
+
+#: Runs of one side that are looked up at once, so that an image of any number of masks needs bounded memory.
+AT_ONCE = 1 << 20
+
+
+def _runs(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """mask, start, end of disjoint runs in order, from stretches in any order; touching and overlapping ones become one."""
+    some = end > start
+    mask, start, end = mask[some], start[some], end[some]
+    if not len(mask):
+        return mask, start, end
+    order = np.lexsort((start, mask))
+    mask, start, end = mask[order], start[order], end[order]
+    low, span = start.min(), end.max() - start.min() + 2
+    reach = np.maximum.accumulate(mask * span + (end - low))  # a mask's places all lie after those of the mask before
+    new = np.append(True, mask[1:] * span + (start[1:] - low) > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(mask)) - 1
+    return mask[new], start[new], reach[last] - mask[new] * span + low
+
+
+def _shared(owner: np.ndarray, mask: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j, common pixels and IoU of the masks (numbered along owner, which ascends) of one owner that share a pixel."""
+    mask, start, end = _runs(mask, start, end)
+    if not len(mask):
+        return
+    n = len(owner)
+    low, span = start.min(), end.max() - start.min() + 2
+    size = np.bincount(mask, end - start, n).astype(np.int64)
+    key, before = mask * span + (start - low), np.append(0, np.cumsum(end - start))
+    first = np.searchsorted(mask, np.arange(n + 1))
+
+    def pixels(m: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Of mask m and all before it, those that lie before pixel x of m."""
+        k = np.searchsorted(key, m * span + (x - low), "right") - 1
+        inside = (k >= first[m]) & (k >= 0)
+        return np.where(inside, before[k] + np.minimum(x, end[k]) - start[k], before[first[m]])
+
+    later = np.searchsorted(owner, owner, "right") - np.arange(n) - 1
+    runs = np.diff(first)
+    cost = np.append(0, np.cumsum(later * np.maximum(runs, 1)))
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(cost, cost[a] + at_once, "right")) - 1)
+        i = np.repeat(np.arange(a, b), later[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
+        pair = np.repeat(np.arange(len(i)), runs[i])
+        run = first[i[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(runs[i]) - runs[i], runs[i])
+        common = np.bincount(pair, pixels(j[pair], end[run]) - pixels(j[pair], start[run]), len(i)).astype(np.int64)
+        hit = common > 0
+        i, j, common = i[hit], j[hit], common[hit]
+        yield i, j, common, common / (size[i] + size[j] - common)
+        a = b
+
+
+def overlaps(masks: DataFrame, width: int, at_once: int = AT_ONCE) -> DataFrame:
+    """stem, i, j, common, iou of the masks (stem, det_index, rows: (y, x1, x2) stretches in any order) of an image that share a pixel.
+
+    An image's masks meet in one row; NumPy counts all pairs of a batch of images by looking up the ends of one mask's runs in the other's."""
+    rows = F.transform("rows", lambda r: F.struct(*[r[c].cast("long").alias(c) for c in ("y", "x1", "x2")]))
+    listed = masks.select("stem", F.struct(F.col("det_index").cast("int").alias("det_index"), rows.alias("rows")).alias("m")).groupBy("stem").agg(F.collect_list("m").alias("m"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(1)
+            each, owner = m.flatten(), np.repeat(np.arange(len(m)), m.value_lengths().to_numpy())
+            det, rows = each.field("det_index").to_numpy(), each.field("rows").fill_null([])
+            order = np.lexsort((det, owner))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            of = np.repeat(place, rows.value_lengths().to_numpy())
+            y, x1, x2 = (rows.flatten().field(c).to_numpy() for c in ("y", "x1", "x2"))
+            for i, j, common, iou in _shared(owner[order], of, y * width + x1, y * width + x2, at_once):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[order][i])), *[pa.array(det[order][k]) for k in (i, j)], pa.array(common), pa.array(iou)], names=["stem", "i", "j", "common", "iou"])
+
+    return listed.mapInArrow(count, f"stem {dict(listed.dtypes)['stem']}, i int, j int, common long, iou double")

@@ -140,11 +140,7 @@ def agreement(s, d):
 n AS (SELECT stem, det_index, count(*) AS n FROM c GROUP BY ALL), b AS (SELECT x.stem, x.det_index AS i, y.det_index AS j, count(*) AS common FROM c x JOIN c y ON x.stem = y.stem AND x.p = y.p AND x.det_index < y.det_index GROUP BY ALL)
 SELECT b.stem, i, j, common, round(common::DOUBLE / (p.n + q.n - common), 9) AS iou FROM b JOIN n p ON p.stem = b.stem AND p.det_index = i JOIN n q ON q.stem = b.stem AND q.det_index = j""".replace("WHERE stem % 4 = 1", ""))
 def mask_overlap(s, d):
-    """Pixels that two jagged masks of an image share, and their overlap; pairs whose tight boxes are apart are not looked at. The oracle counts pixels."""
+    """Pixels that two jagged masks of an image share, and their overlap. The oracle counts pixels."""
     y = F.sequence(F.col("y1"), F.col("y2") - 1)
     rows = F.transform(y, lambda v: F.struct(v.alias("y"), (F.col("x1") + (v - F.col("y1")) % 3).alias("x1"), (F.col("x2") - F.when((v - F.col("y1")) % 4 == 1, 6).otherwise(0)).alias("x2")))
-    masks = X.det(s, d).select("stem", "det_index", K.runs_of_rows(rows, F.lit(100)).alias("mask")).withColumn("box", K.extent(F.col("mask"), F.lit(100)))
-    a, b = masks.select("stem", F.col("det_index").alias("i"), F.col("mask").alias("m"), F.col("box").alias("p")), masks.select(F.col("stem").alias("s"), F.col("det_index").alias("j"), F.col("mask").alias("n"), F.col("box").alias("q"))
-    near = (F.col("p.x1") < F.col("q.x2")) & (F.col("q.x1") < F.col("p.x2")) & (F.col("p.y1") < F.col("q.y2")) & (F.col("q.y1") < F.col("p.y2"))
-    both = a.join(b, (F.col("stem") == F.col("s")) & (F.col("i") < F.col("j")) & near).withColumn("common", K.common(F.col("m"), F.col("n"))).filter("common > 0")
-    return both.select("stem", "i", "j", "common", F.round(K.iou(F.col("m"), F.col("n")), 9).alias("iou"))
+    return K.overlaps(X.det(s, d).select("stem", "det_index", rows.alias("rows")), 100).withColumn("iou", F.round("iou", 9))
