@@ -32,19 +32,20 @@ def overlaps(a: Box, b: Box) -> Column:
     return (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])
 
 
-def _over(part: Column, whole: Column) -> Column:
+def share(part: Column, whole: Column) -> Column:
+    """Part over whole; 0 where either is empty."""
     return F.when((part > 0) & (whole > 0), part.cast("double") / whole.cast("double")).otherwise(F.lit(0.0))
 
 
 def iou(a: Box, b: Box) -> Column:
     """Intersection over union; 0 where either is empty."""
     inter = intersection(a, b)
-    return _over(inter, area(a) + area(b) - inter)
+    return share(inter, area(a) + area(b) - inter)
 
 
 def ioa(a: Box, b: Box) -> Column:
     """Intersection over the first box's own area."""
-    return _over(intersection(a, b), area(a))
+    return share(intersection(a, b), area(a))
 
 
 def from_xywh(x: Column, y: Column, w: Column, h: Column) -> Box:

@@ -4,8 +4,10 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from boxtide.functions import masks as K
+from boxtide.operators import sweep as W
 
 
 @pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
@@ -23,3 +25,23 @@ def test_masks_share_a_row_without_a_join(spark):
     out = K.overlaps(masks, 20)
     assert out.count() == 0
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_sweep_sends_a_row_a_vector_and_counts_images_without_boxes_of_a_side(spark, monkeypatch):
+    box = "stem long, {0} int, cls int, {1}x1 int, y1 int, x2 int, y2 int"
+    det = spark.createDataFrame([(1, 0, 0, 90, 0, 0, 10, 10), (1, 1, 0, 80, 0, 0, 10, 9), (1, 2, 1, 20, 50, 50, 60, 60), (2, 0, 1, 50, 0, 0, 10, 10)], box.format("det_index", "conf int, "))
+    gt = spark.createDataFrame([(1, 0, 1, 0, 0, 10, 10), (3, 0, 0, 0, 0, 5, 5)], box.format("gt_index", ""))
+    monkeypatch.setattr(W, "CELLS", 1)  # a scene at a time
+    scenes = W.scenes(det, gt)
+    out = W.evaluate(scenes, [(0.0, 0.0), (85.0, 60.0), (95.0, 95.0)])
+    got = sorted((r["t0"], r["images"], r["gt"], r["kept"], r["matched"], r["correct"], r["dup"], r["partial"], r["clear"], r["gt_0"], r["found_1"], r["right_1"]) for r in out.collect())
+    assert got == [(0.0, 3, 2, 4, 1, 0, 1, 0, 2, 1, 1, 0), (85.0, 3, 2, 1, 1, 0, 0, 0, 0, 1, 1, 0), (95.0, 3, 2, 0, 0, 0, 0, 0, 0, 1, 0, 0)]
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # scenes were multiplied by vectors
+
+
+def test_points_of_a_search_are_worked_out_once(spark, monkeypatch):
+    det = spark.createDataFrame([(1, 0, 0, 90, 0, 0, 10, 10)], "stem long, det_index int, cls int, conf int, x1 int, y1 int, x2 int, y2 int")
+    gt = spark.createDataFrame([(1, 0, 0, 0, 0, 10, 10)], "stem long, gt_index int, cls int, x1 int, y1 int, x2 int, y2 int")
+    points = W.coarse_to_fine(W.scenes(det, gt), [30.0, 60.0], [30.0, 50.0], 1, F.col("matched"), F.lit(True))
+    assert points.count() == 3
+    assert "MapInArrow" not in points._jdf.queryExecution().optimizedPlan().toString()
