@@ -10,6 +10,7 @@ from boxtide.functions import geometry as G
 from boxtide.functions.rates import percentile
 from boxtide.operators import area as A
 from boxtide.operators.matching import pairs
+from boxtide.scratch import stored
 
 
 def _dilated(gt: DataFrame, share: float) -> DataFrame:
@@ -35,10 +36,9 @@ def image_metrics(images: DataFrame, gt: DataFrame, ignore: DataFrame, det: Data
     window = images.select("stem", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("width").cast("double").alias("x2"), F.col("height").cast("double").alias("y2"), F.lit(0).alias("w"))
     seen = A.clipped(blur, window, ["stem"], "w").select("stem", *boxes)
     allowed = _dilated(as_double(gt.filter(t)), dilate).unionByName(as_double(ignore).select("stem", *boxes))
-    blurred = A.union_area(seen, ["stem"]).withColumnRenamed("area", "blurred")
-    both = A.common_area(seen, allowed, ["stem"]).withColumnRenamed("area", "both")
+    areas = A.common_area(seen, allowed, ["stem"]).select("stem", F.col("area_a").alias("blurred"), F.col("area").alias("both"))
     inside = A.covered(blur, allowed, ["stem"], "det_index").filter("covered < 0.5").groupBy("stem").agg(F.count("*").alias("fp_boxes"))
-    out = images.join(per, "stem", "left").join(blurred, "stem", "left").join(both, "stem", "left").join(inside, "stem", "left")
+    out = images.join(per, "stem", "left").join(areas, "stem", "left").join(inside, "stem", "left")
     zero = lambda n: F.coalesce(F.col(n), F.lit(0))
     wrong = F.greatest(F.lit(0.0), zero("blurred") - zero("both")) / (F.col("width") * F.col("height"))
     return out.select(
@@ -49,6 +49,7 @@ def image_metrics(images: DataFrame, gt: DataFrame, ignore: DataFrame, det: Data
 
 def by_slice(records: DataFrame, tags: DataFrame, teen: str = "teen_band") -> DataFrame:
     """Metrics per tag and for 'all'; an image counts in each of its tags; images with the teen tag don't count for children. tags: stem, tag."""
+    records = stored(records)  # read by every tag, and again for the percentile
     teens = tags.filter(F.col("tag") == teen).select("stem", F.lit(True).alias("teen")).distinct()
     long = records.join(tags.distinct(), "stem").unionByName(records.withColumn("tag", F.lit("all"))).join(teens, "stem", "left")
     grown = F.col("child_pass").isNotNull() & F.col("teen").isNull()

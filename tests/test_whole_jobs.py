@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxtide.functions import masks as K
+from boxtide.operators import area as A
+from boxtide.operators import deployment as P
 from boxtide.operators import sweep as W
 
 
@@ -45,3 +47,36 @@ def test_points_of_a_search_are_worked_out_once(spark, monkeypatch):
     points = W.coarse_to_fine(W.scenes(det, gt), [30.0, 60.0], [30.0, 50.0], 1, F.col("matched"), F.lit(True))
     assert points.count() == 3
     assert "MapInArrow" not in points._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _boxes(rng, n):
+    return [(rng.randint(0, 5), k, *(rng.randint(0, 8) for _ in range(2)), *(rng.randint(8, 12) for _ in range(2))) for k in range(n)]
+
+
+def _pixels(x1, y1, x2, y2):
+    return {(x, y) for x in range(x1, x2) for y in range(y1, y2)}
+
+
+@pytest.mark.parametrize("at_once", [1, 5, 1 << 20])
+def test_unions_meet_in_one_row_and_bounded_pieces(spark, at_once):
+    rng = random.Random(8)
+    a, b = _boxes(rng, 40), _boxes(rng, 30)
+    ua, ub = ({s: set().union(*[_pixels(*x[2:]) for x in rows if x[0] == s]) for s in range(6)} for rows in (a, b))
+    frame = lambda rows: spark.createDataFrame(rows, "stem long, id int, x1 int, y1 int, x2 int, y2 int")
+    common = A.common_area(frame(a), frame(b), ["stem"], at_once)
+    assert {r["stem"]: (r["area"], r["area_a"], r["area_b"]) for r in common.collect()} == {s: (len(ua[s] & ub[s]), len(ua[s]), len(ub[s])) for s in range(6)}
+    assert {r["stem"]: r["area"] for r in A.union_area(frame(a), ["stem"], at_once).collect()} == {s: len(ua[s]) for s in range(6)}
+    covered = A.covered(frame(b), frame(a), ["stem"], "id", at_once)
+    assert {r["id"]: r["covered"] for r in covered.collect()} == {k: len(_pixels(*x) & ua[s]) / len(_pixels(*x)) if (x[2] - x[0]) * (x[3] - x[1]) > 0 else 1.0 for s, k, *x in b}
+    for df in (common, covered):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan
+
+
+def test_slices_read_the_images_once(spark):
+    images = spark.createDataFrame([(1, 10, 10), (2, 10, 10)], "stem long, width int, height int")
+    box = spark.createDataFrame([(1, 0, 0, 90, 0, 0, 5, 5)], "stem long, {} int, cls int, conf int, x1 int, y1 int, x2 int, y2 int".format("det_index"))
+    gt = box.withColumnRenamed("det_index", "gt_index").drop("conf")
+    out = P.by_slice(P.image_metrics(images, gt, gt.select("stem", "x1", "y1", "x2", "y2"), box, 0, 2, 45), images.select("stem", F.lit("m").alias("tag")))
+    assert {r["tag"]: (r["n_images"], r["mean_exposure"]) for r in out.collect()} == {"m": (2, 0.0), "all": (2, 0.0)}
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
