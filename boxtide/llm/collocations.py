@@ -7,10 +7,10 @@ phrase is 2 to 5 words in a row inside a piece; a candidate occurs at least `lea
    as places in that list. Words are counted by name, per language; those of `least` occurrences and more get dense ids.
    A block's list (not its tokens) is joined to them, and the blocks are written again as ids, -1 between pieces and for
    rarer words: a phrase with such a word can't be a candidate.
-2. Level by level (2 to 5 words), mappers give the candidates that the level below leaves possible. For two words: pairs
-   in a hash bucket that reaches `least`; BUCKETS counts are binned in each task and summed as a tree.
-   For more: both the first and the last k - 1 words must be frequent, read from BUCKETS bits of the level below. Either
-   filter may let others through, and lets none go that is frequent.
+2. Level by level (2 to 5 words), mappers give the candidates: phrases in a hash bucket that reaches `least`, whose first and
+   last k - 1 words are frequent (from three words on; read from bits of the level below). Buckets are as many as the tokens
+   need (_buckets), binned sparsely some windows at a time and summed as a tree. Either filter may let others through, and
+   lets none go that is frequent.
    Tasks send them as arrays, in ranges of their hash, where each range is made distinct.
 3. Candidates are dealt by hash into parts of about SLOTS; for each part a minimal perfect hash and the keys by
    slot are broadcast (at most about SLOTS x 50 bytes, whatever the data). Mappers look up each window, compare its
@@ -45,6 +45,8 @@ from .perfect_hash import PerfectHash
 LEAST, LONGEST, TOP, SUBSUMED = 100, 5, 2000, 100
 BLOCK, BUCKETS, SLOTS, CHUNK, SALTS = 1 << 20, 1 << 24, 1 << 20, 1 << 15, 8
 HELD, PARTS = 1 << 19, 1024
+#: Windows a bucket at most on average, the most buckets (a bit each is broadcast), windows binned at a time.
+LOAD, MOST_BUCKETS, WINDOWS, CHUNK_BITS = 8, 1 << 30, 1 << 21, 15
 _STOPS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 _BREAK = np.zeros(256, bool)
 _BREAK[_STOPS] = True
@@ -136,36 +138,71 @@ def _sent(total: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(places: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a chunk and their counts: of four bytes as a mapper sends them, of eight once summed."""
+    """Places of a chunk and their counts: of one or four bytes as a mapper sends them, of eight once summed."""
     at, raw = np.frombuffer(places.as_buffer(), np.uint16), counts.as_buffer()
-    return at, np.frombuffer(raw, np.uint32 if raw.size == 4 * len(at) else np.int64)
+    return at, np.frombuffer(raw, {1: np.uint8, 4: np.uint32, 8: np.int64}[raw.size // max(len(at), 1)] if len(at) else np.int64)
 
 
 def _summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    """Rows in order of their chunks; one chunk is held at a time."""
+    now, total = None, np.zeros(CHUNK, np.int64)
+
+    def done() -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        out = pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([0], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=["chunk", "salt", "places", "counts"])
+        total[:] = 0
+        return out
+
     for batch in rows:
         for chunk, places, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if now is not None and chunk != now:
+                yield done()
+            now = chunk
             at, n = _counts(places, counts)
-            total.setdefault(chunk, np.zeros(CHUNK, np.int64))[at] += n
-    for chunk, counts in total.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], names=["chunk", "salt", "places", "counts"])
+            total[at] += n
+    if now is not None:
+        yield done()
 
 
 def _tree(arrays: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Sums of the tasks' arrays, within salts, then over them; `read` turns the chunks of the sum into rows, in the same worker."""
-    return arrays.repartition("chunk", "salt").mapInArrow(_summed, _ARRAYS).repartition("chunk").mapInArrow(lambda rows: read(_summed(rows)), schema)
+    within = arrays.repartition("chunk", "salt").sortWithinPartitions("chunk").mapInArrow(_summed, _ARRAYS)
+    return within.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lambda rows: read(_summed(rows)), schema)
+
+
+def _buckets(tokens: int) -> int:
+    """A power of two, BUCKETS at least, that leaves about LOAD windows a bucket: with a fixed number nearly every bucket of a large table would reach `least`."""
+    return max(BUCKETS, min(1 << (tokens // LOAD).bit_length(), MOST_BUCKETS))
 
 
-def _bits(source: DataFrame, words: Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]], least: int) -> np.ndarray:
-    """BUCKETS flags (packed): whether the phrases of a bucket add up to `least`."""
+def _binned(windows: Iterator[list[np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts by bucket, of about WINDOWS windows at a time: memory and messages grow with the windows, not with the buckets."""
+    held, n = [], 0
 
-    def binned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint32)
-        for w in words(rows):
-            at, times = np.unique((_hash(w) % np.uint64(BUCKETS)).astype(np.uint32), return_counts=True)
-            total[at] += times.astype(np.uint32)
-        yield from _sent(total, TaskContext.get().partitionId() % SALTS)
+    def sent() -> Iterator[pa.RecordBatch]:
+        at, times = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        for some, kind in ((times < 256, np.uint8), (times >= 256, np.uint32)):  # nearly all counts fit a byte
+            if some.any():
+                own, n = at[some], times[some].astype(kind)
+                edge = np.append(0, np.flatnonzero(np.diff(own >> CHUNK_BITS)) + 1)
+                cut = lambda x, edge=edge: pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer((np.append(edge, len(x)) * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+                salt = np.full(len(edge), TaskContext.get().partitionId() % SALTS, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array((own[edge] >> CHUNK_BITS).astype(np.int32)), pa.array(salt), cut((own & np.uint32(CHUNK - 1)).astype(np.uint16)), cut(n)], names=["chunk", "salt", "places", "counts"])
+
+    for w in windows:
+        if len(w[0]):
+            held.append((_hash(w) & np.uint64(buckets - 1)).astype(np.uint32))
+            n += len(held[-1])
+        if n > WINDOWS:
+            yield from sent()
+            n = 0
+    if held:
+        yield from sent()
+
+
+def _bits(source: DataFrame, words: Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]], least: int, buckets: int) -> np.ndarray:
+    """Flags of so many buckets (packed): whether the phrases of a bucket add up to `least`."""
 
     def flags(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -176,8 +213,8 @@ def _bits(source: DataFrame, words: Callable[[Iterator[pa.RecordBatch]], Iterato
                 out.append(np.packbits(f).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "flags"])
 
-    bits = np.zeros(BUCKETS // 8, np.uint8)
-    for r in _tree(source.mapInArrow(binned, _ARRAYS), flags, "chunk int, flags binary").collect():  # BUCKETS bits in all
+    bits = np.zeros(buckets // 8, np.uint8)
+    for r in _tree(source.mapInArrow(lambda rows: _binned(words(rows), buckets), _ARRAYS), flags, "chunk int, flags binary").collect():  # a bit a bucket in all
         bits[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["flags"], np.uint8)
     return bits
 
@@ -191,9 +228,8 @@ def _possible(bits: np.ndarray, w: list[np.ndarray]) -> list[np.ndarray]:
     """The windows that the level below leaves possible."""
     if not len(w[0]):
         return w
-    ok = _has(bits, w) if len(w) == 2 else _has(bits, w[:-1])
-    if len(w) > 2:
-        ok[ok] = _has(bits, [x[ok] for x in w[1:]])
+    ok = _has(bits, w[:-1])
+    ok[ok] = _has(bits, [x[ok] for x in w[1:]])
     return [x[ok] for x in w]
 
 
@@ -253,15 +289,21 @@ def _packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([words[:, edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "keys"])
 
 
-def frequent(streams: DataFrame, k: int, bits: np.ndarray, least: int) -> DataFrame:
-    """w0 ... w4 and n of the phrases of k words that occur at least `least` times."""
+def frequent(streams: DataFrame, k: int, below: np.ndarray | None, least: int, buckets: int) -> DataFrame:
+    """w0 ... w4 and n of the phrases of k words that occur at least `least` times. below: flags of the frequent phrases of k - 1 words."""
     spark = streams.sparkSession
-    sent = spark.sparkContext.broadcast(bits)
+    lower = spark.sparkContext.broadcast(below)
+    known = lambda rows: (w if k == 2 else _possible(lower.value, w) for w in _windows(rows, k))
+    sent = spark.sparkContext.broadcast(_bits(streams, known, least, buckets))
+
+    def likely(rows: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for w in known(rows):
+            yield [x[_has(sent.value, w)] for x in w] if len(w[0]) else w
 
     def candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for w in _windows(rows, k):
-            held.append(_distinct(_possible(sent.value, w)))
+        for w in likely(rows):
+            held.append(_distinct(w))
             n += len(held[-1][0])
             if n > HELD:
                 held = [_distinct([np.concatenate(x) for x in zip(*held, strict=True)])]
@@ -286,8 +328,7 @@ def frequent(streams: DataFrame, k: int, bits: np.ndarray, least: int) -> DataFr
 
         def binned(rows: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             total = np.zeros(part.value.hash.n, np.uint32)
-            for w in _windows(rows, k):
-                w = _possible(sent.value, w)
+            for w in likely(rows):
                 slot = part.value.find(w)
                 total += np.bincount(slot[slot >= 0], minlength=len(total)).astype(np.uint32)
             yield from _sent(total, TaskContext.get().partitionId() % SALTS)
@@ -302,6 +343,7 @@ def frequent(streams: DataFrame, k: int, bits: np.ndarray, least: int) -> DataFr
         out = out.unionAll(written(_tree(streams.mapInArrow(binned, _ARRAYS), read, f"{KEY}, n long")))
         part.destroy()
     sent.unpersist()
+    lower.unpersist()
     return out
 
 
@@ -347,11 +389,11 @@ def apply(docs: DataFrame, least: int = LEAST, top: int = TOP, subsumed: int = S
     streams = written(local.select("block", "text").join(found, "block").select("text", "found").mapInArrow(_encode, "ids binary"))
 
     levels = {1: vocabulary.select(F.col("id").alias("w0"), "n")}
-    phrases, bits = None, _bits(streams, lambda b: _windows(b, 2), least)
+    phrases, below, buckets = None, None, _buckets(tokens.agg(F.sum("n")).first()[0])
     for k in range(2, LONGEST + 1):
         if k > 2:
-            bits = _bits(levels[k - 1].select(*_WORDS[: k - 1]), lambda b, k=k: _keys(b, k - 1), 1)
-        levels[k] = frequent(streams, k, bits, least)
+            below = _bits(levels[k - 1].select(*_WORDS[: k - 1]), lambda b, k=k: _keys(b, k - 1), 1, buckets)
+        levels[k] = frequent(streams, k, below, least, buckets)
         own = levels[k].select(F.slice(F.array(*_WORDS), 1, k).alias("phrase"), F.col("n").alias("a"))
         phrases = own if phrases is None else phrases.unionAll(own)
     phrases = written(phrases)

@@ -78,3 +78,30 @@ def test_perfect_hash():
         assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
         other = h.slots(rng.integers(0, 2**64, 1000, dtype=np.uint64))
         assert ((other >= -1) & (other < max(1, len(keys)))).all()
+
+
+def test_buckets_grow_with_the_tokens():
+    """With a fixed number every bucket of a large table reaches `least`, and every phrase is a candidate."""
+    for tokens in (10**6, 2 * 10**9, 8 * 10**9):
+        assert tokens / collocations._buckets(tokens) <= 8
+    assert collocations._buckets(10**12) == collocations.MOST_BUCKETS
+
+
+def test_bins_take_memory_by_windows_and_sums_hold_a_chunk(monkeypatch):
+    monkeypatch.setattr(collocations, "WINDOWS", 1000)
+    monkeypatch.setattr(collocations, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
+    rng = np.random.default_rng(1)
+    w = [[rng.integers(0, 40, 600).astype(np.int32) for _ in range(2)] for _ in range(20)] + [[np.zeros(700, np.int32)] * 2] * 2
+    sent = list(collocations._binned(iter(w), 1 << 28))
+    rows = sorted(((c, p, n) for b in sent for c, p, n in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True)), key=lambda r: r[0])
+    assert len(sent) > 10 and any(b.column(3)[0].as_buffer().size // (b.column(2)[0].as_buffer().size // 2) == 4 for b in sent)
+    import pyarrow as pa
+
+    ordered = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1].as_py() for r in rows], pa.binary()), pa.array([r[2].as_py() for r in rows], pa.binary())], names=["chunk", "salt", "places", "counts"])
+    got = {}
+    for b in collocations._summed(iter([ordered])):
+        at, n = collocations._counts(b.column(2)[0], b.column(3)[0])
+        assert b.column(0)[0].as_py() not in {k >> 15 for k in got}
+        got |= {(b.column(0)[0].as_py() << 15) + int(a): int(x) for a, x in zip(at, n, strict=True)}
+    at, n = np.unique(np.concatenate([collocations._hash(x) & np.uint64((1 << 28) - 1) for x in w]), return_counts=True)
+    assert got == dict(zip(at.tolist(), n.tolist(), strict=True))
