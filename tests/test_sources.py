@@ -140,3 +140,14 @@ def test_layout_and_sizes(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in R.image_sizes(spark, at("c/images/x")).collect()}
     none = (None, None)
     assert {k: got.get(k, none) for k in files} == {"p.png": (640, 481), "empty.png": none, "j.jpg": (7000, 33), "g.gif": (5, 9), "w.webp": (100, 50), "v.webp": (176, 144), "cut.jpg": none, "zero.png": none}
+
+
+def test_sizes_behind_many_segments(spark):
+    """A header behind 0, 7, 8, 63, 64 and 511 segments is found, one behind 512 is not; the walk of a short file ends in its first leg."""
+    from boxtide.functions import images as I
+
+    part, frame = "FFDB000300", "FFC20011080020004003"
+    rows = spark.createDataFrame([(n, bytes.fromhex("FFD8" + part * n + frame)) for n in (0, 7, 8, 63, 64, 511, 512)], "n int, b binary")
+    got = {r.n: r.z and tuple(r.z) for r in rows.select("n", I.image_size(F.col("b")).alias("z")).collect()}
+    assert got == {**dict.fromkeys((0, 7, 8, 63, 64, 511), (64, 32)), 512: None}
+    assert sum(I.LEGS) == I.SEGMENTS and I.LEGS[0] <= 8
