@@ -55,9 +55,10 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def same_multiset(a: DataFrame, b: DataFrame, group: str, value: str) -> DataFrame:
-    """Groups whose values differ as multisets, compared by counts."""
-    x, y = a.groupBy(group, value).agg(F.count("*").alias("na")), b.groupBy(group, value).agg(F.count("*").alias("nb"))
-    return x.join(y, [group, value], "full").fillna(0, ["na", "nb"]).filter("na <> nb").groupBy(group).agg(F.sum(F.abs(F.col("na") - F.col("nb"))).alias("differences"))
+    """Groups whose values differ as multisets, compared by counts: one signed count of both sides, so equal ones cancel in one table. Nulls equal nothing, as in a join."""
+    one = lambda df, sign: df.select(F.col(group), F.col(value), F.when(F.col(group).isNull() | F.col(value).isNull(), sign).otherwise(0).alias("_side"), F.lit(sign).alias("_n"))
+    left = one(a, 1).unionAll(one(b, -1)).groupBy(group, value, "_side").agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    return left.groupBy(group).agg(F.sum(F.abs("_n")).alias("differences"))
 
 
 def replay(logged: DataFrame, emitted: DataFrame, thresholds: list[float], eps: float = 1e-4) -> DataFrame:

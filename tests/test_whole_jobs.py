@@ -80,3 +80,14 @@ def test_slices_read_the_images_once(spark):
     out = P.by_slice(P.image_metrics(images, gt, gt.select("stem", "x1", "y1", "x2", "y2"), box, 0, 2, 45), images.select("stem", F.lit("m").alias("tag")))
     assert {r["tag"]: (r["n_images"], r["mean_exposure"]) for r in out.collect()} == {"m": (2, 0.0), "all": (2, 0.0)}
     assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_multisets_cancel_without_a_join(spark):
+    from boxtide.operators import quality as Q
+
+    a = [(1, 5), (1, 5), (2, 7), (None, 3), (4, None), (5, 1)]
+    b = [(1, 5), (2, 7), (None, 3), (4, None), (6, 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "grp int, v int")
+    out = Q.same_multiset(frame(a), frame(b), "grp", "v")
+    assert {r["grp"]: r["differences"] for r in out.collect()} == {1: 1, None: 2, 4: 2, 5: 1, 6: 1}  # nulls equal nothing
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
