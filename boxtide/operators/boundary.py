@@ -62,16 +62,21 @@ def image_measures(df: DataFrame) -> DataFrame:
     return df.select("key", "width", "height", "pixels").mapInPandas(run, "key string, brightness double, blurriness double")
 
 
+#: Parts of the table of distinct rows; a fixed number, so that the seeded start does not depend on how the input is laid out.
+PARTS = 16
+
+
 def one_hot_clusters(df: DataFrame, key: str, fields: list[str], k: int, seed: int = 7) -> DataFrame:
-    """One-hot fields, k-means: key, cluster."""
+    """One-hot fields, k-means: key, cluster. Equal rows are one weighted row of the fit, so that it holds as many as there are distinct ones."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
-    idx = StringIndexer(inputCols=fields, outputCols=[f"{f}_i" for f in fields], handleInvalid="keep")
+    idx = StringIndexer(inputCols=fields, outputCols=[f"{f}_i" for f in fields], handleInvalid="keep", stringOrderType="alphabetAsc")
     hot = OneHotEncoder(inputCols=idx.getOutputCols(), outputCols=[f"{f}_h" for f in fields], dropLast=False)
-    model = Pipeline(stages=[idx, hot, VectorAssembler(inputCols=hot.getOutputCols(), outputCol="v"), KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster")])
-    return model.fit(df).transform(df).select(key, F.col("cluster"))
+    rows = df.groupBy(*fields).agg(F.count("*").cast("double").alias("n")).repartition(PARTS, *fields).sortWithinPartitions(*fields)
+    model = Pipeline(stages=[idx, hot, VectorAssembler(inputCols=hot.getOutputCols(), outputCol="v"), KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster", weightCol="n")]).fit(rows)
+    return model.transform(df).select(key, F.col("cluster"))
 
 
 def reduce_dims(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:

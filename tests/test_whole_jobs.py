@@ -91,3 +91,12 @@ def test_multisets_cancel_without_a_join(spark):
     out = Q.same_multiset(frame(a), frame(b), "grp", "v")
     assert {r["grp"]: r["differences"] for r in out.collect()} == {1: 1, None: 2, 4: 2, 5: 1, 6: 1}  # nulls equal nothing
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clusters_fit_distinct_rows_however_laid_out(spark):
+    from boxtide.operators import boundary as B
+
+    rows = spark.createDataFrame([(i, "abcde"[i % 5], str(i % 7)) for i in range(700)], "id long, a string, b string")
+    got = [{r["id"]: r["cluster"] for r in B.one_hot_clusters(rows.repartition(n), "id", ["a", "b"], 3).collect()} for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 700 and set(got[0].values()) == {0, 1, 2}
+    assert all(got[0][i] == got[0][i + 35] for i in range(665))
