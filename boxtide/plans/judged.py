@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from boxtide.functions import masks as K
 from boxtide.functions import text as T
-from boxtide.operators import detection as D
-from boxtide.operators import matching as M
 from boxtide.operators import search as H
 from boxtide.operators import side_by_side as S
 from boxtide.operators import sweep as W
@@ -122,18 +120,7 @@ _RUNS = ["conf >= 30", "conf < 70", "conf % 2 = 0"]
   FROM gt LEFT JOIN f{i} x ON x.stem = gt.stem AND x.gi = gt.gt_index LEFT JOIN f{j} y ON y.stem = gt.stem AND y.gi = gt.gt_index""" for i, j in ((0, 1), (0, 2), (1, 2))))
 def agreement(s, d):
     """Three runs over one GT, pair by pair: who found what, class flips, shift of IoU, false positives of a that b shares, and those of b where a has nothing."""
-    det, gt = X.det(s, d), X.gt(s, d)
-    runs = [det.filter(r) for r in _RUNS]
-    found = [M.match_greedy(M.pairs(r, gt, 0.5)).join(r.select("stem", "det_index", "cls"), ["stem", "det_index"]).select("stem", "gt_index", "cls", "iou") for r in runs]
-    false = [D.false_of(r, gt) for r in runs]
-    pairs = D.run_pairs(D.found_by(gt, found), 3)
-    more = None
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        shared = D.shared_with(false[i], false[j]).agg(F.count("*").alias("shared_false"))
-        new = false[j].join(D.shared_with(false[j], runs[i]), ["stem", "det_index"], "left_anti").agg(F.count("*").alias("new_false"))
-        one = shared.join(new, F.lit(True)).select(F.lit(i).alias("a"), F.lit(j).alias("b"), "shared_false", "new_false")  # one row each
-        more = one if more is None else more.unionByName(one)
-    return pairs.join(F.broadcast(more), ["a", "b"]).withColumn("iou_shift", F.round("iou_shift", 9))
+    return S.agreement(X.det(s, d), X.gt(s, d), [F.expr(r) for r in _RUNS]).withColumn("iou_shift", F.round("iou_shift", 9))
 
 
 @query(X.WITH + f""", c AS (SELECT stem, det_index, cy * 100 + unnest(range(x1 + (cy - y1) % 3, x2 - CASE WHEN (cy - y1) % 4 = 1 THEN 6 ELSE 0 END)) AS p FROM (SELECT *, unnest(range(y1, y2)) AS cy FROM det WHERE stem % 4 = 1) q),
