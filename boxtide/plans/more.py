@@ -8,7 +8,9 @@ from boxtide.functions import classify as C
 from boxtide.functions import rates as R
 from boxtide.operators import detection as D
 from boxtide.operators import matching as M
+from boxtide.operators import side_by_side as S
 from boxtide.plans import fixtures as X
+from boxtide.scratch import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -29,9 +31,7 @@ _AREA = "(x2 - x1) * (y2 - y1)"
 SELECT cls, tp, any_value(n) AS n, round(avg(conf), 9) AS mean_conf, max(CASE WHEN i = n // 2 THEN conf END) AS middle FROM t GROUP BY ALL""")
 def confidence_split(s, d):
     """Confidences of true and false positives by class."""
-    det = X.det(s, d)
-    hit = M.match_greedy(M.pairs(det, X.gt(s, d), 0.5)).select("stem", "det_index", F.lit(True).alias("tp"))
-    t = det.join(hit, ["stem", "det_index"], "left").select("cls", F.coalesce("tp", F.lit(False)).alias("tp"), "conf")
+    t = stored(S.matches(X.det(s, d), X.gt(s, d), 0.5).select("cls", F.col("gt_index").isNotNull().alias("tp"), "conf"))  # read several times
     mid = R.percentile(t, ["cls", "tp"], "conf", 50, "upper_middle").withColumnRenamed("value", "middle")
     return t.groupBy("cls", "tp").agg(F.count("*").alias("n"), F.round(F.avg("conf"), 9).alias("mean_conf")).join(mid, ["cls", "tp"])
 
