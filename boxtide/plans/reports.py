@@ -139,15 +139,7 @@ def _kept(model: str, scale: float) -> str:
 @query(X.WITH + "".join(f", d{m}{int(c * 10)} AS (SELECT * FROM det WHERE {_kept(m, c)})" + X.greedy_sql(f"m{m}{int(c * 10)}", 0.3, det=f"d{m}{int(c * 10)}") for m in _MODELS for c in _SCALES) + " " + " UNION ALL ".join(f"SELECT '{m}' AS model, {c}::DOUBLE AS scale, (SELECT count(*) FROM gt) AS n_gt, round(count(*)::DOUBLE / (SELECT count(*) FROM gt), 4) AS recall, round(sum((d.cls = g.cls)::INT)::DOUBLE / count(*), 4) AS class_acc FROM m{m}{int(c * 10)} x JOIN det d ON d.stem = x.stem AND d.det_index = x.di JOIN gt g ON g.stem = x.stem AND g.gt_index = x.gi" for m in _MODELS for c in _SCALES))
 def scale_rates(s, d):
     """Two models on images shrunk by two scales, boxes of both sides rescaled with the image."""
-    det, gt = X.det(s, d), X.gt(s, d)
-    out = None
-    for m in _MODELS:
-        for c in _SCALES:
-            shrink = lambda df, c=c: df.withColumns(dict(zip(("x1", "y1", "x2", "y2"), G.rescale(G.box(), c, 0, 0), strict=True)))
-            won = M.match_greedy(M.pairs(shrink(det.filter(_kept(m, c))), shrink(gt), 0.3)).join(det.select("stem", "det_index", F.col("cls").alias("a")), ["stem", "det_index"]).join(gt.select("stem", "gt_index", F.col("cls").alias("b")), ["stem", "gt_index"])
-            one = won.select(F.lit(m).alias("model"), F.lit(c).alias("scale"), "stem", "gt_index", (F.col("a") == F.col("b")).alias("right"))
-            out = one if out is None else out.unionByName(one)
-    return O.scale_rates(out, gt)
+    return N.scale_rates(X.det(s, d), X.gt(s, d), [(m, c, F.expr(_kept(m, c))) for m in _MODELS for c in _SCALES], 0.3)
 
 
 @query(X.WITH + """, lg AS (SELECT stem, cls, conf / 100.0::DOUBLE AS conf FROM det), em AS (SELECT stem, CASE WHEN stem % 11 = 0 AND det_index = 0 THEN (cls + 1) % 3 ELSE cls END AS cls FROM det WHERE conf >= 50 AND NOT (conf = 50 AND stem % 3 = 0) AND stem % 13 <> 0),
