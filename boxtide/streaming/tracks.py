@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from boxtide.scratch import scratch
+from boxtide.scratch import stored
 
 TRACK_SCHEMA = "video string, track long, seq int, cls int, x1 double, y1 double, x2 double, y2 double, conf double"
 
@@ -63,19 +66,26 @@ CHUNK = 4096
 
 
 def segments(frames: DataFrame, conf: float, gap: int = 15) -> DataFrame:
-    """Frames with an accepted detection, and the seq at which their segment begins: no track reaches from one segment into the next.
+    """Frames with an accepted detection, their accepted detections, and the seq at which their segment begins: no track reaches from one segment into the next.
 
     A frame can continue a track whose last box is at `a` if the frame before it is at most `gap` later than `a`. So a video is cut where
-    that fails for the last accepted frame, and segments are tracked apart. Windows run inside chunks of a video and over its chunks."""
+    that fails for the last accepted frame, and segments are tracked apart. Frames are shuffled and sorted once, by chunks of a video, and stored:
+    inside a chunk only its first accepted frame needs what lies before, and that comes from one row a chunk."""
     w, over = Window.partitionBy("video", "chunk").orderBy("seq"), Window.partitionBy("video").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    f = frames.select("video", "seq", "dets", F.floor(F.col("seq") / CHUNK).alias("chunk"), F.coalesce(F.exists("dets", lambda d: d["conf"] >= conf), F.lit(False)).alias("ok"))
+    past, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    det = lambda d: F.struct(d["cls"].cast("int").alias("cls"), *[d[c].cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "conf")])
+    f = frames.filter("video IS NOT NULL AND seq IS NOT NULL").select("video", "seq", F.floor(F.col("seq") / CHUNK).alias("chunk"), F.transform(F.filter("dets", lambda d: d["conf"] >= conf), det).alias("dets"))
+    f = f.withColumn("ok", F.coalesce(F.size("dets") > 0, F.lit(False)))
     hit = F.when(F.col("ok"), F.col("seq"))
-    per = f.groupBy("video", "chunk").agg(F.max(hit).alias("h"), F.max("seq").alias("p")).select("video", "chunk", F.max("h").over(over).alias("h0"), F.max("p").over(over).alias("p0"))
-    f = f.join(per, ["video", "chunk"]).withColumns({"a": F.greatest(F.max(hit).over(past), F.col("h0")), "p": F.coalesce(F.lag("seq").over(w), F.col("p0"))})
-    f = f.filter("ok").withColumn("cut", F.when(F.col("a").isNull() | (F.col("p") - F.col("a") > gap), F.col("seq")))
-    begin = f.groupBy("video", "chunk").agg(F.max("cut").alias("c")).select("video", "chunk", F.max("c").over(over).alias("c0"))
-    return f.join(begin, ["video", "chunk"]).select("video", "seq", "dets", F.greatest(F.max("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("c0")).alias("begin"))
+    f = f.withColumns({"p": F.lag("seq").over(w), "a": F.max(hit).over(past), "first": F.min(hit).over(so_far)})
+    f = f.withColumn("cut", F.when(F.col("ok") & (F.col("p") - F.col("a") > gap), F.col("seq"))).withColumn("begin", F.max("cut").over(so_far))
+    f = stored(f.select("video", "chunk", "seq", "ok", "p", "first", "begin", F.when(F.col("ok"), F.col("dets")).alias("dets")))
+    per = f.groupBy("video", "chunk").agg(F.max(hit).alias("h"), F.max("seq").alias("last"), F.min(hit).alias("f"), F.min(F.when(F.col("seq") == F.col("first"), F.col("p"))).alias("p"), F.max("begin").alias("c"))
+    per = per.withColumns({"h0": F.max("h").over(over), "p0": F.max("last").over(over)})
+    per = per.withColumn("own", F.when(F.col("h0").isNull() | (F.coalesce("p", "p0") - F.col("h0") > gap), F.col("f")))
+    per = per.withColumn("start", F.coalesce("own", F.max(F.greatest("c", "own")).over(over)))
+    goes_on = stored(per.filter("start <> f").select("video", "chunk", "start"))  # chunks that begin inside a segment; broadcast if the file is small
+    return f.filter("ok").join(goes_on, ["video", "chunk"], "left").select("video", "seq", "dets", F.coalesce("begin", "start", "first").alias("begin"))
 
 
 def _boxes(dets) -> list[tuple]:
@@ -84,24 +94,34 @@ def _boxes(dets) -> list[tuple]:
 
 def build_tracks(frames: DataFrame, conf: float, least: float = 0.3, gap: int = 15) -> DataFrame:
     """ST1, J17: TRACK_SCHEMA rows of each video's tracks, associated segment by segment and numbered on through the video.
-    The rows are worked out once and stored, for all that reads them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, rows = Tracker(conf, least, gap), []
-        video, begin, last = pdf["video"].iloc[0], int(pdf["begin"].iloc[0]), None
-        for seq, dets in pdf.sort_values("seq")[["seq", "dets"]].itertuples(index=False):
-            if last is not None and seq - last > 1:  # frames without a detection in between only let tracks expire
-                t.expire(int(seq) - 1)
-            last = seq
-            rows += [(video, begin, track, int(seq), *d) for track, d in t.advance(int(seq), _boxes(dets))]
-        return pd.DataFrame(rows, columns=["video", "begin", "track", "seq", "cls", "x1", "y1", "x2", "y2", "conf"])
-
-    path = scratch(frames.sparkSession)
-    segments(frames, conf, gap).groupBy("video", "begin").applyInPandas(run, TRACK_SCHEMA.replace("track long", "begin int, track long")).write.parquet(path)
-    own = frames.sparkSession.read.parquet(path)
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("video").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    A task walks its segments frame by frame and holds open tracks only. The rows are worked out once and stored, for all that reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, t, last = None, None, None
+        for b in batches:
+            boxes = list(zip(*[c.to_numpy(zero_copy_only=False).tolist() for c in b.column(3).flatten().flatten()], strict=True))
+            end = np.cumsum(pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False)).tolist()
+            rows, start = [], 0
+            for i, (video, begin, seq) in enumerate(zip(*[b.column(k).to_pylist() for k in range(3)], strict=True)):
+                if (video, begin) != key:
+                    key, t, last = (video, begin), Tracker(conf, least, gap), None
+                if last is not None and seq - last > 1:  # frames without a detection in between only let tracks expire
+                    t.expire(seq - 1)
+                last = seq
+                rows += [(i, track, *d) for track, d in t.advance(seq, boxes[start : end[i]])]
+                start = end[i]
+            if rows:
+                at, *cols = zip(*rows, strict=True)
+                video, begin, seq = (b.column(k).take(pa.array(at)) for k in range(3))
+                track, cls, *rest = cols
+                yield pa.RecordBatch.from_arrays([video, begin, pa.array(track, pa.int64()), seq, pa.array(cls, pa.int32()), *[pa.array(c, pa.float64()) for c in rest]], names=["video", "begin", "track", "seq", "cls", "x1", "y1", "x2", "y2", "conf"])
+
+    parts = segments(frames, conf, gap).select("video", F.col("begin").cast("int").alias("begin"), F.col("seq").cast("int").alias("seq"), "dets")
+    own = stored(parts.repartition("video", "begin").sortWithinPartitions("video", "begin", "seq").mapInArrow(run, TRACK_SCHEMA.replace("track long", "begin int, track long")))
+    before = F.sum("n").over(Window.partitionBy("video").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
     first = own.groupBy("video", "begin").agg((F.max("track") + 1).alias("n")).select("video", "begin", before.alias("first"))
-    return own.join(first, ["video", "begin"]).withColumn("track", F.col("track") + F.col("first")).select("video", "track", "seq", "cls", "x1", "y1", "x2", "y2", "conf")
+    later = stored(first.filter("first > 0"))  # a video's first segment counts from 0; broadcast if the file is small
+    return own.join(later, ["video", "begin"], "left").withColumn("track", F.col("track") + F.coalesce("first", F.lit(0))).select("video", "track", "seq", "cls", "x1", "y1", "x2", "y2", "conf")
 
 
 class VideoTracks(StatefulProcessor):
@@ -189,35 +209,42 @@ def gap_causes(tracks: DataFrame, frames: DataFrame, conf: float, least: float =
     return s.join(n, ["video", "track", "a"], "left").select("video", "track", F.col("a").alias("after"), "gap", F.when(F.coalesce("n", F.lit(0)) >= F.floor((F.col("gap") + 1) / 2), "threshold_gap").otherwise("miss_gap").alias("cause"))
 
 
-def track_metrics(tracks: DataFrame, conf: float, band: float = 0.05) -> DataFrame:
-    """ST3: a row per track: first, last, present, span, gaps, flips, majority class (first seen on ties), confidence and jitter."""
-    s = steps(tracks)
-    major = tracks.groupBy("video", "track", "cls").agg(F.count("*").alias("n"), F.min("seq").alias("f")).groupBy("video", "track").agg(F.max_by("cls", F.struct("n", -F.col("f"))).alias("majority"))
-    m = s.groupBy("video", "track").agg(
-        F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("present"), F.sum(F.when(F.col("gap") > 0, 1).otherwise(0)).alias("gaps"), F.coalesce(F.sum("flip"), F.lit(0)).alias("flips"), F.avg("conf").alias("conf_mean"), F.stddev_pop("conf").alias("conf_std"),
-        F.avg(F.when(F.col("conf") < conf + band, 1.0).otherwise(0.0)).alias("straddle"), F.percentile("step_iou", F.lit(0.5)).alias("jitter_iou_median"), F.percentile("drift", F.lit(0.5)).alias("drift_median"),
+def spans(tracks: DataFrame) -> DataFrame:
+    """ST3, W6: a row per track: first, last, present, span, gaps, flips, majority class (first seen on ties); frames of its span without a detection
+    of that class, and how often such a stretch begins. Tracks are shuffled once; a stretch is a step between two detections of the class, so no frame is made up."""
+    w, own = Window.partitionBy("video", "track").orderBy("seq"), Window.partitionBy("video", "track", "cls").orderBy("seq")
+    seq = F.col("seq")
+    t = tracks.select("video", "track", "seq", "cls").withColumns({"p_seq": F.lag("seq").over(w), "p_cls": F.lag("cls").over(w)}).withColumn("o_seq", F.lag("seq").over(own))
+    times = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    c = t.groupBy("video", "track", "cls").agg(
+        F.count("*").alias("n"), F.min("seq").alias("f"), F.max("seq").alias("l"), times(seq - F.col("o_seq") > 1).alias("bare"), times(seq - F.col("p_seq") > 1).alias("gaps"), times(F.col("cls") != F.col("p_cls")).alias("flips"),
     )
-    return m.join(major, ["video", "track"]).withColumn("span", F.col("last") - F.col("first") + 1)
+    m = c.groupBy("video", "track").agg(
+        F.min("f").alias("first"), F.max("l").alias("last"), F.sum("n").alias("present"), F.sum("gaps").alias("gaps"), F.sum("flips").alias("flips"), F.max_by(F.struct("cls", "n", "f", "l", "bare"), F.struct("n", -F.col("f"))).alias("x"),
+    ).withColumn("span", F.col("last") - F.col("first") + 1)
+    events = F.col("x.bare") + (F.col("x.f") > F.col("first")).cast("int") + (F.col("x.l") < F.col("last")).cast("int")
+    return m.select("video", "track", "first", "last", "present", "span", "gaps", "flips", F.col("x.cls").alias("majority"), (F.col("span") - F.col("x.n")).alias("exposed_frames"), events.alias("exposure_events"))
 
 
-def exposure(tracks: DataFrame, metrics: DataFrame, target: int) -> DataFrame:
-    """Per track whose majority is the target, frames of its span without a detection of that class, and how often such a stretch begins."""
-    own = metrics.filter(F.col("majority") == target).select("video", "track", F.explode(F.sequence("first", "last")).alias("seq"))
-    on = own.join(tracks.select("video", "track", "seq", F.lit(1).alias("seen"), F.col("cls").alias("c")), ["video", "track", "seq"], "left").withColumn("covered", F.coalesce(F.col("c") == target, F.lit(False)))
-    prev = F.coalesce(F.lag("covered").over(Window.partitionBy("video", "track").orderBy("seq")), F.lit(True))
-    return on.withColumn("begins", (~F.col("covered") & prev).cast("int")).groupBy("video", "track").agg(F.sum((~F.col("covered")).cast("int")).alias("exposed_frames"), F.sum("begins").alias("exposure_events"))
+def track_metrics(tracks: DataFrame, conf: float, band: float = 0.05) -> DataFrame:
+    """ST3: the rows of spans() with each track's confidence and jitter."""
+    m = steps(tracks).groupBy("video", "track").agg(
+        F.avg("conf").alias("conf_mean"), F.stddev_pop("conf").alias("conf_std"),
+        F.avg(F.when(F.col("conf") < conf + band, 1.0).otherwise(0.0)).alias("straddle"), F.percentile("step_iou", F.lit(0.5)).alias("jitter_iou_median"), F.percentile("drift", F.lit(0.5)).alias("drift_median"),
+    )
+    return spans(tracks).join(m, ["video", "track"])
 
 
 def rollup(frames: DataFrame, meta: DataFrame, tracks: DataFrame, conf: float, targets: tuple[int, ...] = (0, 1), least_s: float = 0.5, phantom_s: float = 0.3) -> DataFrame:
     """ST4: per video: tracks, real ones, phantoms, toggles and flips a minute, and exposure of the target classes."""
-    fps = effective_fps(frames, meta)
-    m = track_metrics(tracks, conf).join(fps.select("video", "fps"), "video")
+    m = effective_fps(frames, meta).join(spans(tracks), "video", "left")
     m = m.withColumns({"real": F.col("present") >= F.greatest(F.lit(3), F.bround(F.lit(least_s) * F.col("fps"))), "phantom": F.col("present") <= F.greatest(F.lit(2), F.bround(F.lit(phantom_s) * F.col("fps")))})
-    out = fps.join(m.groupBy("video").agg(F.count("*").alias("tracks"), F.sum(F.col("real").cast("int")).alias("real"), F.sum(F.col("phantom").cast("int")).alias("phantoms"), F.sum(F.when(F.col("real"), 2 * F.col("gaps")).otherwise(0)).alias("toggles"), F.sum(F.when(F.col("real"), F.col("flips")).otherwise(0)).alias("flips")), "video", "left").fillna(0, ["tracks", "real", "phantoms", "toggles", "flips"])
+    real = lambda c, v: F.sum(F.when(F.col("real") & c, v).otherwise(0))
+    exposed = {f"{name}_{t}": real(F.col("majority") == t, F.col(name)) for t in targets for name in ("exposed_frames", "exposure_events")}
+    out = m.groupBy("video", "frames", "fps").agg(
+        F.count("track").alias("tracks"), F.coalesce(F.sum(F.col("real").cast("int")), F.lit(0)).alias("real"), F.coalesce(F.sum(F.col("phantom").cast("int")), F.lit(0)).alias("phantoms"),
+        real(F.lit(True), 2 * F.col("gaps")).alias("toggles"), real(F.lit(True), F.col("flips")).alias("flips"), *[v.alias(k) for k, v in exposed.items()],
+    )
     minutes = F.greatest(F.col("frames") / F.col("fps") / 60.0, F.lit(1e-6))
-    out = out.withColumns({"toggles_per_min": F.col("toggles") / minutes, "flips_per_min": F.col("flips") / minutes, "phantoms_per_min": F.col("phantoms") / minutes})
-    real = m.filter("real").select("video", "track", "majority", "first", "last")
-    for t in targets:
-        e = exposure(tracks, real, t).groupBy("video").agg(F.sum("exposed_frames").alias(f"exposed_frames_{t}"), F.sum("exposure_events").alias(f"exposure_events_{t}"))
-        out = out.join(e, "video", "left").fillna(0, [f"exposed_frames_{t}", f"exposure_events_{t}"])
-    return out
+    rates = [(F.col(c) / minutes).alias(f"{c}_per_min") for c in ("toggles", "flips", "phantoms")]
+    return out.select("video", "frames", "fps", "tracks", "real", "phantoms", "toggles", "flips", *rates, *exposed)

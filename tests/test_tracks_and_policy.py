@@ -201,3 +201,37 @@ def test_matchers_differ_and_agree_with_loops(spark):
     a = {(r.stem, r.gt_index, r.det_index) for r in M.match_greedy(M.pairs(d, g, 0.3)).collect()}
     b = {(r.stem, r.gt_index, r.det_index) for r in M.match_confident(d, g, 0.3).filter("gt_index IS NOT NULL").collect()}
     assert a == want_a and b == want_b
+
+
+def test_tracks_and_rollup_read_their_input_once(spark, walks):
+    """Each frame and each track's detection is worked out once, however many windows and aggregates look at it."""
+    frames_read, tracks_read = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(total):
+        def add(x):
+            total.add(1)
+            return x
+
+        return F.udf(add, "int").asNondeterministic()
+
+    rows = [r for v in walks.values() for r in v]
+    f = spark.createDataFrame(rows, FRAME)
+    t = K.build_tracks(f.withColumn("seq", counted(frames_read)("seq")), 0.45)
+    assert t.count() > 1000 and frames_read.value == len(rows)
+    meta = spark.createDataFrame([(f"v{s}", 25.0, 25.0, 1) for s in walks], "video string, fps double, fps_sane double, every int")
+    assert len(K.rollup(f, meta, t.withColumn("seq", counted(tracks_read)("seq")), 0.45).collect()) == len(walks)
+    assert tracks_read.value == t.count()
+
+
+def test_segments_across_chunks(spark, monkeypatch):
+    """Chunks without an accepted frame, and frames missing before a chunk's first: segments do not depend on where chunks end."""
+    person, faint = [(0, 0.0, 0.0, 50.0, 90.0, 0.9)], [(0, 0.0, 0.0, 50.0, 90.0, 0.2)]
+    hits = {"a": {*range(0, 30), *range(41, 70), 90, 91}, "b": {5, 26, 27, 60}, "c": {70}}
+    gone = {"a": set(), "b": set(range(8, 26)), "c": set()}
+    rows = [(v, i, i * 40.0, person if i in h else faint) for v, h in hits.items() for i in range(100) if i not in gone[v]]
+    f, got = spark.createDataFrame(rows, FRAME).repartition(3), []
+    for chunk in (1000, 8):
+        monkeypatch.setattr(K, "CHUNK", chunk)
+        got.append(sorted((r.video, r.seq, r.begin) for r in K.segments(f, 0.45).collect()))
+    begin = {"a": lambda i: 0 if i < 90 else 90, "b": lambda i: 5 if i < 60 else 60, "c": lambda i: 70}
+    assert got[0] == got[1] == sorted((v, i, begin[v](i)) for v, h in hits.items() for i in h)
