@@ -97,7 +97,7 @@ class Discriminant:
 def fit(docs: DataFrame, labels: DataFrame):
     """A function from Arrow texts to scores."""
     ids, total = training_ids(labels, "quality", 2, 4, MAX_PER_CLASS)
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id")  # at most 2 * MAX_PER_CLASS ids
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id")  # at most 2 * MAX_PER_CLASS ids
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

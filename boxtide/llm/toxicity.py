@@ -165,7 +165,7 @@ def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
 def fit(docs: DataFrame, labels: DataFrame):
     """A function from Arrow texts to scores."""
     ids, total = training_ids(labels, "toxic", 0, 5, MAX_PER_CLASS, halves=2)
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id")  # at most 4 * MAX_PER_CLASS ids
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id")  # at most 4 * MAX_PER_CLASS ids
     units = rows.filter("half = 0").select("text", "label").mapInArrow(_count, "unit long, p long, n long").groupBy("unit").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     share = {r["label"]: r["count"] for r in ids.filter("half = 0").groupBy("label").count().collect()}
     odds = F.log((F.col("p") + 0.5) / (share.get(1, 0) + 1)) - F.log((F.col("n") + 0.5) / (share.get(0, 0) + 1))

@@ -175,6 +175,27 @@ def test_pipeline(spark, small):
     assert got.groupby("sequence_id").length.sum().max() <= 4096
 
 
+@pytest.mark.parametrize("kind", ["int", "decimal(20,0)"])
+@pytest.mark.parametrize(("module", "column"), [(toxicity, "toxic"), (quality_model, "quality")])
+def test_training_with_other_types_of_keys(spark, small, module, column, kind):
+    """The same scores as with bigint keys."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    assert docs.schema["doc_id"].dataType.simpleString() == "bigint"
+    of = lambda t: sorted(module.apply(docs.withColumn("doc_id", docs["doc_id"].cast(t)), labels.withColumn("doc_id", labels["doc_id"].cast(t))).collect())
+    got = of(kind)
+    assert got == of("bigint") and len(got) == docs.count()
+
+
+@pytest.mark.parametrize("kind", ["int", "decimal(20,0)"])
+def test_quality_stage_with_other_types_of_keys(spark, small, tmp_path, kind):
+    for t in ("documents", "labels"):
+        df = spark.read.parquet(f"{small}/{t}.parquet")
+        df.withColumn("doc_id", df["doc_id"].cast(kind)).write.parquet(str(tmp_path / f"{t}.parquet"))
+    stage = dict(corpus_pipeline.STAGES)["quality_model"]
+    kept = lambda d: {int(r.doc_id) for r in stage(spark, spark.read.parquet(f"{d}/documents.parquet"), str(d)).select("doc_id").collect()}
+    assert kept(tmp_path) == kept(small) != set()
+
+
 def test_pipeline_run_on_awkward_tables(spark, tmp_path):
     """run() over nulls, empty and long texts, repeated rows and clashing columns; and over a table without rows."""
     text = " ".join(f"word{i % 61} is here" for i in range(80))
