@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUNS = "array<struct<start:bigint,end:bigint>>"
@@ -66,9 +66,11 @@ def _runs(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     mask, start, end = mask[some], start[some], end[some]
     if not len(mask):
         return mask, start, end
-    order = np.lexsort((start, mask))
-    mask, start, end = mask[order], start[order], end[order]
     low, span = start.min(), end.max() - start.min() + 2
+    key = mask * span + (start - low)
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        mask, start, end = mask[order], start[order], end[order]
     reach = np.maximum.accumulate(mask * span + (end - low))  # a mask's places all lie after those of the mask before
     new = np.append(True, mask[1:] * span + (start[1:] - low) > reach[:-1])
     last = np.append(np.flatnonzero(new)[1:], len(mask)) - 1
@@ -109,24 +111,53 @@ def _shared(owner: np.ndarray, mask: np.ndarray, start: np.ndarray, end: np.ndar
         a = b
 
 
-def overlaps(masks: DataFrame, width: int, at_once: int = AT_ONCE) -> DataFrame:
-    """stem, i, j, common, iou of the masks (stem, det_index, rows: (y, x1, x2) stretches in any order) of an image that share a pixel.
-
-    An image's masks meet in one row; NumPy counts all pairs of a batch of images by looking up the ends of one mask's runs in the other's."""
-    rows = F.transform("rows", lambda r: F.struct(*[r[c].cast("long").alias(c) for c in ("y", "x1", "x2")]))
-    listed = masks.select("stem", F.struct(F.col("det_index").cast("int").alias("det_index"), rows.alias("rows")).alias("m")).groupBy("stem").agg(F.collect_list("m").alias("m"))
+def overlaps(masks: DataFrame, width: int, at_once: int = AT_ONCE, draw: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...]] | None = None) -> DataFrame:
+    """stem, i, j, common, iou of the masks (stem, det_index, rows: (y, x1, x2) stretches in any order) of an image that share a pixel. A mask without a stem shares none.
+
+    draw: masks have whole-number columns instead of rows, and their rows are made of these in the tasks, so that only the columns are shuffled: from a dict of columns to the
+    place of each row's mask in them, y, x1 and x2. A mask with a null among them has no pixel.
+    Masks come image by image, if need be over several batches; NumPy counts all pairs of a batch of images by looking up the ends of one mask's runs in the other's."""
+    masks = masks.filter(F.col("stem").isNotNull())
+    if draw:
+        names = [c for c in masks.columns if c not in ("stem", "det_index")]
+        masks = masks.dropna(subset=names).select("stem", "det_index", *[F.col(c).cast("long").alias(c) for c in names])
+    else:
+        some = F.filter("rows", lambda r: r["x2"] > r["x1"])
+        places = lambda x: F.transform(some, lambda r: r["y"].cast("long") * width + r[x])
+        masks = masks.select("stem", "det_index", places("x1").alias("start"), places("x2").alias("end"))
+    placed = masks.withColumns({"det_index": F.col("det_index").cast("int"), "n": F.count("*").over(Window.partitionBy("stem"))})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+        """Batches cut where an image ends, and the number of masks of each image."""
+        held, have, need = [], 0, 1
+        for batch in batches:
+            held.append(batch)
+            have += batch.num_rows
+            if have < need:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            n, at, images = t.column("n").to_numpy().tolist(), 0, []
+            while at < have and at + n[at] <= have:
+                images.append(n[at])
+                at += n[at]
+            if images:
+                yield t.slice(0, at), images
+            need = n[at] if at < have else 1
+            held, have = t.slice(at).to_batches(), have - at
+
+    def rows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if draw:
+            of, y, x1, x2 = draw({c: t.column(c).to_numpy() for c in names})
+            return of, y * width + x1, y * width + x2
+        start, end = (t.column(c).combine_chunks().fill_null([]) for c in ("start", "end"))
+        return np.repeat(np.arange(len(start)), start.value_lengths().to_numpy()), *(x.flatten().fill_null(0).to_numpy() for x in (start, end))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = batch.column(1)
-            each, owner = m.flatten(), np.repeat(np.arange(len(m)), m.value_lengths().to_numpy())
-            det, rows = each.field("det_index").to_numpy(), each.field("rows").fill_null([])
-            order = np.lexsort((det, owner))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            of = np.repeat(place, rows.value_lengths().to_numpy())
-            y, x1, x2 = (rows.flatten().field(c).to_numpy() for c in ("y", "x1", "x2"))
-            for i, j, common, iou in _shared(owner[order], of, y * width + x1, y * width + x2, at_once):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[order][i])), *[pa.array(det[order][k]) for k in (i, j)], pa.array(common), pa.array(iou)], names=["stem", "i", "j", "common", "iou"])
-
-    return listed.mapInArrow(count, f"stem {dict(listed.dtypes)['stem']}, i int, j int, common long, iou double")
+        for t, images in whole(batches):
+            owner = np.repeat(np.arange(len(images)), images)
+            t = t.take(np.lexsort((t.column("det_index").to_numpy(), owner)))
+            stem, det = (t.column(c).combine_chunks() for c in ("stem", "det_index"))
+            for i, j, common, iou in _shared(owner, *rows_of(t), at_once):
+                yield pa.RecordBatch.from_arrays([stem.take(i), det.take(i), det.take(j), pa.array(common), pa.array(iou)], names=["stem", "i", "j", "common", "iou"])
+
+    return placed.mapInArrow(count, f"stem {dict(masks.dtypes)['stem']}, i int, j int, common long, iou double")

@@ -10,6 +10,8 @@ from boxtide.functions import masks as K
 from boxtide.operators import area as A
 from boxtide.operators import deployment as P
 from boxtide.operators import sweep as W
+from boxtide.plans import fixtures as X
+from boxtide.plans.registry import QUERIES
 
 
 @pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
@@ -29,6 +31,38 @@ def test_masks_share_a_row_without_a_join(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def _overlaps_by_pixels(pixels):
+    return sorted((s, i, j, len(pixels[s, i] & pixels[s, j]), len(pixels[s, i] & pixels[s, j]) / len(pixels[s, i] | pixels[s, j])) for (s, i), (t, j) in combinations(sorted(pixels), 2) if s == t and pixels[s, i] & pixels[s, j])
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_masks_come_image_by_image_over_several_batches(spark, batch):
+    rng = random.Random(9)
+    made = [(stem, det, [(y, x, x + rng.randint(-1, 6)) for y in rng.choices(range(6), k=rng.randint(0, 9)) for x in [rng.randint(0, 14)]]) for stem in range(12) for det in rng.sample(range(9), rng.randint(0, 9))]
+    pixels = {(s, d): {y * 20 + x for y, a, b in rows for x in range(a, b)} for s, d, rows in made}
+    odd = [(None, 0, [(0, 0, 5)]), (None, 1, [(0, 0, 5)]), (0, 20, None), (0, 21, [])]  # masks of no image, masks without rows
+    masks = spark.createDataFrame(made + odd, "stem long, det_index int, rows array<struct<y:int,x1:int,x2:int>>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert sorted(map(tuple, K.overlaps(masks, 20).collect())) == _overlaps_by_pixels(pixels)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_masks_are_drawn_from_boxes_in_the_tasks(spark):
+    rng = random.Random(4)
+    boxes = [(rng.randint(0, 9), k, x, y, x + rng.randint(0, 20), y + rng.randint(-1, 12)) for k in range(60) for x in [rng.randint(0, 24)] for y in [rng.randint(0, 24)]]
+    pixels = {(s, k): {v * 100 + u for v in range(y1, y2) for u in range(x1 + (v - y1) % 3, x2 - (6 if (v - y1) % 4 == 1 else 0))} for s, k, x1, y1, x2, y2 in boxes}
+    masks = spark.createDataFrame([*boxes, (0, 60, 0, 0, None, 40), (0, 61, 0, None, 40, 40)], "stem long, det_index int, x1 int, y1 int, x2 int, y2 int")
+    assert sorted(map(tuple, K.overlaps(masks, 100, draw=X.jagged).collect())) == _overlaps_by_pixels(pixels)
+
+
+def test_mask_overlap_shuffles_boxes_once(spark):
+    plan = QUERIES["mask_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # rows of masks went through a second one, and were sorted for collect_list on both its sides
+    assert "collect_list" not in plan and "transform" not in plan.lower()
+
+
 def test_a_sweep_sends_a_row_a_vector_and_counts_images_without_boxes_of_a_side(spark, monkeypatch):
     box = "stem long, {0} int, cls int, {1}x1 int, y1 int, x2 int, y2 int"
     det = spark.createDataFrame([(1, 0, 0, 90, 0, 0, 10, 10), (1, 1, 0, 80, 0, 0, 10, 9), (1, 2, 1, 20, 50, 50, 60, 60), (2, 0, 1, 50, 0, 0, 10, 10)], box.format("det_index", "conf int, "))
