@@ -57,7 +57,9 @@ def extent(mask: Column, width: Column) -> Column:
 
 
 #: Runs of one side that are looked up at once, so that an image of any number of masks needs bounded memory.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 16
+#: Masks whose images are judged together, few enough for their runs to stay in a core's cache.
+MASKS = 2000
 
 
 def _runs(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +79,24 @@ def _runs(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return mask[new], start[new], reach[last] - mask[new] * span + low
 
 
+def _pairs(owner: np.ndarray, runs: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """i, j of all pairs of masks of one owner that both have runs, at most at_once runs of i at a time or one pair."""
+    n = len(owner)
+    later = np.searchsorted(owner, owner, "right") - np.arange(n) - 1
+    cost = np.append(0, np.cumsum(later * np.maximum(runs, 1)))
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(cost, cost[a] + at_once, "right")) - 1)
+        step = max(1, at_once // max(1, runs[a])) if b == a + 1 else n  # of one mask's pairs a part
+        for lo in range(0, int(later[a:b].max()), step):
+            m = np.minimum(later[a:b] - lo, step)
+            i = np.repeat(np.arange(a, b), m)
+            j = i + 1 + lo + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            some = (runs[i] > 0) & (runs[j] > 0)
+            yield i[some], j[some]
+        a = b
+
+
 def _shared(owner: np.ndarray, mask: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """i, j, common pixels and IoU of the masks (numbered along owner, which ascends) of one owner that share a pixel."""
     mask, start, end = _runs(mask, start, end)
@@ -84,31 +104,30 @@ def _shared(owner: np.ndarray, mask: np.ndarray, start: np.ndarray, end: np.ndar
         return
     n = len(owner)
     low, span = start.min(), end.max() - start.min() + 2
-    size = np.bincount(mask, end - start, n).astype(np.int64)
-    key, before = mask * span + (start - low), np.append(0, np.cumsum(end - start))
+    at, length = mask * span + (start - low), end - start
+    to = at + length
+    size = np.bincount(mask, length, n).astype(np.int64)
+    before = np.append(0, np.cumsum(length))
+    lead = np.append(0, before[:-1] - at)
     first = np.searchsorted(mask, np.arange(n + 1))
 
-    def pixels(m: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Of mask m and all before it, those that lie before pixel x of m."""
-        k = np.searchsorted(key, m * span + (x - low), "right") - 1
-        inside = (k >= first[m]) & (k >= 0)
-        return np.where(inside, before[k] + np.minimum(x, end[k]) - start[k], before[first[m]])
-
-    later = np.searchsorted(owner, owner, "right") - np.arange(n) - 1
-    runs = np.diff(first)
-    cost = np.append(0, np.cumsum(later * np.maximum(runs, 1)))
-    a = 0
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(cost, cost[a] + at_once, "right")) - 1)
-        i = np.repeat(np.arange(a, b), later[a:b])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
-        pair = np.repeat(np.arange(len(i)), runs[i])
-        run = first[i[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(runs[i]) - runs[i], runs[i])
-        common = np.bincount(pair, pixels(j[pair], end[run]) - pixels(j[pair], start[run]), len(i)).astype(np.int64)
+    def pixels(x: np.ndarray) -> np.ndarray:
+        """Those of all masks that lie before place x."""
+        k = np.searchsorted(at, x, "right")
+        return np.minimum(x + lead[k], before[k])
+
+    for i, j in _pairs(owner, np.diff(first), at_once):
+        shift = (j - i) * span
+        a = np.searchsorted(to, at[first[j]] - shift, "right")  # i's runs between j's first and last pixel
+        m = np.maximum(np.searchsorted(at, to[first[j + 1] - 1] - shift, "left") - a, 0)
+        ends = np.cumsum(m)
+        run = np.arange(m.sum()) + np.repeat(a - (ends - m), m)
+        x = at[run] + np.repeat(shift, m)
+        found = np.append(0, np.cumsum(pixels(x + length[run]) - pixels(x)))
+        common = found[ends] - found[ends - m]
         hit = common > 0
         i, j, common = i[hit], j[hit], common[hit]
         yield i, j, common, common / (size[i] + size[j] - common)
-        a = b
 
 
 def overlaps(masks: DataFrame, width: int, at_once: int = AT_ONCE, draw: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...]] | None = None) -> DataFrame:
@@ -125,7 +144,7 @@ def overlaps(masks: DataFrame, width: int, at_once: int = AT_ONCE, draw: Callabl
         some = F.filter("rows", lambda r: r["x2"] > r["x1"])
         places = lambda x: F.transform(some, lambda r: r["y"].cast("long") * width + r[x])
         masks = masks.select("stem", "det_index", places("x1").alias("start"), places("x2").alias("end"))
-    placed = masks.withColumns({"det_index": F.col("det_index").cast("int"), "n": F.count("*").over(Window.partitionBy("stem"))})
+    placed = masks.withColumns({"det_index": F.col("det_index").cast("int"), "_n": F.count("*").over(Window.partitionBy("stem"))})
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
         """Batches cut where an image ends, and the number of masks of each image."""
@@ -136,12 +155,15 @@ def overlaps(masks: DataFrame, width: int, at_once: int = AT_ONCE, draw: Callabl
             if have < need:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
-            n, at, images = t.column("n").to_numpy().tolist(), 0, []
+            n, at, cut, images = t.column("_n").to_numpy().tolist(), 0, 0, []
             while at < have and at + n[at] <= have:
                 images.append(n[at])
                 at += n[at]
+                if at - cut >= MASKS:
+                    yield t.slice(cut, at - cut), images
+                    cut, images = at, []
             if images:
-                yield t.slice(0, at), images
+                yield t.slice(cut, at - cut), images
             need = n[at] if at < have else 1
             held, have = t.slice(at).to_batches(), have - at
 

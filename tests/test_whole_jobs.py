@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,13 @@ def test_masks_are_drawn_from_boxes_in_the_tasks(spark):
     assert sorted(map(tuple, K.overlaps(masks, 100, draw=X.jagged).collect())) == _overlaps_by_pixels(pixels)
 
 
+def test_pairs_of_one_mask_come_in_bounded_pieces():
+    owner, runs = np.array([0] * 9 + [1] * 3), np.array([4, 0, 4, 1, 9, 2, 0, 3, 3, 1, 1, 1])
+    pieces = list(K._pairs(owner, runs, 8))
+    assert [(i, j) for a, b in pieces for i, j in zip(a.tolist(), b.tolist(), strict=True)] == [(i, j) for i, j in combinations(range(12), 2) if owner[i] == owner[j] and runs[i] * runs[j]]
+    assert all(runs[a].sum() <= 8 or len(a) == 1 for a, _ in pieces)  # a mask met all others of its image at once
+
+
 def test_mask_overlap_shuffles_boxes_once(spark):
     plan = QUERIES["mask_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # rows of masks went through a second one, and were sorted for collect_list on both its sides
